@@ -24,7 +24,7 @@ def bin_by_edges(col: Column, edges: list[float], close_last: bool = True) -> Co
 
 def even_bin(col: Column, low: Column, high: Column, bins: int) -> Column:
     """Bin of ``col`` among ``bins`` equal bins of [low, high], last one closed."""
-    raw = F.floor((col - low) / (high - low) * bins).cast("int")
+    raw = F.floor(F.try_divide(col - low, high - low) * bins).cast("int")
     return F.when((col >= low) & (col <= high), F.least(raw, F.lit(bins - 1)))
 
 
@@ -35,7 +35,7 @@ def histogram(df: DataFrame, keys: list[str], value: str, low: Column, high: Col
         F.count(F.lit(1)).alias("n"), F.max("_w").alias("_w"))
     # At most ``bins`` rows per key remain, so this window is small.
     total = F.sum("n").over(Window.partitionBy(*keys)) if keys else F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return counts.withColumn("density", F.col("n") / (total * F.col("_w"))).drop("_w")
+    return counts.withColumn("density", F.try_divide(F.col("n"), total * F.col("_w"))).drop("_w")
 
 
 def clipped(col: Column, bound: Column) -> Column:

@@ -1,16 +1,20 @@
-"""What price did after (and before) a bar."""
+"""What price did after (and before) a bar.
+
+A zero price has no percent change: such values are null and drop out of every
+statistic, as non-finite values do.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
-from tapeforge.operators.windows import moving_extreme, moving_std, over_chunks
+from tapeforge.operators.windows import moving_std, over_chunks
 
 NO_VOLATILITY = 1e-9
 
 
 def _pct(later: Column, now: Column) -> Column:
-    return (later - now) / now * 100
+    return F.try_divide(later - now, now) * 100
 
 
 def forward_returns(indexed: DataFrame, horizons: list[int], chunk: int | None = None) -> DataFrame:
@@ -47,28 +51,22 @@ def excursions(indexed: DataFrame, horizons: list[int], chunk: int | None = None
                digits: int | None = 3) -> DataFrame:
     """Return, adverse (up) and favourable (down) excursion and bearish win per horizon.
 
-    Columns are null when the horizon runs past the series. Extremes use the
-    doubling frames, so cost does not grow with the horizon.
+    Columns are null when the horizon runs past the series.
     """
     shape = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    close = F.col("close")
 
     def steps(df: DataFrame, spec: WindowSpec) -> DataFrame:
+        cols = []
         for h in horizons:
-            df = moving_extreme(df, "high", f"_up_{h}", 1, h, spec, largest=True)
-            df = moving_extreme(df, "low", f"_dn_{h}", 1, h, spec, largest=False)
-        return df.select("*", *[F.lead("close", h).over(spec).alias(f"_at_{h}") for h in horizons])
+            ahead, at = spec.rowsBetween(1, h), F.lead("close", h).over(spec)
+            cols += [shape(_pct(at, close)).alias(f"ret_{h}"),
+                     F.when(at.isNotNull(), shape(_pct(F.max("high").over(ahead), close))).alias(f"mae_{h}"),
+                     F.when(at.isNotNull(), shape(F.try_divide(close - F.min("low").over(ahead), close) * 100)).alias(f"mfe_{h}"),
+                     (at < close).alias(f"win_{h}")]
+        return df.select("*", *cols)
 
-    out = over_chunks(indexed, steps, ahead=max(horizons), chunk=chunk)
-    close = F.col("close")
-    cols = []
-    for h in horizons:
-        at, done = F.col(f"_at_{h}"), F.col(f"_at_{h}").isNotNull()
-        cols += [shape(_pct(at, close)).alias(f"ret_{h}"),
-                 F.when(done, shape(_pct(F.col(f"_up_{h}"), close))).alias(f"mae_{h}"),
-                 F.when(done, shape((close - F.col(f"_dn_{h}")) / close * 100)).alias(f"mfe_{h}"),
-                 F.when(done, at < close).alias(f"win_{h}")]
-    keep = [c for c in out.columns if not c.startswith(("_up_", "_dn_", "_at_"))]
-    return out.select(*keep, *cols)
+    return over_chunks(indexed, steps, ahead=max(horizons), chunk=chunk)
 
 
 def long_outcomes(wide: DataFrame, keys: list[str], horizons: list[int], fields: list[str]) -> DataFrame:
@@ -93,7 +91,7 @@ def strict_volatility(indexed: DataFrame, lookback: int, chunk: int | None = Non
     """``sigma_strict``: sample deviation of fractional returns, null until ``lookback`` returns exist."""
 
     def steps(df: DataFrame, spec: WindowSpec) -> DataFrame:
-        df = df.withColumn("_r", F.col("close") / F.lag("close").over(spec) - 1)
+        df = df.withColumn("_r", F.try_divide(F.col("close"), F.lag("close").over(spec)) - 1)
         return moving_std(df, "_r", "sigma_strict", lookback, spec, sample=True, need_full=True).drop("_r")
 
     return over_chunks(indexed, steps, back=lookback + 1, chunk=chunk)

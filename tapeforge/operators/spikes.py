@@ -32,7 +32,8 @@ def step(state: State, prices: tuple[float, float, float, float], limit: float =
     closes, rejects = state
     if closes:
         middle = float(np.median(closes))
-        if max(abs(p / middle - 1.0) for p in prices) > limit:
+        worst = max(abs(p / middle - 1.0) for p in prices) if middle else np.inf
+        if worst > limit:
             if rejects < max_rejects:
                 return False, (closes, rejects + 1)
             closes = []

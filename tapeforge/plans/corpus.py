@@ -44,7 +44,7 @@ def confirmed_negative(rows: DataFrame, length: int, rule: str = "reference") ->
     lines = simple_slopes(rows, keys).join(first, keys)
     low_line = F.col("_l0") + F.col("slope_low") * F.col("pos")
     width = F.col("_h0") + F.col("slope_high") * F.col("pos") - low_line + 1e-10
-    rel = rows.select(*keys, "pos", "close").join(lines, keys).withColumn("_rel", (F.col("close") - low_line) / width)
+    rel = rows.select(*keys, "pos", "close").join(lines, keys).withColumn("_rel", F.try_divide(F.col("close") - low_line, width))
     per = rel.groupBy(*keys).agg(F.first("slope_high").alias("slope_high"), F.first("slope_low").alias("slope_low"),
                                  F.min("_rel").alias("rel_min"), F.max("_rel").alias("rel_max"))
     closing = (F.col("slope_high") > F.col("slope_low") if rule == "reference"

@@ -68,7 +68,7 @@ def threshold_report(scored: DataFrame, thresholds: list[float] | None = None) -
     return d.groupBy("threshold").agg(
         F.count_if(called).alias("n_called"),
         F.when(F.count_if(called) > 0, F.count_if(hit) / F.count_if(called)).alias("precision"),
-        (F.count_if(hit) / F.count_if(F.col("label") == 1)).alias("recall"))
+        F.try_divide(F.count_if(hit), F.count_if(F.col("label") == 1)).alias("recall"))
 
 
 def confusion(scored: DataFrame, threshold: float) -> DataFrame:
@@ -118,8 +118,8 @@ def roc_curve(scored: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score."""
     tot = scored.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
     pos, neg = tot.select("p").scalar(), tot.select("n").scalar()
-    return _curve_counts(scored).select(F.col("score").alias("threshold"), (F.col("cum_fp") / neg).alias("fpr"),
-                                        (F.col("cum_tp") / pos).alias("tpr"))
+    return _curve_counts(scored).select(F.col("score").alias("threshold"), F.try_divide(F.col("cum_fp"), neg).alias("fpr"),
+                                        F.try_divide(F.col("cum_tp"), pos).alias("tpr"))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     """
     c = _curve_counts(scored)
     step = F.col("fp") * ((F.col("cum_tp") - F.col("tp")) + F.col("tp") / 2)
-    return c.agg((F.sum(step) / (F.sum("tp") * F.sum("fp"))).alias("roc_auc"))
+    return c.agg(F.try_divide(F.sum(step), F.sum("tp") * F.sum("fp").cast("double")).alias("roc_auc"))
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def pr_curve(scored: DataFrame) -> DataFrame:
     return _curve_counts(scored).select(
         F.col("score").alias("threshold"),
         (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"),
-        (F.col("cum_tp") / pos).alias("recall"))
+        F.try_divide(F.col("cum_tp"), pos).alias("recall"))
 
 
 def pr_auc(scored: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def pr_auc(scored: DataFrame) -> DataFrame:
     ptp, pfp = tp - F.col("tp"), fp - F.col("fp")
     here = tp / (tp + fp)
     before = F.when(ptp + pfp > 0, ptp / (ptp + pfp)).otherwise(F.lit(1.0))
-    return c.agg((F.sum(F.col("tp") * (here + before) / 2) / F.sum("tp")).alias("pr_auc"))
+    return c.agg(F.try_divide(F.sum(F.col("tp") * (here + before) / 2), F.sum("tp")).alias("pr_auc"))
 
 
 def score_histogram(scored: DataFrame, bins: int = 50) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapeforge.operators.forward import (forward_lookup, forward_returns, normalised_returns, strict_volatility,
+from tapeforge.operators.forward import (NO_VOLATILITY, forward_lookup, forward_returns, normalised_returns, strict_volatility,
                                          trailing_volatility)
 from tapeforge.operators.gates import categorise, direction_split
 from tapeforge.operators.geometry import envelope_windows, with_geometry
@@ -26,8 +26,8 @@ def detection_study(indexed: DataFrame, length: int, threshold: float, fit_bars:
     written once to the checkpoint folder.
     """
     windows = cut_lineage(detect.scan(indexed, length, fit_bars, stride, scorer, chunk=chunk))
-    events = detect.find_events(windows, length, threshold, chunk)
-    population = random_windows(windows, POPULATION, seed)
+    events = cut_lineage(detect.find_events(windows, length, threshold, chunk))
+    population = cut_lineage(random_windows(windows, POPULATION, seed))
     years = studies.series_years(indexed)
     rates = studies.rate_by_minute(windows, threshold, bin_minutes)
     return {
@@ -64,8 +64,8 @@ def grouped_outcomes(groups: DataFrame, indexed: DataFrame, horizons: list[int],
     """Long (group, horizon, ret, z) of (symbol, end_idx, group) rows."""
     sig = trailing_volatility(indexed, lookback).select("symbol", F.col("bar_idx").alias("end_idx"), "sigma")
     long = forward_lookup(groups, indexed, horizons).join(sig, ["symbol", "end_idx"])
-    z = F.col("ret") / (F.col("sigma") * F.sqrt(F.col("horizon").cast("double")))
-    return long.withColumn("z", F.when(F.col("sigma") > 1e-9, z))
+    z = F.try_divide("ret", F.col("sigma") * F.sqrt(F.col("horizon").cast("double")))
+    return long.withColumn("z", F.when(F.col("sigma") > NO_VOLATILITY, z))
 
 
 def filter_study(events: DataFrame, indexed: DataFrame, length: int, fit_bars: int | None, horizons: list[int],
@@ -111,7 +111,7 @@ def slope_returns(events: DataFrame, indexed: DataFrame, horizons: list[int], le
         events = events.where(F.col("category") == category)
     classed = events.select("symbol", "end_idx", slope_class(F.col("mid_travel"), flat).alias("group"))
     base = random_baseline(indexed, length, max(horizons), seed).withColumn("group", F.lit("random"))
-    long = forward_lookup(classed.unionByName(base), indexed, horizons)
+    long = cut_lineage(forward_lookup(classed.unionByName(base), indexed, horizons))
     return {"returns": long, "summary": studies.return_summary(long, ["group", "horizon"]),
             "histograms": studies.self_scaled_histograms(long, "random", 54)}
 
@@ -120,7 +120,7 @@ def abs_outcomes(indexed: DataFrame, horizons: list[int], vol_window: int) -> Da
     """Long (symbol, bar_idx, horizon, abs_ret, abs_z) for every bar with a forward price."""
     d = forward_returns(strict_volatility(indexed, vol_window), horizons)
     rows = F.array(*[F.struct(F.lit(h).alias("horizon"), F.abs(f"ret_{h}").alias("abs_ret"),
-                              (F.abs(f"ret_{h}") / (F.col("sigma_strict") * (h ** 0.5) * 100)).alias("abs_z"))
+                              F.try_divide(F.abs(f"ret_{h}"), F.col("sigma_strict") * (h ** 0.5) * 100).alias("abs_z"))
                      for h in horizons])
     return d.select("symbol", "bar_idx", F.explode(rows).alias("_o")).select(
         "symbol", "bar_idx", "_o.*").where("abs_ret is not null")
@@ -130,8 +130,9 @@ def volatility_control(events: DataFrame, indexed: DataFrame, horizons: list[int
                        stride: int = 10) -> dict[str, DataFrame]:
     """Dud rates and slope quintiles after dividing moves by what volatility implies."""
     every = abs_outcomes(indexed, horizons, vol_window)
-    base = strided_baseline(every, vol_window, stride)
-    hits = every.join(events.select("symbol", F.col("end_idx").alias("bar_idx"), "mid_travel"), ["symbol", "bar_idx"])
+    base = cut_lineage(strided_baseline(every, vol_window, stride))
+    hits = cut_lineage(every.join(
+        events.select("symbol", F.col("end_idx").alias("bar_idx"), "mid_travel"), ["symbol", "bar_idx"]))
     return {"duds": studies.dud_rates(hits, base), "quintiles": studies.quintile_means(hits, events),
             "correlation": hits.where("abs_z is not null").groupBy("horizon").agg(
                 F.corr("mid_travel", "abs_z").alias("r_travel_z"))}
@@ -145,7 +146,7 @@ def nondud_projection(events: DataFrame, indexed: DataFrame, horizon: int, warmu
     base = studies.baseline_median(d, ret, warmup, stride)
     joined = events.join(d.select("symbol", F.col("bar_idx").alias("end_idx"), ret), ["symbol", "end_idx"])
     moved = joined.where(F.col(ret).isNotNull()).withColumn("abs_move", F.abs(ret))
-    nondud = moved.where(F.col("abs_move") >= base.scalar())
+    nondud = cut_lineage(moved.where(F.col("abs_move") >= base.scalar()))
     features = ["travel_upper", "travel_lower", "mid_travel"]
     fits = studies.linear_fits(nondud, features, "abs_move")
     return {"baseline": base, "fits": fits,

@@ -117,15 +117,15 @@ def linear_fits(d: DataFrame, features: list[str], y: str) -> DataFrame:
         F.regr_syy("y", "x").alias("_syy"))
     free = F.col("n") - 2
     fit = fit.withColumn("stderr", F.when(free > 0, F.sqrt(
-        (1 - F.col("r_squared")) * F.col("_syy") / F.col("_sxx") / free)))
-    t = F.abs(F.col("slope") / F.col("stderr"))
+        F.try_divide((1 - F.col("r_squared")) * F.col("_syy"), F.col("_sxx")) / free)))
+    t = F.abs(F.try_divide("slope", "stderr"))
     return fit.withColumn("p_value", t_tail(t, free.cast("double"))).drop("_sxx", "_syy")
 
 
 def rank_correlations(d: DataFrame, features: list[str], y: str) -> DataFrame:
     """Spearman's rho of ``y`` with each feature, ties sharing their mean rank."""
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
-    long = d.select(F.col(y).cast("double").alias("y"), F.explode(rows).alias("_f")).select("feature", "x", "y")
+    long = d.select(F.col(y).cast("double").alias("y"), F.explode(rows).alias("_f")).select("_f.*", "y")
     rx = mean_ranks(long, ["feature"], "x", "rank_x")
     ry = mean_ranks(long, ["feature"], "y", "rank_y")
     return (long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
@@ -184,10 +184,10 @@ def _sides(events: DataFrame, population: DataFrame, cols: list[str]) -> DataFra
 
 
 def _pivot_sides(long: DataFrame, cols: list[str]) -> DataFrame:
-    wide = long.groupBy("symbol").pivot("side", ["events", "population"]).agg(*[F.first(c).alias(c) for c in cols])
-    names = [F.col(f"{s}_{c}").alias(c if s == "events" else f"{c}_pop")
-             for s in ("events", "population") for c in cols]
-    return wide.select("symbol", *names)
+    """One row per symbol; population values get the suffix ``_pop``."""
+    return long.groupBy("symbol").agg(*[
+        F.max(F.when(F.col("side") == side, F.col(c))).alias(c + suffix)
+        for side, suffix in (("events", ""), ("population", "_pop")) for c in cols])
 
 
 def series_years(indexed: DataFrame) -> DataFrame:

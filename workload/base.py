@@ -22,6 +22,7 @@ HORIZONS = [3, 6, 12, 24]
 LOOKBACK, VOL_WINDOW, STRIDE = 30, 39, 5
 GAP_EDGES = [0.0, 5.0, 10.0, 15.0, 20.0, 25.0, 30.0]
 SEED = 7
+NUDGE = 3e-8
 FORMS = [{**f, "window": N, "fit_bars": FIT} for f in FORMATIONS]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,8 +107,12 @@ def text_ts(c: Column | str = "ts") -> Column:
 
 
 def r(*names: str) -> list[Column]:
-    """Columns rounded to six digits under their own names."""
-    return [rounded(n).alias(n) for n in names]
+    """Columns rounded to six digits under their own names.
+
+    Many values are short decimals that end in a 5 at the seventh digit, where
+    engines may round either way; a nudge of 3e-8 on both sides settles those.
+    """
+    return [rounded(F.col(n) + NUDGE).alias(n) for n in names]
 
 
 # --- SQL side -----------------------------------------------------------------
@@ -120,7 +125,7 @@ def ts(c: str = "ts", name: str | None = None) -> str:
 
 
 def rs(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
+    return ", ".join(f"round({n} + {NUDGE}, 6) + 0.0 AS {n}" for n in names)
 
 
 def bars_sql(unit: str = "hour") -> str:

