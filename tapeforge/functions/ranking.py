@@ -54,53 +54,58 @@ def running_totals(df: DataFrame, keys: list[str], value: str, cols: list[str],
     return out.drop(*drop, *([] if keys else ["_all"]))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per group; one column per entry of ``probs``.
-
-    Counts per (group, bucket) locate the few buckets that hold the wanted
-    ranks; only those rows are kept, and the two neighbours of each rank are
-    read off a running count. Nulls are ignored.
+def quantiles(df: DataFrame, keys: list[str], *measures: tuple[Column | str, dict[str, float]]) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, one column per name.
+
+    Each measure is (column, {name: probability}); all of them share one pass.
+    Counts per (group, measure, bucket) locate the few buckets that hold the
+    wanted ranks; only their rows are shuffled, collapsed to distinct values, and
+    the two neighbours of each rank are read off a running count. Nulls and NaN
+    are ignored. A group whose measure has no value at all yields null or no row.
     """
-    grouped_by = keys or ["_all"]
-    d = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
-    if not keys:
-        d = d.withColumn("_all", F.lit(0))
-    d = d.withColumn("_bucket", value_bucket("_v"))
-    counts = d.groupBy(*grouped_by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    up_to = (Window.partitionBy(*grouped_by).orderBy("_bucket")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    names = [n for _, probs in measures for n in probs]
+    cells = F.array(*[F.struct(F.lit(i).alias("_m"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("_v"))
+                      for i, (c, _) in enumerate(measures)])
+    d = df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell._m", "_cell._v")
+    d = d.where("_v is not null and not isnan(_v)").withColumn("_bucket", value_bucket("_v"))
+    by = [*keys, "_m"]
+    counts = d.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    up_to = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         counts.withColumn("_to", F.sum("_n").over(up_to))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*grouped_by)))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*by)))
         .withColumn("_from", F.col("_to") - F.col("_n"))
     )
-    wanted = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in probs.items()])
+    wanted = F.array(*[F.struct(F.lit(i).alias("m"), F.lit(n).alias("name"), F.lit(float(p)).alias("p"))
+                       for i, (_, probs) in enumerate(measures) for n, p in probs.items()])
+    rank = F.col("_q.p") * (F.col("_total") - 1)
     targets = (
-        placed.withColumn("_q", F.explode(wanted))
-        .withColumn("_rank", F.col("_q.p") * (F.col("_total") - 1))
-        .withColumn("_low", F.floor("_rank")).withColumn("_high", F.ceil("_rank"))
+        placed.withColumn("_q", F.explode(F.filter(wanted, lambda w: w["m"] == F.col("_m"))))
+        .withColumn("_rank", rank).withColumn("_low", F.floor("_rank")).withColumn("_high", F.ceil("_rank"))
         .where("(_low >= _from and _low < _to) or (_high >= _from and _high < _to)")
     )
-    per_bucket = targets.groupBy(*grouped_by, "_bucket", "_from").agg(
+    per_bucket = targets.groupBy(*by, "_bucket", "_from").agg(
         F.collect_list(F.struct(F.col("_q.name").alias("name"), "_rank", "_low", "_high")).alias("_want"))
     # One row per distinct value of a wanted bucket, with the rank range it covers.
-    values = (d.join(per_bucket.drop("_want"), [*grouped_by, "_bucket"])
-              .groupBy(*grouped_by, "_bucket", "_from", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    inside = (Window.partitionBy(*grouped_by, "_bucket").orderBy("_v")
+    values = (d.join(per_bucket.select(*by, "_bucket"), [*by, "_bucket"], "left_semi")
+              .groupBy(*by, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    inside = (Window.partitionBy(*by, "_bucket").orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = (
-        values.withColumn("_end", F.col("_from") + F.sum("_c").over(inside))
-        .withColumn("_begin", F.col("_end") - F.col("_c"))
-        .join(per_bucket.drop("_from"), [*grouped_by, "_bucket"])
-        .select(*grouped_by, "_v", "_begin", "_end", F.explode("_want").alias("_w"))
+        values.withColumn("_cum", F.sum("_c").over(inside))
+        .join(per_bucket, [*by, "_bucket"])
+        .withColumn("_end", F.col("_from") + F.col("_cum")).withColumn("_begin", F.col("_end") - F.col("_c"))
+        .select(*keys, "_v", "_begin", "_end", F.explode("_want").alias("_w"))
         .where("(_w._low >= _begin and _w._low < _end) or (_w._high >= _begin and _w._high < _end)")
     )
-    pairs = ranked.groupBy(*grouped_by, F.col("_w.name").alias("_name"), F.col("_w._rank").alias("_rank")).agg(
-        F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-    result = pairs.groupBy(*grouped_by).agg(*[
-        F.max(F.when(F.col("_name") == k, F.col("_a") + (F.col("_b") - F.col("_a"))
-                     * (F.col("_rank") - F.floor("_rank")))).alias(k) for k in probs])
-    return result if keys else result.drop("_all")
+
+    def interpolated(name: str) -> Column:
+        hit = F.col("_w.name") == name
+        low, high = F.min(F.when(hit, F.col("_v"))), F.max(F.when(hit, F.col("_v")))
+        part = F.max(F.when(hit, F.col("_w._rank") - F.col("_w._low")))
+        return (low + (high - low) * part).alias(name)
+
+    return ranked.groupBy(*keys).agg(*[interpolated(n) for n in names])
 
 
 def mean_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

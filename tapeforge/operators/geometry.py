@@ -14,7 +14,7 @@ from tapeforge.schemas import APEX_MAX_AHEAD, OUTSIDE_TOLERANCE, TOUCH_TOLERANCE
 
 UPPER_Q, LOWER_Q, REFITS = 0.55, 0.45, 2
 TINY = 1e-12
-BATCH = 2048
+BATCH = 512
 
 FIT_COLS = ["a_upper", "b_upper", "a_lower", "b_lower", "price_range"]
 CONTAIN_COLS = ["max_excursion", "mean_excursion", "frac_outside", "spike_share"]
@@ -34,7 +34,7 @@ def envelope_lines(y: np.ndarray, q: float, upper: bool) -> tuple[np.ndarray, np
     yc = y - base
     keep = np.ones(y.shape, dtype=bool)
     a, b = np.zeros(len(y)), np.zeros(len(y))
-    for _ in range(REFITS + 1):
+    for i in range(REFITS + 1):
         w = keep.astype(np.float64)
         count, sx, sxx = w.sum(axis=1), w @ x, w @ (x * x)
         wy = w * yc
@@ -44,6 +44,8 @@ def envelope_lines(y: np.ndarray, q: float, upper: bool) -> tuple[np.ndarray, np
         slope = (count * sxy - sx * sy) / det
         b = np.where(live, slope, b)
         a = np.where(live, (sy - slope * sx) / np.maximum(count, 1.0), a)
+        if i == REFITS:
+            break
         resid = yc - (a[:, None] + b[:, None] * x)
         cut = np.quantile(resid, q, axis=1, keepdims=True)
         keep = resid >= cut if upper else resid <= cut

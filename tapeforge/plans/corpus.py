@@ -112,7 +112,7 @@ def parameter_spread(meta: DataFrame, keys: list[str], params: list[str]) -> Dat
     """p5, median and p95 of shape parameters per family."""
     rows = F.array(*[F.struct(F.lit(p).alias("param"), F.col(p).cast("double").alias("value")) for p in params])
     long = meta.select(*keys, F.explode(rows).alias("_p")).select(*keys, "_p.*")
-    return quantiles(long, [*keys, "param"], "value", {"p5": .05, "p50": .5, "p95": .95})
+    return quantiles(long, [*keys, "param"], ("value", {"p5": .05, "p50": .5, "p95": .95}))
 
 
 def best_epoch(log: DataFrame, metric: str = "val_auc", keys: list[str] | None = None) -> DataFrame:

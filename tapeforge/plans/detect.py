@@ -55,7 +55,7 @@ def backtest_summary(results: DataFrame, horizons: list[int], keys: list[str] |
     plain = done.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), (F.avg(F.col("win").cast("int")) * 100).alias("win_rate"),
         F.avg("ret").alias("avg_return"), F.avg("mfe").alias("avg_mfe"))
-    return plain.join(quantiles(done, keys, "ret", {"median_return": 0.5}), keys)
+    return plain.join(quantiles(done, keys, ("ret", {"median_return": 0.5})), keys)
 
 
 def compare_windows(indexed: DataFrame, sizes: list[int], threshold: float, horizons: list[int],

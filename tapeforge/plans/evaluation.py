@@ -38,7 +38,7 @@ def join_families(manifest: DataFrame, scores: DataFrame) -> DataFrame:
 def family_stats(scored: DataFrame) -> DataFrame:
     plain = scored.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"),
                                        F.max("label").alias("positive"))
-    return plain.join(quantiles(scored, ["type"], "score", {"median": .5, "p95": .95}), "type")
+    return plain.join(quantiles(scored, ["type"], ("score", {"median": .5, "p95": .95})), "type")
 
 
 def ordered_families(stats: DataFrame) -> DataFrame:

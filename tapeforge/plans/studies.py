@@ -34,7 +34,7 @@ def return_summary(long: DataFrame, keys: list[str]) -> DataFrame:
     plain = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), F.avg(F.abs("ret")).alias("mean_abs"),
         (_share(F.col("ret") > 0) * 100).alias("win_pct"))
-    return _join_all(keys, plain, quantiles(d, keys, "ret", {"p5": 0.05, "median": 0.5, "p95": 0.95}))
+    return _join_all(keys, plain, quantiles(d, keys, ("ret", {"p5": 0.05, "median": 0.5, "p95": 0.95})))
 
 
 def z_summary(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def z_summary(long: DataFrame, keys: list[str]) -> DataFrame:
     plain = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_abs").alias("mean_abs_z"), F.avg("z").alias("mean_z"),
         (_share(F.col("_abs") > 1) * 100).alias("beyond_1_pct"))
-    return _join_all(keys, plain, quantiles(d, keys, "_abs", {"median_abs_z": 0.5}))
+    return _join_all(keys, plain, quantiles(d, keys, ("_abs", {"median_abs_z": 0.5})))
 
 
 def at_least(summary: DataFrame, n: int, count: str = "n") -> DataFrame:
@@ -145,9 +145,9 @@ def category_shares(events: DataFrame) -> DataFrame:
 def excursion_quantiles(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Quantiles of the worst breach, median and p90 of the share outside."""
     d, by = (events, keys) if keys else (events.withColumn("_all", F.lit(0)), ["_all"])
-    exc = quantiles(d, by, "max_excursion", {"p10": .1, "p25": .25, "p50": .5, "p75": .75, "p90": .9, "p95": .95})
-    out = quantiles(d, by, "frac_outside", {"outside_median": .5, "outside_p90": .9})
-    return exc.join(out, by).drop("_all")
+    return quantiles(
+        d, by, ("max_excursion", {"p10": .1, "p25": .25, "p50": .5, "p75": .75, "p90": .9, "p95": .95}),
+        ("frac_outside", {"outside_median": .5, "outside_p90": .9})).drop("_all")
 
 
 def worst_returns(events: DataFrame, ret: str, k: int = 12) -> DataFrame:
@@ -196,12 +196,12 @@ def series_years(indexed: DataFrame) -> DataFrame:
 
 def geometry_report(events: DataFrame, population: DataFrame, years: DataFrame) -> DataFrame:
     """Compression and convergence of events against random windows, and events per year."""
-    both = _sides(events, population, ["convergence"]).withColumn("compression", 1 - F.col("convergence"))
+    both = _sides(events, population, ["convergence"])
     keys = ["symbol", "side"]
     per_side = _join_all(
         keys, both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _share(F.col("convergence") < 0).alias("diverging")),
-        quantiles(both, keys, "convergence", {"convergence_median": .5}),
-        quantiles(both, keys, "compression", {"compression_median": .5}))
+        quantiles(both, keys, ("convergence", {"convergence_median": .5})))
+    per_side = per_side.withColumn("compression_median", 1 - F.col("convergence_median"))
     wide = _pivot_sides(per_side, ["n", "diverging", "convergence_median", "compression_median"])
     return wide.join(years, "symbol").withColumn(
         "events_per_year", F.col("n") / F.greatest(F.col("years"), F.lit(1e-9)))
@@ -230,8 +230,8 @@ def gap_position_summary(events: DataFrame, population: DataFrame, length: int,
     keys = ["symbol", "side"]
     plain = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("gap_pos").alias("mean"),
                                     _share(F.col("gap_pos") >= off).alias("inside_fit"))
-    return _join_all(keys, plain, quantiles(both, keys, "gap_pos",
-                                            {"p10": .1, "p25": .25, "median": .5, "p75": .75, "p90": .9}))
+    return _join_all(keys, plain, quantiles(both, keys, ("gap_pos",
+                                            {"p10": .1, "p25": .25, "median": .5, "p75": .75, "p90": .9})))
 
 
 def gap_position_histogram(events: DataFrame, population: DataFrame, edges: list[float]) -> DataFrame:
@@ -264,13 +264,14 @@ def volatility_summary(windows: DataFrame, events: DataFrame, threshold: float,
     bands = volatility_bands(windows, threshold)
     swing = bands.groupBy("symbol").agg(
         (F.max("rate") / F.min(F.when(F.col("rate") > 0, F.col("rate")))).alias("swing"))
-    hits = windows.where(F.col("score") >= threshold)
+    hit_trend = F.when(F.col("score") >= threshold, F.col("vol_trend"))
     ok = events.where("vol_trend is not null and convergence is not null")
     link = ok.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_events"),
                                     F.corr("vol_trend", "convergence").alias("_r"))
     link = link.select("symbol", "n_events", F.when(F.col("n_events") > min_events, F.col("_r")).alias("r_convergence"))
-    return _join_all(["symbol"], swing, quantiles(hits, ["symbol"], "vol_trend", {"median_detections": .5}),
-                     quantiles(windows, ["symbol"], "vol_trend", {"median_population": .5}), link)
+    medians = quantiles(windows, ["symbol"], (hit_trend, {"median_detections": .5}),
+                        ("vol_trend", {"median_population": .5}))
+    return _join_all(["symbol"], swing, medians, link)
 
 
 def run_summary(windows: DataFrame, events: DataFrame, population: DataFrame, years: DataFrame,
@@ -284,8 +285,8 @@ def run_summary(windows: DataFrame, events: DataFrame, population: DataFrame, ye
     gaps = gap_enrichment(events, population).select(
         "symbol", "gap_share", "gap_share_pop", F.col("rate_ratio").alias("gap_rate_ratio"))
     return _join_all(["symbol"], counts, geo, gaps,
-                     quantiles(events, ["symbol"], "vol_trend", {"vol_trend_median": .5}),
-                     quantiles(windows, ["symbol"], "vol_trend", {"vol_trend_median_pop": .5}))
+                     quantiles(events, ["symbol"], ("vol_trend", {"vol_trend_median": .5})),
+                     quantiles(windows, ["symbol"], ("vol_trend", {"vol_trend_median_pop": .5})))
 
 
 # --- volatility control and projection ---------------------------------------
@@ -297,11 +298,9 @@ def dud_rates(outcomes: DataFrame, baseline: DataFrame) -> DataFrame:
     not below, exactly as a comparison with a missing value does.
     """
     keys = ["horizon"]
-    med = quantiles(baseline, keys, "abs_ret", {"base_median_raw": .5}).join(
-        quantiles(baseline, keys, "abs_z", {"base_median_z": .5}), keys)
+    med = quantiles(baseline, keys, ("abs_ret", {"base_median_raw": .5}), ("abs_z", {"base_median_z": .5}))
     done = outcomes.where("abs_ret is not null")
-    ev = quantiles(done, keys, "abs_ret", {"event_median_raw": .5}).join(
-        quantiles(done, keys, "abs_z", {"event_median_z": .5}), keys)
+    ev = quantiles(done, keys, ("abs_ret", {"event_median_raw": .5}), ("abs_z", {"event_median_z": .5}))
     rates = done.join(med, keys).groupBy("horizon", "base_median_raw", "base_median_z").agg(
         F.count(F.lit(1)).alias("n"),
         (_share(F.col("abs_ret") < F.col("base_median_raw")) * 100).alias("dud_raw"),
@@ -311,7 +310,7 @@ def dud_rates(outcomes: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def quintile_means(outcomes: DataFrame, events: DataFrame, by: str = "mid_travel", value: str = "abs_z") -> DataFrame:
     """Mean ``value`` per horizon and right-closed quintile of ``by`` over all events."""
-    edges = quantiles(events, [], by, {f"q{i}": i / 5 for i in range(1, 5)})
+    edges = quantiles(events, [], (by, {f"q{i}": i / 5 for i in range(1, 5)}))
     cuts = [edges.select(f"q{i}").scalar() for i in range(1, 5)]
     x = F.col(by)
     quint = F.when(x <= cuts[0], 1).when(x <= cuts[1], 2).when(x <= cuts[2], 3).when(x <= cuts[3], 4).otherwise(5)
@@ -323,7 +322,7 @@ def baseline_median(indexed_with_ret: DataFrame, ret: str, warmup: int = SESSION
     """Median absolute forward move over every ``stride``-th bar after the warm-up."""
     on = indexed_with_ret.where((F.col("bar_idx") >= warmup) & ((F.col("bar_idx") - warmup) % stride == 0)
                                 & F.col(ret).isNotNull())
-    return quantiles(on.withColumn("_a", F.abs(ret)), [], "_a", {"base_median": .5})
+    return quantiles(on.withColumn("_a", F.abs(ret)), [], ("_a", {"base_median": .5}))
 
 
 def clipped_histograms(long: DataFrame, keys: list[str], value: str, clip: float, bins: int) -> DataFrame:
@@ -336,6 +335,6 @@ def self_scaled_histograms(long: DataFrame, baseline: str, bins: int) -> DataFra
     """Histograms per (horizon, group) clipped at the baseline group's p99 of the absolute return."""
     d = long.where("ret is not null")
     base = d.where(F.col("group") == baseline).withColumn("_a", F.abs("ret"))
-    clip = quantiles(base, ["horizon"], "_a", {"clip": .99})
+    clip = quantiles(base, ["horizon"], ("_a", {"clip": .99}))
     d = d.join(clip, "horizon").withColumn("_v", clipped(F.col("ret"), F.col("clip")))
     return histogram(d, ["horizon", "group"], "_v", -F.col("clip"), F.col("clip"), bins)
