@@ -179,7 +179,7 @@ def with_apex(fits: DataFrame, n: int) -> DataFrame:
     cross = (F.col("a_lower") - F.col("a_upper")) / closing
     return (
         fits.withColumn("apex_ahead", F.when(converging, cross - (n - 1)))
-        .withColumn("apex_min", F.coalesce(F.rint("apex_ahead"), F.lit(0.0)).cast("int"))
+        .withColumn("apex_min", F.coalesce(F.rint("apex_ahead"), F.lit(0.0)).cast("long"))
         .withColumn("apex_price", F.when(converging, F.col("a_upper") + F.col("b_upper") * cross)
                     .otherwise(F.lit(0.0)))
         .withColumn("apex_ok", F.coalesce(F.col("apex_ahead") <= APEX_MAX_AHEAD, F.lit(False)))
@@ -188,36 +188,33 @@ def with_apex(fits: DataFrame, n: int) -> DataFrame:
 
 # --- the same fit as plain DataFrame steps, for sparse point sets -------------
 
-def _one_sided_fit(points: DataFrame, keys: list[str], x: str, y: str, q: float, upper: bool,
-                   names: tuple[str, str]) -> DataFrame:
-    """(keys, intercept, slope) by regr_* and percentile; groups are single windows, hence small."""
-    a, b = names
-    kept = points.withColumn("_keep", F.lit(True))
-    line = None
-    for i in range(REFITS + 1):
-        line = kept.where("_keep").groupBy(*keys).agg(
-            F.regr_intercept(y, x).alias(a), F.regr_slope(y, x).alias(b))
-        if i == REFITS:
-            break
-        resid = points.join(line, keys).withColumn("_r", F.col(y) - (F.col(a) + F.col(b) * F.col(x)))
-        cut = F.percentile("_r", F.lit(q)).over(Window.partitionBy(*keys))
-        resid = resid.withColumn("_cut", cut)
-        kept = resid.withColumn("_keep", F.col("_r") >= F.col("_cut") if upper else F.col("_r") <= F.col("_cut"))
-        kept = kept.select(*keys, x, y, "_keep")
-    return line
-
-
 def envelope_fit_sql(points: DataFrame, keys: list[str], x: str = "pos") -> DataFrame:
-    """Envelope lines of windows given as rows (keys, x, high, low).
+    """Envelope lines of windows given as rows (keys, x, high, low), in built-in functions only.
 
-    The reference semantics stop refitting below three kept points; a window of
-    seven or more points never gets there, so this path requires that length.
+    Every round is a window function over the same ``keys``, so all rounds of
+    both sides share one shuffle; a partition is one window, hence small. The
+    stop below three kept points never applies from seven points on, and this
+    path requires that length.
     """
-    upper = _one_sided_fit(points, keys, x, "high", UPPER_Q, True, ("a_upper", "b_upper"))
-    lower = _one_sided_fit(points, keys, x, "low", LOWER_Q, False, ("a_lower", "b_lower"))
-    span = points.groupBy(*keys).agg(
+    whole = Window.partitionBy(*keys)
+    d = points.select(*keys, x, "high", "low", F.lit(True).alias("_ku"), F.lit(True).alias("_kl"))
+    for i in range(REFITS + 1):
+        upper, lower = F.when(F.col("_ku"), F.col("high")), F.when(F.col("_kl"), F.col("low"))
+        d = d.select("*", F.regr_intercept(upper, x).over(whole).alias("_au"),
+                     F.regr_slope(upper, x).over(whole).alias("_bu"),
+                     F.regr_intercept(lower, x).over(whole).alias("_al"),
+                     F.regr_slope(lower, x).over(whole).alias("_bl"))
+        if i == REFITS:
+            break
+        d = d.withColumn("_ru", F.col("high") - (F.col("_au") + F.col("_bu") * F.col(x)))
+        d = d.withColumn("_rl", F.col("low") - (F.col("_al") + F.col("_bl") * F.col(x)))
+        d = d.select(*keys, x, "high", "low",
+                     (F.col("_ru") >= F.percentile("_ru", F.lit(UPPER_Q)).over(whole)).alias("_ku"),
+                     (F.col("_rl") <= F.percentile("_rl", F.lit(LOWER_Q)).over(whole)).alias("_kl"))
+    return d.groupBy(*keys).agg(
+        F.first("_au").alias("a_upper"), F.first("_bu").alias("b_upper"),
+        F.first("_al").alias("a_lower"), F.first("_bl").alias("b_lower"),
         F.greatest(F.max("high") - F.min("low"), F.lit(TINY)).alias("price_range"))
-    return upper.join(lower, keys).join(span, keys)
 
 
 def visit_runs(near: Column, spec: WindowSpec) -> Column:

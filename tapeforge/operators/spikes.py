@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tapeforge.operators.windows import spread
@@ -31,7 +32,8 @@ def step(state: State, prices: tuple[float, float, float, float], limit: float =
     """
     closes, rejects = state
     if closes:
-        middle = float(np.median(closes))
+        ranked = sorted(closes)
+        middle = (ranked[(len(ranked) - 1) // 2] + ranked[len(ranked) // 2]) / 2
         worst = max(abs(p / middle - 1.0) for p in prices) if middle else np.inf
         if worst > limit:
             if rejects < max_rejects:
@@ -41,9 +43,32 @@ def step(state: State, prices: tuple[float, float, float, float], limit: float =
 
 
 def _walk(pdf: pd.DataFrame, state: State, limit: float) -> tuple[np.ndarray, State]:
-    accepted = np.empty(len(pdf), dtype=bool)
-    for i, row in enumerate(pdf[PRICE_COLS].to_numpy()):
-        accepted[i], state = step(state, tuple(row), limit)
+    """Judge a run of bars in order.
+
+    After MEMORY acceptances in a row the reference is simply the last MEMORY
+    closes, so up to the next outlier everything is accepted at once; only the
+    stretches around outliers are stepped bar by bar.
+    """
+    prices = pdf[PRICE_COLS].to_numpy(np.float64)
+    n, close = len(prices), prices[:, 3]
+    accepted = np.ones(n, dtype=bool)
+    outliers = np.empty(0, dtype=np.int64)
+    if n > MEMORY:
+        middle = np.median(sliding_window_view(close, MEMORY)[:-1], axis=1)[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            calm = np.abs(prices[MEMORY:] / middle - 1.0).max(axis=1) <= limit
+        outliers = np.flatnonzero(~calm) + MEMORY
+    i = streak = 0
+    while i < n:
+        if streak >= MEMORY:
+            k = np.searchsorted(outliers, i)
+            stop = int(outliers[k]) if k < len(outliers) else n
+            if stop > i:
+                state, i = (close[stop - MEMORY:stop].tolist(), 0), stop
+                continue
+        accepted[i], state = step(state, tuple(prices[i].tolist()), limit)
+        streak = (1 if len(state[0]) == 1 else streak + 1) if accepted[i] else 0
+        i += 1
     return accepted, state
 
 
@@ -106,7 +131,7 @@ def spike_filter(indexed: DataFrame, limit: float = LIMIT, chunk: int = 4096, wa
             .cogroup(todo.groupBy(*keys)).applyInPandas(lambda b, s: _redo(b, s, limit), _STATE)
         )
         states = cut_lineage(states.join(todo.select(*keys), keys, "left_anti").unionByName(redone))
-    judged = T.StructType([*own.schema.fields, T.StructField("accepted", T.BooleanType())])
-    flags = own.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(
-        lambda b, s: _judge(b, s, limit), judged)
-    return indexed.join(flags.select("symbol", "bar_idx", "accepted"), ["symbol", "bar_idx"])
+    bars = indexed.withColumn("chunk", F.expr(f"bar_idx div {chunk}"))
+    judged = T.StructType([*bars.schema.fields, T.StructField("accepted", T.BooleanType())])
+    return bars.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(
+        lambda b, s: _judge(b, s, limit), judged).drop("chunk")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeforge.functions.ranking import quantiles
-from tapeforge.operators.geometry import simple_slopes
 from tapeforge.operators.indexing import window_starts
 from tapeforge.operators.sampling import shuffled, with_validation_split
 from tapeforge.operators.windows import gather, normalised_windows
@@ -40,13 +39,19 @@ def confirmed_negative(rows: DataFrame, length: int, rule: str = "reference") ->
     if rule not in ("reference", "corrected"):
         raise ValueError(f"rule must be 'reference' or 'corrected', got {rule!r}")
     keys = ["symbol", "start_idx"]
-    first = rows.where("pos = 0").select(*keys, F.col("high").alias("_h0"), F.col("low").alias("_l0"))
-    lines = simple_slopes(rows, keys).join(first, keys)
-    low_line = F.col("_l0") + F.col("slope_low") * F.col("pos")
-    width = F.col("_h0") + F.col("slope_high") * F.col("pos") - low_line + 1e-10
-    rel = rows.select(*keys, "pos", "close").join(lines, keys).withColumn("_rel", F.try_divide(F.col("close") - low_line, width))
-    per = rel.groupBy(*keys).agg(F.first("slope_high").alias("slope_high"), F.first("slope_low").alias("slope_low"),
-                                 F.min("_rel").alias("rel_min"), F.max("_rel").alias("rel_max"))
+    # One shuffle: a group is one window, so its closes fit an array of ``length``.
+    per = rows.groupBy(*keys).agg(
+        F.regr_slope("high", "pos").alias("slope_high"), F.regr_slope("low", "pos").alias("slope_low"),
+        F.min_by("high", "pos").alias("_h0"), F.min_by("low", "pos").alias("_l0"),
+        F.collect_list(F.struct("pos", "close")).alias("_c"))
+
+    def place(c: Column) -> Column:
+        low_line = F.col("_l0") + F.col("slope_low") * c["pos"]
+        width = F.col("_h0") + F.col("slope_high") * c["pos"] - low_line + 1e-10
+        return F.try_divide(c["close"] - low_line, width)
+
+    per = per.withColumn("_rel", F.transform("_c", place)).select(
+        *keys, "slope_high", "slope_low", F.array_min("_rel").alias("rel_min"), F.array_max("_rel").alias("rel_max"))
     closing = (F.col("slope_high") > F.col("slope_low") if rule == "reference"
                else F.col("slope_low") > F.col("slope_high"))
     possible = ((F.col("slope_high") > 0) & (F.col("slope_low") > 0) & closing
