@@ -146,7 +146,9 @@ def envelope_windows(indexed: DataFrame, length: int, fit_bars: int | None = Non
 
     if at is None:
         return bars.groupBy("symbol", "chunk").applyInPandas(lambda pdf: measure(pdf, None), schema)
-    keys = at.select("symbol", "end_idx").distinct().withColumn("chunk", F.expr(f"end_idx div {chunk}"))
+    # Fresh column identities, since ``at`` may come from the very same bars.
+    keys = at.select(F.col("symbol").alias("_s"), F.col("end_idx").alias("_e")).distinct().select(
+        F.col("_s").alias("symbol"), F.col("_e").alias("end_idx"), F.expr(f"_e div {chunk}").alias("chunk"))
     bars = bars.join(keys.select("symbol", "chunk").distinct(), ["symbol", "chunk"], "left_semi")
     return (
         bars.groupBy("symbol", "chunk").cogroup(keys.groupBy("symbol", "chunk"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeforge.functions.ranking import quantiles
-from tapeforge.operators.detection import cluster_events, select_nonoverlapping, shape_score
+from tapeforge.operators.detection import cluster_events, score_windows, select_nonoverlapping, shape_score
 from tapeforge.operators.forward import excursions, gap_columns, long_outcomes, volatility_trend_steps
 from tapeforge.operators.geometry import envelope_windows, with_apex, with_geometry
+from tapeforge.session import cut_lineage
 
 CARRY = ["ts", "close", "session_minute", "day_no", "vol_trend"]
 
@@ -29,6 +33,18 @@ def detections(windows: DataFrame, threshold: float) -> DataFrame:
     return windows.where(F.col("score") >= threshold)
 
 
+def detect_with_model(indexed: DataFrame, length: int, scorer: Callable[[np.ndarray], np.ndarray], threshold: float,
+                      fit_bars: int | None = None, stride: int = 1, chunk: int | None = None) -> DataFrame:
+    """Detections of an external batch model, with geometry fitted only where it fired.
+
+    The hits are written once: they are few, and they both choose the windows to
+    measure and carry the scores.
+    """
+    hits = cut_lineage(score_windows(indexed, length, scorer, stride, chunk).where(F.col("score") >= threshold))
+    measured = scan(indexed, length, fit_bars, at=hits, chunk=chunk).drop("score")
+    return measured.join(hits, ["symbol", "start_idx", "end_idx"])
+
+
 def detect_top(indexed: DataFrame, length: int, threshold: float, top: int | None = 5, stride: int = 5,
                fit_bars: int | None = None, scorer: Column | None = None, chunk: int | None = None) -> DataFrame:
     """Best non-overlapping detections per symbol, in time order within a symbol."""

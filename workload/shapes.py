@@ -333,6 +333,16 @@ def x1_score_by_batch_function(spark, sf):
     return detection.score_windows(indexed(spark, sf), N, last_close, chunk=CHUNK).select("symbol", "start_idx", *r("score"))
 
 
+@query(f"""WITH {windows_sql()}, {normal_sql()} SELECT w.symbol, w.start_idx, round(n.close + 3e-8, 6) + 0.0 AS score, {rs('convergence', 'max_excursion')}, w.touch_up
+FROM win w JOIN nrm n ON n.symbol = w.symbol AND n.start_idx = w.start_idx AND n.pos = {N - 1} WHERE n.close >= 0.6""")
+def x1_model_then_geometry(spark, sf):
+    def last_close(batch):
+        return batch[:, -1, 3]
+
+    return detect.detect_with_model(indexed(spark, sf), N, last_close, 0.6, FIT, chunk=CHUNK).select(
+        "symbol", "start_idx", *r("score", "convergence", "max_excursion"), "touch_up")
+
+
 @query()
 def x2_window_classifier(spark, sf):
     """Spark ML classifier trained on window measures; label = the window was followed by a fall."""
