@@ -124,19 +124,32 @@ def hash_key(seed: int | str, *cols: str) -> Column:
 
 
 def hash_rank(df: DataFrame, seed: int | str, ids: list[str], within: list[str] | None = None,
-              out: str = "hash_rank") -> DataFrame:
+              out: str = "hash_rank", limit: Column | int | None = None) -> DataFrame:
     """0-based position of every row in the seeded random order, dense within a group.
 
     The first three hex digits split any group, however hot, into 4096 equal
-    buckets; rows are numbered inside a bucket and shifted by its offset.
+    buckets; rows are numbered inside a bucket and shifted by its offset. With
+    ``limit`` (constant within a group) only ranks below it are returned, and
+    buckets that lie beyond it are dropped before anything is shuffled.
     """
     keys = within or ["_all"]
     d = df.withColumn("_h", hash_key(seed, *ids))
     if not within:
         d = d.withColumn("_all", F.lit(0))
     d = d.withColumn("_bucket", F.substring("_h", 1, 3))
-    before = _running(d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n")), keys, "_bucket", ["n"], False)
+    if limit is not None:
+        d = d.withColumn("_limit", (limit if isinstance(limit, Column) else F.lit(limit)).cast("long"))
+    sums = [F.count(F.lit(1)).alias("n")] + ([F.first("_limit").alias("_limit")] if limit is not None else [])
+    counts = d.groupBy(*keys, "_bucket").agg(*sums)
+    before = _running(counts, keys, "_bucket", ["n"], False)
+    if limit is not None:
+        # One row per group: the last bucket that holds a wanted rank.
+        last = (before.join(counts.select(*keys, "_bucket", "_limit"), [*keys, "_bucket"])
+                .where("_before_n < _limit").groupBy(*keys).agg(F.max("_bucket").alias("_last")))
+        d = d.join(last, keys).where("_bucket <= _last").drop("_last")
     spec = Window.partitionBy(*keys, "_bucket").orderBy("_h", *ids)
     ranked = d.withColumn("_i", F.row_number().over(spec)).join(before, [*keys, "_bucket"])
-    return (ranked.withColumn(out, F.col("_before_n") + F.col("_i") - 1)
-            .drop("_h", "_bucket", "_i", "_before_n", *([] if within else ["_all"])))
+    ranked = ranked.withColumn(out, F.col("_before_n") + F.col("_i") - 1)
+    if limit is not None:
+        ranked = ranked.where(F.col(out) < F.col("_limit")).drop("_limit")
+    return ranked.drop("_h", "_bucket", "_i", "_before_n", *([] if within else ["_all"]))

@@ -72,7 +72,7 @@ def decide(df: DataFrame, gate_mode: str = "documented") -> DataFrame:
 
     'documented' applies the quality band to every formation that has one.
     'executed' applies any gate only to formations with an apex gate, which is
-    what the reference's loop really does.
+    how the published live loop behaves when run.
     """
     if gate_mode not in ("documented", "executed"):
         raise ValueError(f"gate_mode must be 'documented' or 'executed', got {gate_mode!r}")

@@ -57,7 +57,8 @@ def _visits(near: np.ndarray) -> np.ndarray:
     return near[:, 0].astype(np.int64) + (near[:, 1:] & ~near[:, :-1]).sum(axis=1)
 
 
-def _measure(high: np.ndarray, low: np.ndarray) -> dict[str, np.ndarray]:
+def measure_windows(high: np.ndarray, low: np.ndarray) -> dict[str, np.ndarray]:
+    """Lines and containment of a batch of windows, one row per window."""
     au, bu = envelope_lines(high, UPPER_Q, True)
     al, bl = envelope_lines(low, LOWER_Q, False)
     x = np.arange(high.shape[1], dtype=np.float64)
@@ -96,7 +97,7 @@ def _window_rows(pdf: pd.DataFrame, ends: np.ndarray, length: int, fit: int, car
     parts = []
     for i in range(0, len(ends), BATCH):
         first = ends[i:i + BATCH] - fit + 1
-        parts.append(pd.DataFrame(_measure(high[first], low[first])))
+        parts.append(pd.DataFrame(measure_windows(high[first], low[first])))
     out = pd.concat(parts, ignore_index=True)
     out["symbol"] = pdf["symbol"].iloc[0]
     out["end_idx"] = pdf["bar_idx"].to_numpy()[ends]

@@ -33,8 +33,8 @@ def confirmed_negative(rows: DataFrame, length: int, rule: str = "reference") ->
 
     A window is a possible wedge only if both slopes rise, the lines pass the
     convergence test and all closes stay within 30% of the channel through the
-    first bar. ``rule='reference'`` tests slope_high > slope_low as the
-    reference does; 'corrected' tests that the lines really close in.
+    first bar. ``rule='reference'`` tests slope_high > slope_low, the rule as
+    published; 'corrected' tests that the lines really close in.
     """
     if rule not in ("reference", "corrected"):
         raise ValueError(f"rule must be 'reference' or 'corrected', got {rule!r}")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapeforge.operators.forward import (NO_VOLATILITY, forward_lookup, forward_returns, normalised_returns, strict_volatility,
+from tapeforge.operators.forward import (NO_VOLATILITY, forward_lookup, forward_returns, strict_volatility,
                                          trailing_volatility)
 from tapeforge.operators.gates import categorise, direction_split
 from tapeforge.operators.geometry import envelope_windows, with_geometry
-from tapeforge.operators.indexing import window_starts
 from tapeforge.operators.sampling import random_baseline, random_windows, strided_baseline
 from tapeforge.functions.scalars import slope_class
 from tapeforge.plans import detect, evaluation, studies

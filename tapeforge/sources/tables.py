@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tapeforge.functions.scalars import lenient_number
 from tapeforge.schemas import DEFAULT_PATTERN, FEATURE_COLS, STAT_COLS

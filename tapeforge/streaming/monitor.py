@@ -17,7 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tapeforge.operators import geometry
 from tapeforge.operators.detection import shape_score
-from tapeforge.operators.gates import decide, per_formation, quality_ok, signal_stats
+from tapeforge.operators.gates import decide, per_formation, signal_stats
 from tapeforge.operators.spikes import LIMIT, MEMORY, step
 from tapeforge.schemas import FEATURE_COLS, PRICE_COLS
 from tapeforge.sources.tables import last_wins, split_outputs
@@ -40,6 +40,16 @@ _MEMORY = T.StructType([
 ])
 
 
+def bar_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
+    """File stream of bars with bounded micro-batches.
+
+    A symbol's rows of one micro-batch are sorted in one task, so the bound also
+    limits that task. Files must arrive in time order, as a live feed writes
+    them; unordered history is replayed with the batch operators, which chunk it.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
 def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drop repeats of a (symbol, ts) that arrive within the watermark delay."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "ts"])
@@ -140,7 +150,7 @@ def _measure_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for fit, part in pdf[full].groupby("fit"):
             high = np.stack(part["high_window"].to_numpy())[:, -int(fit):].astype(np.float64)
             low = np.stack(part["low_window"].to_numpy())[:, -int(fit):].astype(np.float64)
-            out.loc[part.index] = pd.DataFrame(geometry._measure(high, low), index=part.index)[_MEASURES]
+            out.loc[part.index] = pd.DataFrame(geometry.measure_windows(high, low), index=part.index)[_MEASURES]
         both = pd.concat([pdf.drop(columns=["high_window", "low_window", "close_window"]), out], axis=1)
         yield both
 
@@ -160,7 +170,7 @@ def score_rows(rows: DataFrame, formations: list[dict], scorer: Column | None =
                  *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in _MEASURES])
     d = geometry.with_apex(geometry.with_geometry(d, F.col("fit")), F.col("fit"))
     d = d.withColumn("score", F.when(F.col("depth") >= F.col("window"), shape_score() if scorer is None else scorer))
-    return signal_stats(decide(d.withColumn("quality_ok", quality_ok()), gate_mode))
+    return signal_stats(decide(d, gate_mode))
 
 
 def store_batch(bars_path: str, scores_path: str, signals_path: str, formations: list[dict],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeforge.plans import corpus, evaluation
 from tapeforge.operators import sampling
 from tapeforge.schemas import FAMILY_THRESHOLDS
-from workload.base import (CHUNK, N, SEED, indexed, labelled, labelled_sql, manifest, manifest_sql, query, r, rs,
+from workload.base import (N, SEED, indexed, labelled, labelled_sql, manifest, manifest_sql, query, r, rs,
                            shuffled_sql, stored_windows, table, text_ts, ts, windows_sql)
 from workload.tables import negatives_sql
 

@@ -22,7 +22,7 @@ def _flagged(spark, sf):
 
 def _source(spark, path, df):
     """A file stream over ``path`` with the schema of ``df``."""
-    return spark.readStream.schema(df.schema).parquet(path)
+    return monitor.bar_stream(spark, path, df.schema, files_per_batch=1000)
 
 
 def _rows_of(spark, sf, order="live", history=None, parts=None, limit=SPIKE_LIMIT):

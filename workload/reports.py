@@ -12,7 +12,7 @@ from tapeforge.session import cut_lineage
 from workload.base import (CHUNK, FIT, GAP_EDGES, HORIZONS, LOOKBACK, N, SEED, STRIDE, THRESHOLD, VOL_WINDOW,
                            clustered_sql, events, events_sql, filtered, filtered_sql, forward_sql, idx_sql, indexed, query, r, rs,
                            stored_windows, text_ts, ts, windows, windows_sql)
-from workload.shapes import BASE, DET9, SIGMA, STRICT, excursion_sql, greedy_sql, summary_sql
+from workload.shapes import BASE, SIGMA, STRICT, excursion_sql, greedy_sql, summary_sql
 
 RETURN_COLS = ["mean", "median", "mean_abs", "win_pct", "p5", "p95"]
 RETURN_AGG = """count(ret) AS n, avg(ret) AS mean, quantile_cont(ret, 0.5) AS median, avg(abs(ret)) AS mean_abs,

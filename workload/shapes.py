@@ -8,10 +8,10 @@ from tapeforge.functions.scalars import rounded, slope_class
 from tapeforge.operators import detection, forward, geometry, indexing, sampling, spikes
 from tapeforge.operators import windows as win
 from tapeforge.operators.gates import categorise, direction_split
-from tapeforge.plans import corpus, detect, learning, studies
+from tapeforge.plans import corpus, detect, learning
 from tapeforge.schemas import FEATURE_COLS
-from workload.base import (CATEGORY, CHUNK, FIT, HORIZONS, LOOKBACK, N, SEED, THRESHOLD, VOL_WINDOW, bars, decided,
-                           decided_sql, events, events_sql, filtered, filtered_sql, forward_sql, idx_sql, indexed, query,
+from workload.base import (CATEGORY, CHUNK, FIT, HORIZONS, LOOKBACK, N, SEED, THRESHOLD, VOL_WINDOW, decided,
+                           decided_sql, events_sql, filtered, filtered_sql, forward_sql, idx_sql, indexed, query,
                            r, rs, stats_rows, stored_windows, text_ts, ts, windows, windows_sql)
 from workload.tables import negatives_sql, normal_sql
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from tapeforge.functions.scalars import lenient_number, parse_assignments, resolve_thresholds
 from tapeforge.operators import indexing
@@ -10,7 +10,7 @@ from tapeforge.operators.forward import forward_lookup
 from tapeforge.operators.gates import per_formation
 from tapeforge.operators.windows import gather
 from tapeforge.plans import corpus, jobs, serving
-from tapeforge.schemas import CORPUS, FEATURE_COLS, KEY_BARS, KEY_SCORES, PRICE_COLS, SCORES
+from tapeforge.schemas import CORPUS, FEATURE_COLS, KEY_BARS, SCORES
 from tapeforge.session import scratch_path
 from tapeforge.sources import bars as bar_sources
 from tapeforge.sources import corpus as corpus_sources
