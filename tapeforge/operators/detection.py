@@ -100,6 +100,7 @@ def cluster_events(detections: DataFrame, max_length: int, chunk: int | None = N
 
 
 _OPEN, _TAKEN, _DROPPED = 0, 1, 2
+LONGEST_CHUNK = 1 << 18
 
 
 def _resolve(pdf: pd.DataFrame, length: int, low: int, high: int, own_low: int, own_high: int) -> pd.DataFrame:
@@ -145,11 +146,12 @@ def select_nonoverlapping(detections: DataFrame, length: int, top: int | None =
     Exactly the sequential result, reached in rounds: every chunk settles all
     windows whose better neighbours it can see, the rest is retried with shifted
     chunk borders and the decisions so far. The best open window is settled in
-    every round, so rounds end; in practice two or three suffice. ``top`` keeps
-    the best n per symbol.
+    every round, so rounds end; in practice one or two suffice. Long runs of
+    steadily rising scores need more, so later rounds, which hold fewer rows, use
+    longer chunks up to a fixed size. ``top`` keeps the best n per symbol.
     """
     chunk = max(chunk or chunk_for(4 * length), 2 * length)
-    halo = 4 * length
+    longest, halo = max(chunk, LONGEST_CHUNK), 4 * length
     payload = detections.columns
     schema = T.StructType([*detections.schema.fields, T.StructField("_state", T.IntegerType())])
     state = detections.withColumn("_state", F.lit(_OPEN))
@@ -162,7 +164,8 @@ def select_nonoverlapping(detections: DataFrame, length: int, top: int | None =
         state = cut_lineage(state.where(F.col("_state") != _DROPPED))
         if state.where(F.col("_state") == _OPEN).isEmpty():
             break
-        shift = chunk // 2 - shift
+        chunk = min(2 * chunk, longest)
+        shift = 0 if shift else chunk // 2
     chosen = state.select(*payload)
     if top is not None:
         rank = Window.partitionBy("symbol").orderBy(F.col("score").desc(), "start_idx")

@@ -9,14 +9,19 @@ DEFAULT_LIMIT, MAX_LIMIT = 2000, 25_000
 
 def range_filter(df: DataFrame, since: str | None = None, until: str | None = None,
                  window: int | None = None, pattern: str | None = None) -> DataFrame:
-    """ts >= since and ts < until, optionally one window size and pattern; all reach the scan."""
+    """ts >= since and ts < until, optionally one window size and pattern; all reach the scan.
+
+    Tables partitioned by ``day`` are pruned to the days of the range as well.
+    """
     for name, value in (("window", window), ("pattern", pattern)):
         if value is not None and name not in df.columns:
             raise ValueError(f"this table has no {name} column")
     if since is not None:
         df = df.where(F.col("ts") >= F.lit(since).cast("timestamp"))
+        df = df.where(F.col("day") >= F.lit(since).cast("timestamp").cast("date")) if "day" in df.columns else df
     if until is not None:
         df = df.where(F.col("ts") < F.lit(until).cast("timestamp"))
+        df = df.where(F.col("day") <= F.lit(until).cast("timestamp").cast("date")) if "day" in df.columns else df
     if window is not None:
         df = df.where(F.col("window") == window)
     if pattern is not None:

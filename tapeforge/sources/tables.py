@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tapeforge.functions.scalars import lenient_number
 from tapeforge.schemas import DEFAULT_PATTERN, FEATURE_COLS, STAT_COLS
+from tapeforge.session import cut_lineage
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
@@ -39,6 +40,18 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], order: list
     return last_wins(both, keys, ["_rank", *order]).drop("_rank")
 
 
+def upsert_partitions(updates: DataFrame, path: str, keys: list[str], order: list[str], partition: str) -> None:
+    """Upsert into a stored table, reading and rewriting only the partitions that ``updates`` touch.
+
+    ``partition`` must follow from the key (the day of ``ts``), so a key never moves.
+    Repeating the call with the same updates leaves the same table.
+    """
+    stored = updates.sparkSession.read.parquet(path)
+    touched = stored.join(updates.select(partition).distinct(), partition, "left_semi").select(*stored.columns)
+    merged = cut_lineage(upsert(touched, updates, keys, order))
+    write_table(merged, path, partition_by=[partition])
+
+
 def split_outputs(scored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bars, scores and fired signals out of one frame of decided rows."""
     bars = scored.select("symbol", "ts", *FEATURE_COLS).dropDuplicates(["symbol", "ts"])

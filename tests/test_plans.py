@@ -45,7 +45,7 @@ def test_built_in_fit_shuffles_once(stored):
 
 
 def test_range_query_reaches_the_scan(stored):
-    text = plan(serving.range_filter(stored, "2023-11-15", "2023-11-16").select("symbol", "ts", "close"))
+    text = plan(serving.range_filter(stored.drop("day"), "2023-11-15", "2023-11-16").select("symbol", "ts", "close"))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in text and "LessThan(ts" in text
     assert "ReadSchema: struct<symbol:string,ts:timestamp,close:double>" in text
 
@@ -71,3 +71,13 @@ def test_sparse_fit_measures_only_the_wanted_windows(stored):
     got = detect.scan(stored, 50, 40, at=hits).orderBy("end_idx").select("end_idx", "convergence").collect()
     every = {r.end_idx: r.convergence for r in detect.scan(stored, 50, 40).collect()}
     assert [(r.end_idx, r.convergence) for r in got] == [(e, every[e]) for e in (99, 700, 2500)]
+
+
+def test_range_query_prunes_day_partitions(spark, stored, tmp_path):
+    path = str(tmp_path / "daily")
+    stored.write.partitionBy("day").parquet(path)
+    d = spark.read.parquet(path)
+    text = plan(serving.range_filter(d, "2023-11-15 06:00:00", "2023-11-15 12:00:00"))
+    assert "PartitionFilters: [isnotnull(day" in text and "2023-11-15" in text
+    got = serving.range_filter(d, "2023-11-15 06:00:00", "2023-11-15 12:00:00").count()
+    assert got == stored.where("ts >= '2023-11-15 06:00:00' and ts < '2023-11-15 12:00:00'").count() == 360

@@ -140,6 +140,17 @@ def s7_upsert_last_wins(spark, sf):
     return bar_rows(stored.upsert(base.withColumn("seq", F.lit(0)), later.unionByName(late), KEY_BARS, ["seq"]))
 
 
+@query(f"""WITH {bars_sql()} SELECT symbol, {ts('ts')}, open, high, low, close, CASE WHEN hour(ts) >= 18 AND day(ts) = 9 THEN volume + 1 ELSE volume END AS volume FROM bars""")
+def s7_upsert_stored_partitions(spark, sf):
+    """Re-served bars of one day replace their rows in a table partitioned by day."""
+    path = scratch_path(spark, "daily")
+    base = bars(spark, sf).withColumn("day", F.to_date("ts"))
+    stored.write_table(base, path, partition_by=["day"])
+    again = base.where((F.dayofmonth("ts") == 9) & (F.hour("ts") >= 18)).withColumn("volume", F.col("volume") + 1)
+    stored.upsert_partitions(again, path, KEY_BARS, [], "day")
+    return bar_rows(spark.read.parquet(path))
+
+
 @query(f"""WITH {decided_sql()} SELECT 'bars' AS table_name, CAST(count(DISTINCT (symbol, date_end)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS signals FROM dec
 UNION ALL SELECT 'scores', count(*), CAST(sum(signal) AS BIGINT) FROM dec
 UNION ALL SELECT 'signals', count(*) FILTER (WHERE signal = 1), count(*) FILTER (WHERE signal = 1) FROM dec""")
