@@ -53,9 +53,8 @@ def detect_top(spark, sf):
 
 
 def backtest(spark, sf):
-    b = ix(spark, sf)
-    hits = detect.detections(detect.scan(b, N, FIT, 5, scorer()), THRESHOLD).select("symbol", "start_idx", "end_idx", "score")
-    drain(detect.backtest_summary(detect.backtest(b, hits, HORIZONS), HORIZONS))
+    for df in jobs.backtest_study(ix(spark, sf), N, THRESHOLD, HORIZONS, FIT, scorer=scorer()).values():
+        drain(df)
 
 
 def detection_study(spark, sf):

@@ -80,7 +80,7 @@ def compare_windows(indexed: DataFrame, sizes: list[int], threshold: float, hori
     parts = []
     for size in sizes:
         chosen = detect_top(indexed, size, threshold, top=None, stride=max(1, size // 25), chunk=chunk)
-        res = backtest(indexed, chosen, horizons, digits=None, chunk=chunk)
+        res = cut_lineage(backtest(indexed, chosen, horizons, digits=None, chunk=chunk))
         parts.append(backtest_summary(res, horizons).withColumn("window_size", F.lit(size)))
     both = parts[0]
     for p in parts[1:]:

@@ -16,6 +16,16 @@ from tapeforge.session import cut_lineage
 POPULATION = 20_000
 
 
+def backtest_study(indexed: DataFrame, length: int, threshold: float, horizons: list[int],
+                   fit_bars: int | None = None, stride: int = 5, scorer: Column | None = None,
+                   chunk: int | None = None) -> dict[str, DataFrame]:
+    """Outcome of every detection and its summary per horizon."""
+    hits = detect.detections(detect.scan(indexed, length, fit_bars, stride, scorer, chunk=chunk), threshold)
+    slim = hits.select("symbol", "start_idx", "end_idx", "score", "date_start", "date_end")
+    results = cut_lineage(detect.backtest(indexed, slim, horizons, chunk=chunk))
+    return {"results": results, "summary": detect.backtest_summary(results, horizons)}
+
+
 def detection_study(indexed: DataFrame, length: int, threshold: float, fit_bars: int | None, stride: int = 1,
                     seed: int = 0, bin_minutes: int = 30, gap_edges: list[float] | None = None,
                     scorer: Column | None = None, chunk: int | None = None) -> dict[str, DataFrame]:
@@ -128,6 +138,7 @@ def abs_outcomes(indexed: DataFrame, horizons: list[int], vol_window: int) -> Da
 def volatility_control(events: DataFrame, indexed: DataFrame, horizons: list[int], vol_window: int = 390,
                        stride: int = 10) -> dict[str, DataFrame]:
     """Dud rates and slope quintiles after dividing moves by what volatility implies."""
+    events = cut_lineage(events.select("symbol", "end_idx", "mid_travel"))
     every = abs_outcomes(indexed, horizons, vol_window)
     base = cut_lineage(strided_baseline(every, vol_window, stride))
     hits = cut_lineage(every.join(

@@ -8,7 +8,7 @@ from tapeforge.functions.scalars import rounded, slope_class
 from tapeforge.operators import detection, forward, geometry, indexing, sampling, spikes
 from tapeforge.operators import windows as win
 from tapeforge.operators.gates import categorise, direction_split
-from tapeforge.plans import corpus, detect, learning
+from tapeforge.plans import corpus, detect, jobs, learning
 from tapeforge.schemas import FEATURE_COLS
 from workload.base import (CATEGORY, CHUNK, FIT, HORIZONS, LOOKBACK, N, SEED, THRESHOLD, VOL_WINDOW, decided,
                            decided_sql, events_sql, filtered, filtered_sql, forward_sql, idx_sql, indexed, query,
@@ -378,9 +378,8 @@ quantile_cont(ret, 0.5) AS median_return, avg(mfe) AS avg_mfe FROM ({' UNION ALL
 FROM win w JOIN exc ON exc.symbol = w.symbol AND exc.bar_idx = w.end_idx WHERE score >= {THRESHOLD})
 SELECT horizon, n, {rs('win_rate', 'avg_return', 'median_return', 'avg_mfe')} FROM {summary_sql('bt')}""")
 def a5_backtest_summary(spark, sf):
-    hits = detect.detections(windows(spark, sf), THRESHOLD).select("symbol", "start_idx", "end_idx", "score")
-    res = detect.backtest(indexed(spark, sf), hits, HORIZONS, chunk=CHUNK)
-    return detect.backtest_summary(res, HORIZONS).select("horizon", "n", *r("win_rate", "avg_return", "median_return", "avg_mfe"))
+    study = jobs.backtest_study(indexed(spark, sf), N, THRESHOLD, HORIZONS, FIT, stride=1, chunk=CHUNK)
+    return study["summary"].select("horizon", "n", *r("win_rate", "avg_return", "median_return", "avg_mfe"))
 
 
 # --- baselines and samples ----------------------------------------------------
