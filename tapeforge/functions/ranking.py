@@ -42,7 +42,7 @@ def running_totals(df: DataFrame, keys: list[str], value: str, cols: list[str],
     ``df`` must hold one row per (keys, value), i.e. be grouped already. Rows are
     range-partitioned on sampled bounds, so tasks stay even whatever the
     distribution (scores crowding at 1, say). The partition number orders the
-    ranges; the checkpoint fixes it, so a lost executor cannot change it.
+    ranges; writing the rows fixes it, so a lost executor cannot change it.
     """
     d = cut_lineage(df.repartitionByRange(*keys, value).withColumn("_bucket", F.spark_partition_id()))
     totals = d.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(c) for c in cols])

@@ -32,7 +32,7 @@ def detection_study(indexed: DataFrame, length: int, threshold: float, fit_bars:
     """Where and when a detector fires and whether that follows clock, gaps or volatility.
 
     The scan is the expensive part and feeds every report, so its rows are
-    written once to the checkpoint folder.
+    written once.
     """
     windows = cut_lineage(detect.scan(indexed, length, fit_bars, stride, scorer, chunk=chunk))
     events = cut_lineage(detect.find_events(windows, length, threshold, chunk))
