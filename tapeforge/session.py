@@ -29,12 +29,15 @@ def local_session(app: str = "tapeforge", cpus: str | int = "*", shuffle_partiti
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) is a temporary folder chosen.
+    The cluster names it in ``spark.checkpoint.dir``. Only a ``local`` master, whose
+    driver and executors are one process, falls back to a temporary folder;
+    elsewhere the parts of a table would end up on different machines' disks.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tapeforge-"))
     return sc.getCheckpointDir()
 
