@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeforge.llm import simhash, toxicity
+from tapeforge.llm import (decontaminate, line_dedup, packing, pii, quality, simhash, token_files, toxicity, url_filter,
+                           warc)
+from tapeforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,11 +32,66 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query()
+def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(table(spark, sf, "documents"))
+
+
+URL_RULES = [url_filter.Rule(*r.split()) for r in (
+    "allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")]
+
+
+@query()
+def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf, "pages"), URL_RULES)
+
+
 @query()
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query()
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each line that an earlier one of the corpus repeats."""
+    return line_dedup.repeats(table(spark, sf, "documents"))
+
+
+@query()
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.measure(table(spark, sf, "documents"))
+
+
+@query()
+def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    index = token_files.write(table(spark, sf, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, index, folder)
+
+
+@query()
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each contaminated document and test item; a document without a row is clean."""
+    return decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    index = warc.write(table(spark, sf, "pages"), folder)
+    return warc.read(spark, index, folder).drop("url")
+
+
+@query()
+def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packed(table(spark, sf, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def toxicity_model(docs: DataFrame, spark: SparkSession, sf: str) -> toxicity.ToxicityModel:
     """Learned from the labelled rows outside the held-out quarter."""
     return toxicity.learn(docs, table(spark, sf, "labels").where(f"not ({HELD_OUT})"))
