@@ -116,7 +116,7 @@ def _writer(folder: str, frame_bytes: int):
                 frames.append((len(packed), size))
                 held, size = [], 0
 
-        with store.open_output_stream(f"{at}/{name}") as f:
+        with store.open_output_stream(f"{at}/{name}", compression=None) as f:
             for b in slices(batches, 64):
                 out: list[list] = [[], [], [], [], []]
                 for r in b.to_pylist():
