@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeforge.functions.ranking import hash_rank
 from tapeforge.schemas import TRAIN_FRACTION, VAL_FRACTION
 
 
-def random_baseline(indexed: DataFrame, length: int, max_horizon: int, seed: int, cap: int = 20_000) -> DataFrame:
-    """Random window ends per symbol without replacement: min(cap, bars // 4) of [length, n - horizon - 1)."""
+def random_baseline(indexed: DataFrame, length: int, max_horizon: int, seed: int,
+                    size: Column | int | None) -> DataFrame:
+    """Random window ends per symbol without replacement, out of [length, n - horizon - 1).
+
+    ``size`` is a number or an expression of ``n_bars`` per symbol; None takes every eligible bar.
+    """
     pool = indexed.where((F.col("bar_idx") >= length) & (F.col("bar_idx") < F.col("n_bars") - max_horizon - 1))
-    size = F.least(F.lit(cap), F.expr("n_bars div 4"))
+    if size is None:
+        return pool.select("symbol", F.col("bar_idx").alias("end_idx"))
     return (
         hash_rank(pool.select("symbol", "bar_idx", "n_bars"), seed, ["symbol", "bar_idx"], ["symbol"], limit=size)
         .select("symbol", F.col("bar_idx").alias("end_idx"))

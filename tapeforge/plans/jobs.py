@@ -13,8 +13,6 @@ from tapeforge.functions.scalars import slope_class
 from tapeforge.plans import detect, evaluation, studies
 from tapeforge.session import cut_lineage
 
-POPULATION = 20_000
-
 
 def backtest_study(indexed: DataFrame, length: int, threshold: float, horizons: list[int],
                    fit_bars: int | None = None, stride: int = 5, scorer: Column | None = None,
@@ -28,15 +26,16 @@ def backtest_study(indexed: DataFrame, length: int, threshold: float, horizons:
 
 def detection_study(indexed: DataFrame, length: int, threshold: float, fit_bars: int | None, stride: int = 1,
                     seed: int = 0, bin_minutes: int = 30, gap_edges: list[float] | None = None,
-                    scorer: Column | None = None, chunk: int | None = None) -> dict[str, DataFrame]:
+                    scorer: Column | None = None, chunk: int | None = None,
+                    population_size: int | None = None) -> dict[str, DataFrame]:
     """Where and when a detector fires and whether that follows clock, gaps or volatility.
 
     The scan is the expensive part and feeds every report, so its rows are
-    written once.
+    written once. All windows are the background, or ``population_size`` random ones per symbol.
     """
     windows = cut_lineage(detect.scan(indexed, length, fit_bars, stride, scorer, chunk=chunk))
     events = cut_lineage(detect.find_events(windows, length, threshold, chunk))
-    population = cut_lineage(random_windows(windows, POPULATION, seed))
+    population = windows if population_size is None else cut_lineage(random_windows(windows, population_size, seed))
     years = studies.series_years(indexed)
     rates = studies.rate_by_minute(windows, threshold, bin_minutes)
     return {
@@ -78,10 +77,11 @@ def grouped_outcomes(groups: DataFrame, indexed: DataFrame, horizons: list[int],
 
 
 def filter_study(events: DataFrame, indexed: DataFrame, length: int, fit_bars: int | None, horizons: list[int],
-                 lookback: int, seed: int = 0, chunk: int | None = None, worst: int = 12) -> dict[str, DataFrame]:
-    """Which events survive the quality filter and what followed, against random bars."""
+                 lookback: int, seed: int = 0, chunk: int | None = None, worst: int = 12,
+                 baseline_size: Column | int | None = None) -> dict[str, DataFrame]:
+    """Which events survive the quality filter and what followed, against every eligible bar or random ones."""
     ev = cut_lineage(filtered_events(events, indexed, length, fit_bars, chunk))
-    base = random_baseline(indexed, length, max(horizons), seed).withColumn("group", F.lit("RANDOM"))
+    base = random_baseline(indexed, length, max(horizons), seed, baseline_size).withColumn("group", F.lit("RANDOM"))
     tagged = ev.select("symbol", "end_idx", F.col("category").alias("group"))
     split = direction_split(ev).select("symbol", "end_idx", F.concat(F.lit("CLEAN "), "direction").alias("group"))
     out = cut_lineage(grouped_outcomes(tagged.unionByName(split).unionByName(base), indexed, horizons, lookback))
@@ -105,21 +105,22 @@ def filter_study(events: DataFrame, indexed: DataFrame, length: int, fit_bars: i
 
 def slope_study(indexed: DataFrame, length: int, threshold: float, horizons: list[int], stride: int = 10,
                 min_events: int = 10, chunk: int | None = None) -> DataFrame:
-    """Correlation of whole-window geometry with what followed; empty below ``min_events`` events."""
+    """Correlation of whole-window geometry with what followed; ``enough`` tells whether ``min_events`` outcomes back it."""
     windows = cut_lineage(detect.scan(indexed, length, None, stride, chunk=chunk))
     events = detect.find_events(windows, length, threshold, chunk)
-    enough = events.agg(F.count(F.lit(1)) >= min_events).scalar()
-    long = forward_lookup(events.where(enough), indexed, horizons)
-    return studies.correlations(long, ["travel_upper", "travel_lower", "convergence", "score"], ["horizon"])
+    long = forward_lookup(events, indexed, horizons)
+    found = studies.correlations(long, ["travel_upper", "travel_lower", "convergence", "score"], ["horizon"])
+    return found.withColumn("enough", F.col("n") >= min_events)
 
 
 def slope_returns(events: DataFrame, indexed: DataFrame, horizons: list[int], length: int, seed: int = 0,
-                  flat: float = 0.15, category: str | None = "CLEAN") -> dict[str, DataFrame]:
-    """Forward returns of rising, falling and flat events against random bars."""
+                  flat: float = 0.15, category: str | None = "CLEAN",
+                  baseline_size: Column | int | None = None) -> dict[str, DataFrame]:
+    """Forward returns of rising, falling and flat events against every eligible bar or random ones."""
     if category is not None:
         events = events.where(F.col("category") == category)
     classed = events.select("symbol", "end_idx", slope_class(F.col("mid_travel"), flat).alias("group"))
-    base = random_baseline(indexed, length, max(horizons), seed).withColumn("group", F.lit("random"))
+    base = random_baseline(indexed, length, max(horizons), seed, baseline_size).withColumn("group", F.lit("random"))
     long = cut_lineage(forward_lookup(classed.unionByName(base), indexed, horizons))
     return {"returns": long, "summary": studies.return_summary(long, ["group", "horizon"]),
             "histograms": studies.self_scaled_histograms(long, "random", 54)}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -17,12 +20,12 @@ FEATURES = ["convergence", "mid_travel", "width_start", "max_excursion", "mean_e
 def fit_window_classifier(labelled: DataFrame, features: list[str] | None = None, max_iter: int = 50) -> PipelineModel:
     """Class-weighted logistic regression on window measures; rows with a missing feature are skipped.
 
-    There are two classes, so the weight table has two rows.
+    The weights of the two classes are looked up in a map, so nothing is joined.
     """
     cols = features or FEATURES
-    weights = F.broadcast(class_weights(labelled).select("label", "weight"))
-    train = labelled.join(weights, "label").select(
-        F.col("label").cast("double").alias("label"), "weight", *[F.col(c).cast("double").alias(c) for c in cols])
+    table = class_weights(labelled).agg(F.map_from_entries(F.collect_list(F.struct("label", "weight")))).scalar()
+    train = labelled.select(
+        F.col("label").cast("double").alias("label"), F.try_element_at(table, F.col("label")).alias("weight"), *[F.col(c).cast("double").alias(c) for c in cols])
     stages = [VectorAssembler(inputCols=cols, outputCol="_raw", handleInvalid="skip"),
               StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
               LogisticRegression(featuresCol="_scaled", labelCol="label", weightCol="weight", maxIter=max_iter,
@@ -31,8 +34,12 @@ def fit_window_classifier(labelled: DataFrame, features: list[str] | None = None
 
 
 def score_with_model(windows: DataFrame, model: PipelineModel) -> DataFrame:
-    """Replace ``score`` by the model's probability; rows with a missing feature are left out."""
+    """Replace ``score`` by the model's probability; a window with a missing feature keeps its row with a null score."""
     cols = model.stages[0].getInputCols()
+    missing = reduce(or_, (F.col(c).isNull() | F.isnan(c) for c in cols))
     ready = windows.select("symbol", "start_idx", "end_idx", *[F.col(c).cast("double").alias(c) for c in cols])
+    ready = ready.withColumn("_missing", missing)
+    ready = ready.select("symbol", "start_idx", "end_idx", "_missing",
+                         *[F.when(F.col("_missing"), 0.0).otherwise(F.col(c)).alias(c) for c in cols])
     return model.transform(ready).select(
-        "symbol", "start_idx", "end_idx", vector_to_array("probability")[1].alias("score"))
+        "symbol", "start_idx", "end_idx", F.when(~F.col("_missing"), vector_to_array("probability")[1]).alias("score"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from datetime import datetime, timedelta
 
-DEFAULT_LIMIT, MAX_LIMIT = 2000, 25_000
+from pyspark.sql import DataFrame, functions as F
 
 
 def range_filter(df: DataFrame, since: str | None = None, until: str | None = None,
@@ -29,22 +29,30 @@ def range_filter(df: DataFrame, since: str | None = None, until: str | None = No
     return df
 
 
-def newest(df: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The newest ``limit`` rows (at most 25000) in ascending time."""
+def newest(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """The newest ``limit`` rows, or all of them, in ascending time."""
     ties = [c for c in ("symbol", "pattern", "window") if c in df.columns]
-    top = df.orderBy(F.col("ts").desc(), *ties).limit(min(limit, MAX_LIMIT))
-    return top.orderBy("ts", *ties)
+    if limit is not None:
+        df = df.orderBy(F.col("ts").desc(), *ties).limit(limit)
+    return df.orderBy("ts", *ties)
 
 
 def range_query(df: DataFrame, since: str | None = None, until: str | None = None, window: int | None = None,
-                pattern: str | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+                pattern: str | None = None, limit: int | None = None) -> DataFrame:
+    """Every row of the range in ascending time, or the newest ``limit`` of them."""
     return newest(range_filter(df, since, until, window, pattern), limit)
 
 
 def select_day(df: DataFrame, date: str | None = None) -> DataFrame:
-    """Rows of one day, by default the latest."""
-    day = F.lit(date).cast("date") if date else df.agg(F.to_date(F.max("ts"))).scalar()
-    return df.where(F.to_date("ts") == day)
+    """Rows of one day, by default the latest. The day's bounds reach the scan and prune a ``day`` partition."""
+    if date is None:
+        last = df.agg(F.max("day" if "day" in df.columns else "ts")).first()[0]
+        if last is None:
+            return df.limit(0)
+        date = last.strftime("%Y-%m-%d")
+    end = (datetime.fromisoformat(date) + timedelta(days=1)).strftime("%Y-%m-%d")
+    days = df.where(F.col("day") == F.lit(date).cast("date")) if "day" in df.columns else df
+    return days.where((F.col("ts") >= F.lit(date).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
 
 
 def latest_bar(bars: DataFrame) -> DataFrame:

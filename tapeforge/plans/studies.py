@@ -26,6 +26,16 @@ def _join_all(keys: list[str], first: DataFrame, *rest: DataFrame, how: str = "l
     return first
 
 
+def _by_key(small: DataFrame, key: str, cols: list[str]) -> Column:
+    """Struct of ``cols`` of the row of ``small`` with the same key, null if there is none.
+
+    For tables whose keys are a short list that the caller wrote, such as horizons: they become one map,
+    and the rows that look something up are not shuffled by so few keys.
+    """
+    table = small.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.struct(*cols))))).scalar()
+    return F.try_element_at(table, F.col(key))
+
+
 # --- forward outcomes ---------------------------------------------------------
 
 def return_summary(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,8 +57,8 @@ def z_summary(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def at_least(summary: DataFrame, n: int, count: str = "n") -> DataFrame:
-    """Drop groups that are too small to report (strictly more than ``n`` rows are needed)."""
-    return summary.where(F.col(count) > n)
+    """Flag in ``enough`` the groups that are large enough to report (strictly more than ``n`` rows)."""
+    return summary.withColumn("enough", F.col(count) > n)
 
 
 def convergence_buckets(events: DataFrame, horizons: list[int], focus: int, step: float = 0.1,
@@ -260,15 +270,16 @@ def volatility_bands(windows: DataFrame, threshold: float) -> DataFrame:
 
 
 def volatility_summary(windows: DataFrame, events: DataFrame, threshold: float, min_events: int = 5) -> DataFrame:
-    """Median trend of detections and of all windows, band swing, and correlation with convergence."""
+    """Median trend of detections and of all windows, band swing, and correlation with convergence, with a flag ``enough``
+    where more than ``min_events`` events back it."""
     bands = volatility_bands(windows, threshold)
     swing = bands.groupBy("symbol").agg(
         (F.max("rate") / F.min(F.when(F.col("rate") > 0, F.col("rate")))).alias("swing"))
     hit_trend = F.when(F.col("score") >= threshold, F.col("vol_trend"))
     ok = events.where("vol_trend is not null and convergence is not null")
-    link = ok.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_events"),
-                                    F.corr("vol_trend", "convergence").alias("_r"))
-    link = link.select("symbol", "n_events", F.when(F.col("n_events") > min_events, F.col("_r")).alias("r_convergence"))
+    link = at_least(ok.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_events"),
+                                             F.corr("vol_trend", "convergence").alias("r_convergence")),
+                    min_events, "n_events")
     medians = quantiles(windows, ["symbol"], (hit_trend, {"median_detections": .5}),
                         ("vol_trend", {"median_population": .5}))
     return _join_all(["symbol"], swing, medians, link)
@@ -299,9 +310,11 @@ def dud_rates(outcomes: DataFrame, baseline: DataFrame) -> DataFrame:
     """
     keys = ["horizon"]
     med = quantiles(baseline, keys, ("abs_ret", {"base_median_raw": .5}), ("abs_z", {"base_median_z": .5}))
+    looked_up = _by_key(med, "horizon", ["base_median_raw", "base_median_z"])
     done = outcomes.where("abs_ret is not null")
     ev = quantiles(done, keys, ("abs_ret", {"event_median_raw": .5}), ("abs_z", {"event_median_z": .5}))
-    rates = done.join(med, keys).groupBy("horizon", "base_median_raw", "base_median_z").agg(
+    rates = done.select("horizon", "abs_ret", "abs_z", looked_up.alias("_m")).where("_m is not null").select(
+        "horizon", "abs_ret", "abs_z", "_m.*").groupBy("horizon", "base_median_raw", "base_median_z").agg(
         F.count(F.lit(1)).alias("n"),
         (_share(F.col("abs_ret") < F.col("base_median_raw")) * 100).alias("dud_raw"),
         (F.avg(F.coalesce(F.col("abs_z") < F.col("base_median_z"), F.lit(False)).cast("int")) * 100).alias("dud_z"))
@@ -336,5 +349,6 @@ def self_scaled_histograms(long: DataFrame, baseline: str, bins: int) -> DataFra
     d = long.where("ret is not null")
     base = d.where(F.col("group") == baseline).withColumn("_a", F.abs("ret"))
     clip = quantiles(base, ["horizon"], ("_a", {"clip": .99}))
-    d = d.join(clip, "horizon").withColumn("_v", clipped(F.col("ret"), F.col("clip")))
+    d = d.withColumn("clip", _by_key(clip, "horizon", ["clip"])["clip"]).where("clip is not null")
+    d = d.withColumn("_v", clipped(F.col("ret"), F.col("clip")))
     return histogram(d, ["horizon", "group"], "_v", -F.col("clip"), F.col("clip"), bins)

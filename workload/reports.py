@@ -42,7 +42,7 @@ lng AS ({long_sql('outc', 'grp', ('ret', 'z'))})"""
 
 def _outcomes(spark, sf):
     ev, ix = filtered(spark, sf), indexed(spark, sf)
-    base = sampling.random_baseline(ix, N, max(HORIZONS), SEED).withColumn("group", F.lit("RANDOM"))
+    base = sampling.random_baseline(ix, N, max(HORIZONS), SEED, F.expr("n_bars div 4")).withColumn("group", F.lit("RANDOM"))
     split = _by_direction(ev)
     groups = ev.select("symbol", "end_idx", F.col("category").alias("group")).unionByName(split).unionByName(base)
     return cut_lineage(jobs.grouped_outcomes(groups, ix, HORIZONS, LOOKBACK))
@@ -64,10 +64,10 @@ def a4_z_summary(spark, sf):
     return d.select(F.col("group").alias("grp"), "horizon", "n", *r(*Z_COLS))
 
 
-@query(f"WITH {GROUPS} SELECT grp, horizon, n, {rs('mean')} FROM (SELECT grp, horizon, {RETURN_AGG} FROM lng WHERE ret IS NOT NULL GROUP BY ALL) WHERE n > 5")
+@query(f"WITH {GROUPS} SELECT grp, horizon, n, n > 40 AS enough, {rs('mean')} FROM (SELECT grp, horizon, {RETURN_AGG} FROM lng WHERE ret IS NOT NULL GROUP BY ALL)")
 def p22_minimum_samples(spark, sf):
-    d = studies.at_least(studies.return_summary(_outcomes(spark, sf), ["group", "horizon"]), 5)
-    return d.select(F.col("group").alias("grp"), "horizon", "n", *r("mean"))
+    d = studies.at_least(studies.return_summary(_outcomes(spark, sf), ["group", "horizon"]), 40)
+    return d.select(F.col("group").alias("grp"), "horizon", "n", "enough", *r("mean"))
 
 
 @query(f"""WITH {filtered_sql()} SELECT coalesce(category, 'TOTAL') AS category, count(*) AS n,
@@ -121,9 +121,7 @@ def a10_rate_concentration(spark, sf):
     return d.select("symbol", "bins", "silent_bins", *r("swing", "top2_share"))
 
 
-POP = 200  # random background windows per symbol; the sampling operator itself
-POPULATION = f"""pop AS (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY symbol
- ORDER BY md5(concat_ws(':', '{SEED}', symbol, CAST(start_idx AS VARCHAR))), symbol, start_idx) <= {POP})"""
+POPULATION = "pop AS (SELECT * FROM win)"
 YEARS = "yrs AS (SELECT symbol, floor((epoch(max(ts)) - epoch(min(ts))) / 86400) / 365.25 AS years FROM idx GROUP BY symbol)"
 GEO_REPORT = f"""{YEARS}, {POPULATION}, g1 AS (SELECT symbol, count(*) AS n, avg(CASE WHEN convergence < 0 THEN 1.0 ELSE 0.0 END) AS diverging,
  quantile_cont(convergence, 0.5) AS convergence_median, quantile_cont(1 - convergence, 0.5) AS compression_median FROM ev GROUP BY symbol),
@@ -136,7 +134,7 @@ GEO_COLS = ["diverging", "diverging_pop", "convergence_median", "convergence_med
 
 def _study_inputs(spark, sf):
     w = stored_windows(spark, sf)
-    return w, cut_lineage(detect.find_events(w, N, THRESHOLD, CHUNK)), cut_lineage(sampling.random_windows(w, POP, SEED))
+    return w, cut_lineage(detect.find_events(w, N, THRESHOLD, CHUNK)), w
 
 
 @query(f"WITH {events_sql()}, {GEO_REPORT} SELECT symbol, n, n_pop, {rs(*GEO_COLS)} FROM geor")
@@ -205,7 +203,7 @@ def a14_volatility_bands(spark, sf):
 
 
 @query(f"""WITH {events_sql()}, {BANDS} SELECT symbol, round(swing + 3e-8, 6) AS swing, round(md + 3e-8, 6) AS median_detections, round(mp + 3e-8, 6) AS median_population,
-CAST(n_events AS DOUBLE) AS n_events, round(CASE WHEN n_events > 5 THEN rc END + 3e-8, 6) + 0.0 AS r_convergence
+CAST(n_events AS DOUBLE) AS n_events, n_events > 5 AS enough, round(rc + 3e-8, 6) + 0.0 AS r_convergence
 FROM (SELECT symbol, max(rate) / min(rate) FILTER (WHERE rate > 0) AS swing FROM bands GROUP BY symbol) a
 LEFT JOIN (SELECT symbol, quantile_cont(vol_trend, 0.5) AS mp, quantile_cont(vol_trend, 0.5) FILTER (WHERE score >= {THRESHOLD}) AS md FROM win GROUP BY symbol) b USING (symbol)
 LEFT JOIN (SELECT symbol, count(*) AS n_events, corr(vol_trend, convergence) AS rc FROM ev WHERE vol_trend IS NOT NULL GROUP BY symbol) c USING (symbol)""")
@@ -213,7 +211,7 @@ def a14_volatility_summary(spark, sf):
     w = stored_windows(spark, sf)
     d = studies.volatility_summary(w, detect.find_events(w, N, THRESHOLD, CHUNK), THRESHOLD)
     return d.select("symbol", *r("swing", "median_detections", "median_population"),
-                    F.col("n_events").cast("double").alias("n_events"), *r("r_convergence"))
+                    F.col("n_events").cast("double").alias("n_events"), "enough", *r("r_convergence"))
 
 
 CORR_FEATURES = ["travel_upper", "travel_lower", "convergence", "score"]
@@ -324,7 +322,8 @@ outc AS (SELECT grp, fwd.* FROM grp JOIN fwd ON fwd.symbol = grp.symbol AND fwd.
 
 
 def _slope_returns(spark, sf):
-    return jobs.slope_returns(filtered(spark, sf), indexed(spark, sf), HORIZONS, N, SEED, category=None)
+    return jobs.slope_returns(filtered(spark, sf), indexed(spark, sf), HORIZONS, N, SEED, category=None,
+                              baseline_size=F.expr("n_bars div 4"))
 
 
 @query(f"WITH {SLOPE_GROUPS} SELECT grp, horizon, n, {rs(*RETURN_COLS)} FROM (SELECT grp, horizon, {RETURN_AGG} FROM lng WHERE ret IS NOT NULL GROUP BY ALL)")
@@ -372,10 +371,10 @@ def k4_filter_study_events(spark, sf):
 
 
 @query(f"""WITH {windows_sql(N, N, 'a.bar_idx % 2 = 0')}, det AS (SELECT * FROM win WHERE score >= 0.7),{clustered_sql('det', 'ev')}, {forward_sql()},
-o AS (SELECT ev.travel_upper, ev.travel_lower, ev.convergence, ev.score, fwd.* FROM ev JOIN fwd ON fwd.symbol = ev.symbol AND fwd.bar_idx = ev.end_idx) {corr_sql('o')}""")
+o AS (SELECT ev.travel_upper, ev.travel_lower, ev.convergence, ev.score, fwd.* FROM ev JOIN fwd ON fwd.symbol = ev.symbol AND fwd.bar_idx = ev.end_idx) SELECT *, n >= 10 AS enough FROM ({corr_sql('o')})""")
 def k5_slope_study(spark, sf):
     return jobs.slope_study(indexed(spark, sf), N, 0.7, HORIZONS, stride=2, chunk=CHUNK).select(
-        "horizon", "feature", "n", *r("r_signed", "r_size"))
+        "horizon", "feature", "n", "enough", *r("r_signed", "r_size"))
 
 
 @query(f"""WITH {windows_sql()}, {ABS} SELECT horizon, round(corr(mid_travel, abs_z) + 3e-8, 6) + 0.0 AS r_travel_z FROM evh WHERE abs_z IS NOT NULL GROUP BY horizon""")

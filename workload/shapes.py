@@ -391,7 +391,7 @@ FROM idx WHERE bar_idx >= {N} AND bar_idx < n_bars - {max(HORIZONS)} - 1) WHERE
 
 @query(f"WITH {idx_sql()}, {BASE} SELECT symbol, end_idx FROM base")
 def u3_random_baseline(spark, sf):
-    return sampling.random_baseline(indexed(spark, sf), N, max(HORIZONS), SEED)
+    return sampling.random_baseline(indexed(spark, sf), N, max(HORIZONS), SEED, F.expr("n_bars div 4"))
 
 
 @query(f"""WITH {filtered_sql()} SELECT symbol, start_idx, category FROM flt
