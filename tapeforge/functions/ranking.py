@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tapeforge.session import cut_lineage
 
 PER_OCTAVE = 8192
+PARTS = 65536             # second-level buckets within one bucket
+BUCKET_ROWS = 1_000_000   # rows of a hash bucket that are numbered in one task
 
 
 def value_bucket(col: Column | str) -> Column:
@@ -72,7 +74,7 @@ def quantiles(df: DataFrame, keys: list[str], *measures: tuple[Column | str, dic
     d = df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell._m", "_cell._v")
     d = d.where("_v is not null and not isnan(_v)").withColumn("_bucket", value_bucket("_v"))
     by = [*keys, "_m"]
-    counts = d.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = d.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     up_to = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         counts.withColumn("_to", F.sum("_n").over(up_to))
@@ -87,16 +89,30 @@ def quantiles(df: DataFrame, keys: list[str], *measures: tuple[Column | str, dic
         .withColumn("_rank", rank).withColumn("_low", F.floor("_rank")).withColumn("_high", F.ceil("_rank"))
         .where("(_low >= _from and _low < _to) or (_high >= _from and _high < _to)")
     )
-    per_bucket = targets.groupBy(*by, "_bucket", "_from").agg(
+    per_bucket = targets.groupBy(*by, "_bucket", "_from", "_lo", "_hi").agg(
         F.collect_list(F.struct(F.col("_q.name").alias("name"), "_rank", "_low", "_high")).alias("_want"))
-    # One row per distinct value of a wanted bucket, with the rank range it covers.
-    values = (d.join(per_bucket.select(*by, "_bucket"), [*by, "_bucket"], "left_semi")
-              .groupBy(*by, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    inside = (Window.partitionBy(*by, "_bucket").orderBy("_v")
+    # The same again inside the wanted buckets: scores that crowd in one bucket are parted evenly by value. A part
+    # spans less than 2^-29 of an octave, so it has some eight million distinct doubles at most, whatever the data.
+    part = F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * PARTS)
+    near = d.join(per_bucket.select(*by, "_bucket", "_lo", "_hi"), [*by, "_bucket"]).withColumn("_part", part)
+    parts = near.groupBy(*by, "_bucket", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    up_to_part = (Window.partitionBy(*by, "_bucket").orderBy("_part")
+                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    per_part = (
+        parts.withColumn("_to", F.sum("_n").over(up_to_part)).join(per_bucket, [*by, "_bucket"])
+        .withColumn("_to", F.col("_from") + F.col("_to")).withColumn("_from", F.col("_to") - F.col("_n"))
+        .withColumn("_want", F.filter("_want", lambda w: ((w["_low"] >= F.col("_from")) & (w["_low"] < F.col("_to")))
+                                      | ((w["_high"] >= F.col("_from")) & (w["_high"] < F.col("_to")))))
+        .where(F.size("_want") > 0).select(*by, "_bucket", "_part", "_from", "_want")
+    )
+    # One row per distinct value of a wanted part, with the rank range it covers.
+    values = (near.join(per_part.select(*by, "_bucket", "_part"), [*by, "_bucket", "_part"], "left_semi")
+              .groupBy(*by, "_bucket", "_part", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    inside = (Window.partitionBy(*by, "_bucket", "_part").orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = (
         values.withColumn("_cum", F.sum("_c").over(inside))
-        .join(per_bucket, [*by, "_bucket"])
+        .join(per_part, [*by, "_bucket", "_part"])
         .withColumn("_end", F.col("_from") + F.col("_cum")).withColumn("_begin", F.col("_end") - F.col("_c"))
         .select(*keys, "_v", "_begin", "_end", F.explode("_want").alias("_w"))
         .where("(_w._low >= _begin and _w._low < _end) or (_w._high >= _begin and _w._high < _end)")
@@ -127,28 +143,32 @@ def hash_rank(df: DataFrame, seed: int | str, ids: list[str], within: list[str]
               out: str = "hash_rank", limit: Column | int | None = None) -> DataFrame:
     """0-based position of every row in the seeded random order, dense within a group.
 
-    The first three hex digits split any group, however hot, into 4096 equal
-    buckets; rows are numbered inside a bucket and shifted by its offset. With
-    ``limit`` (constant within a group) only ranks below it are returned, and
-    buckets that lie beyond it are dropped before anything is shuffled.
+    The leading hex digits split any group, however hot, into equal buckets of at
+    most about ``BUCKET_ROWS`` rows; rows are numbered inside a bucket and shifted by
+    its offset. With ``limit`` (constant within a group) only ranks below it are
+    returned; buckets beyond it fall out of the join that adds the offsets, which runs on
+    (group, bucket) and whose partitioning the numbering reuses.
     """
     keys = within or ["_all"]
     d = df.withColumn("_h", hash_key(seed, *ids))
     if not within:
         d = d.withColumn("_all", F.lit(0))
-    d = d.withColumn("_bucket", F.substring("_h", 1, 3))
+    digits = 3
+    if limit is None:  # buckets that are wanted whole: more of them for more rows
+        largest = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        while largest > BUCKET_ROWS * 16 ** digits:
+            digits += 1
+    d = d.withColumn("_bucket", F.substring("_h", 1, digits))
     if limit is not None:
         d = d.withColumn("_limit", (limit if isinstance(limit, Column) else F.lit(limit)).cast("long"))
     sums = [F.count(F.lit(1)).alias("n")] + ([F.first("_limit").alias("_limit")] if limit is not None else [])
     counts = d.groupBy(*keys, "_bucket").agg(*sums)
     before = _running(counts, keys, "_bucket", ["n"], False)
     if limit is not None:
-        # One row per group: the last bucket that holds a wanted rank.
-        last = (before.join(counts.select(*keys, "_bucket", "_limit"), [*keys, "_bucket"])
-                .where("_before_n < _limit").groupBy(*keys).agg(F.max("_bucket").alias("_last")))
-        d = d.join(last, keys).where("_bucket <= _last").drop("_last")
+        before = before.join(counts.select(*keys, "_bucket", F.col("_limit").alias("_most")), [*keys, "_bucket"])
+        before = before.where("_before_n < _most").drop("_most")
     spec = Window.partitionBy(*keys, "_bucket").orderBy("_h", *ids)
-    ranked = d.withColumn("_i", F.row_number().over(spec)).join(before, [*keys, "_bucket"])
+    ranked = d.join(before, [*keys, "_bucket"]).withColumn("_i", F.row_number().over(spec))
     ranked = ranked.withColumn(out, F.col("_before_n") + F.col("_i") - 1)
     if limit is not None:
         ranked = ranked.where(F.col(out) < F.col("_limit")).drop("_limit")

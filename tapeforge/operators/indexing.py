@@ -37,7 +37,8 @@ def with_bar_index(bars: DataFrame) -> DataFrame:
     no task ever sorts a whole series; the join reuses that partitioning.
     """
     days = series_days(bars)
-    in_day = Window.partitionBy("symbol", "day").orderBy("ts")
+    ties = [c for c in bars.columns if c not in ("symbol", "ts", "day")]  # equal times: the same order at every evaluation
+    in_day = Window.partitionBy("symbol", "day").orderBy("ts", *ties)
     numbered = bars.withColumn("day", F.to_date("ts")).withColumn("_n", F.row_number().over(in_day))
     return (
         numbered.join(days, ["symbol", "day"])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from tapeforge.schemas import PRICE_COLS
 
 ZERO_RANGE = 1e-10
+SALTS = 64  # tasks that the bars of one symbol are spread over when they meet a per-symbol value
 
 
 def chunk_for(halo: int) -> int:
@@ -131,9 +132,12 @@ def lag_sequences(indexed: DataFrame, col: str, length: int = 60, chunk: int | N
     Values are min-max scaled by the series range; ``low`` and ``span`` undo it.
     """
     stats = indexed.groupBy("symbol").agg(F.min(col).alias("low"), (F.max(col) - F.min(col)).alias("span"))
+    # One copy of a symbol's range per salt: the bars of a hot symbol meet it in many tasks.
+    stats = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     safe = F.when(F.col("span") == 0, F.lit(1.0)).otherwise(F.col("span"))
     scaled = (
-        indexed.select("symbol", "bar_idx", col).join(stats, "symbol")
+        indexed.select("symbol", "bar_idx", col, F.pmod("bar_idx", F.lit(SALTS)).cast("long").alias("_salt"))
+        .join(stats, ["symbol", "_salt"]).drop("_salt")
         .withColumn("target", (F.col(col) - F.col("low")) / safe)
     )
 

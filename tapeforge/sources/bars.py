@@ -25,11 +25,11 @@ def bars_from_ticks(ticks: DataFrame, unit: str, symbol: str = "event_type", ts:
 
 
 def read_bars_csv(spark: SparkSession, path: str, ts_col: str = "ts", symbol: str | None = None) -> DataFrame:
-    """CSV bars with header; only the bar columns are read, types are declared, not inferred."""
-    raw = spark.read.option("header", True).csv(path)
+    """CSV bars with header; only the bar columns are read, nothing is inferred. A cell that isn't a number or time is null."""
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     name = F.lit(symbol) if symbol is not None else F.col("symbol")
-    return raw.select(name.alias("symbol"), F.col(ts_col).cast("timestamp").alias("ts"),
-                      *[F.col(c).cast("double").alias(c) for c in FEATURE_COLS])
+    return raw.select(name.alias("symbol"), F.col(ts_col).try_cast("timestamp").alias("ts"),
+                      *[F.col(c).try_cast("double").alias(c) for c in FEATURE_COLS])
 
 
 def read_bars(spark: SparkSession, *paths: str) -> DataFrame:
@@ -46,16 +46,18 @@ def read_bars(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.createDataFrame([], BARS)
 
 
-def completed_bars(bars: DataFrame, now: str, bar_seconds: int = 60, zone: str = "America/New_York") -> DataFrame:
+def completed_bars(bars: DataFrame, now: str | None = None, bar_seconds: int = 60, zone: str = "America/New_York") -> DataFrame:
     """Bars that have closed by ``now`` (UTC), with their time shown in exchange time.
 
-    Works on batch and streaming frames alike.
+    Works on batch and streaming frames alike. Without ``now`` it is the clock, in a
+    stream that of each micro-batch; replays and tests name an instant.
     """
-    closed = F.col("ts") <= F.lit(now).cast("timestamp") - F.make_interval(secs=F.lit(bar_seconds))
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    closed = F.col("ts") <= at - F.make_interval(secs=F.lit(bar_seconds))
     return bars.where(closed).withColumn("ts", F.from_utc_timestamp("ts", zone))
 
 
-def newest_completed(bars: DataFrame, now: str, bar_seconds: int = 60) -> DataFrame:
+def newest_completed(bars: DataFrame, now: str | None = None, bar_seconds: int = 60) -> DataFrame:
     """The newest closed bar of every symbol."""
     done = completed_bars(bars, now, bar_seconds)
     cols = [c for c in done.columns if c != "symbol"]

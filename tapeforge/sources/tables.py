@@ -44,9 +44,14 @@ def upsert_partitions(updates: DataFrame, path: str, keys: list[str], order: lis
     """Upsert into a stored table, reading and rewriting only the partitions that ``updates`` touch.
 
     ``partition`` must follow from the key (the day of ``ts``), so a key never moves.
-    Repeating the call with the same updates leaves the same table.
+    Repeating the call with the same updates leaves the same table; a table that is not there yet is created.
     """
-    stored = updates.sparkSession.read.parquet(path)
+    spark = updates.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        write_table(last_wins(updates, keys, order), path, partition_by=[partition])
+        return
+    stored = spark.read.parquet(path)
     touched = stored.join(updates.select(partition).distinct(), partition, "left_semi").select(*stored.columns)
     merged = cut_lineage(upsert(touched, updates, keys, order))
     write_table(merged, path, partition_by=[partition])

@@ -107,7 +107,8 @@ class BarMemory(StatefulProcessor):
 
 
 def warm_start(history: DataFrame, length: int) -> DataFrame:
-    """State rows from stored bars (with ``in_session``): last closes of all bars, windows of session bars.
+    """State rows from stored bars (with ``in_session``): the time of the last bar of any kind, and the closes and
+    windows of session bars, which is what the spike filter compares with.
 
     Only the newest rows of a symbol matter, so a row_number limit trims each
     task's share before anything is shuffled.
@@ -121,12 +122,18 @@ def warm_start(history: DataFrame, length: int) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct("ts", F.col(c).alias("v"))))
         return F.transform(rows, lambda x: x["v"]).alias(name)
 
-    seeds = tail(history, MEMORY).groupBy("symbol").agg(F.max("ts").alias("last_ts"), in_order("close", "closes"))
-    rings = tail(history.where("in_session"), length).groupBy("symbol").agg(
+    last = history.groupBy("symbol").agg(F.max("ts").alias("last_ts"))
+    rings = tail(history.where("in_session"), max(length, MEMORY)).groupBy("symbol").agg(
         *[in_order(c, f"{c}_window") for c in RING_COLS])
     empty = F.array().cast("array<double>")
-    return seeds.join(rings, "symbol", "left").select(
-        "symbol", "last_ts", "closes", *[F.coalesce(f"{c}_window", empty).alias(f"{c}_window") for c in RING_COLS])
+
+    def newest_of(c: str, n: int) -> Column:
+        held = F.coalesce(f"{c}_window", empty)
+        return F.slice(held, F.greatest(F.size(held) - n + 1, F.lit(1)), F.lit(n))
+
+    return last.join(rings, "symbol", "left").select(
+        "symbol", "last_ts", newest_of("close", MEMORY).alias("closes"),
+        *[newest_of(c, length).alias(f"{c}_window") for c in RING_COLS])
 
 
 def window_rows(stream: DataFrame, length: int, limit: float = LIMIT, order: str = "live",

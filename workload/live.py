@@ -74,7 +74,7 @@ def t2_t3_t4_stream_windows(spark, sf):
 
 WARM = f"""{RAW}, old AS (SELECT * FROM raw WHERE ts < TIMESTAMP '{HALF}'),
 new AS (SELECT * REPLACE (row_number() OVER (PARTITION BY symbol ORDER BY ts) AS bar_idx) FROM raw WHERE ts >= TIMESTAMP '{HALF}'),
-seeds AS (SELECT symbol, list(close ORDER BY ts) AS closes FROM (SELECT * FROM old QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 10) GROUP BY symbol),
+seeds AS (SELECT symbol, list(close ORDER BY ts) AS closes FROM (SELECT * FROM old WHERE in_session QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 10) GROUP BY symbol),
 spk(symbol, bar_idx, accepted, closes, rejects) AS (
   SELECT symbol, CAST(0 AS BIGINT), FALSE, closes, 0 FROM seeds
   UNION ALL
