@@ -107,47 +107,53 @@ def classification_report(scored: DataFrame, threshold: float) -> DataFrame:
     return m.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
 
 
-def _curve_counts(scored: DataFrame) -> DataFrame:
+def curve_counts(scored: DataFrame) -> DataFrame:
     """Cumulative positives and negatives at every distinct score, highest first."""
     per_score = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("tp"),
                                             F.count_if(F.col("label") != 1).alias("fp"))
     return running_totals(per_score, [], "score", ["tp", "fp"], descending=True)
 
 
-def roc_curve(scored: DataFrame) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score."""
+def roc_curve(scored: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(threshold, fpr, tpr) at every distinct score, and the start (null, 0, 0).
+
+    Every curve and area takes ``counts``, the table of ``curve_counts``, where several of them are wanted.
+    """
     tot = scored.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
     pos, neg = tot.select("p").scalar(), tot.select("n").scalar()
-    return _curve_counts(scored).select(F.col("score").alias("threshold"), F.try_divide(F.col("cum_fp"), neg).alias("fpr"),
-                                        F.try_divide(F.col("cum_tp"), pos).alias("tpr"))
+    points = (counts or curve_counts(scored)).select(
+        F.col("score").alias("threshold"), F.try_divide(F.col("cum_fp"), neg).alias("fpr"),
+        F.try_divide(F.col("cum_tp"), pos).alias("tpr"))
+    start = tot.select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return points.unionByName(start)
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
+def roc_auc(scored: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Exact area under the ROC curve.
 
     The trapezoid of a step at one score needs only that row: its own counts
     and the positives ranked above it, so no lag over the whole curve is taken.
     """
-    c = _curve_counts(scored)
+    c = counts or curve_counts(scored)
     step = F.col("fp") * ((F.col("cum_tp") - F.col("tp")) + F.col("tp") / 2)
     return c.agg(F.try_divide(F.sum(step), F.sum("tp") * F.sum("fp").cast("double")).alias("roc_auc"))
 
 
-def pr_curve(scored: DataFrame) -> DataFrame:
+def pr_curve(scored: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(threshold, precision, recall) at every distinct score; the end point (0, 1) is implied."""
     pos = scored.agg(F.count_if(F.col("label") == 1)).scalar()
-    return _curve_counts(scored).select(
+    return (counts or curve_counts(scored)).select(
         F.col("score").alias("threshold"),
         (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"),
         F.try_divide(F.col("cum_tp"), pos).alias("recall"))
 
 
-def pr_auc(scored: DataFrame) -> DataFrame:
+def pr_auc(scored: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Trapezoid area under the precision-recall curve, starting at recall 0 / precision 1.
 
     A row's predecessor is its own cumulative count less its own counts.
     """
-    c = _curve_counts(scored)
+    c = counts or curve_counts(scored)
     tp, fp = F.col("cum_tp"), F.col("cum_fp")
     ptp, pfp = tp - F.col("tp"), fp - F.col("fp")
     here = tp / (tp + fp)

@@ -8,7 +8,7 @@ from tapeforge.operators.forward import (NO_VOLATILITY, forward_lookup, forward_
                                          trailing_volatility)
 from tapeforge.operators.gates import categorise, direction_split
 from tapeforge.operators.geometry import envelope_windows, with_geometry
-from tapeforge.operators.sampling import random_baseline, random_windows, strided_baseline
+from tapeforge.operators.sampling import random_baseline, random_per_category, random_windows, strided_baseline
 from tapeforge.functions.scalars import slope_class
 from tapeforge.plans import detect, evaluation, studies
 from tapeforge.session import cut_lineage
@@ -77,18 +77,21 @@ def grouped_outcomes(groups: DataFrame, indexed: DataFrame, horizons: list[int],
 
 
 def filter_study(events: DataFrame, indexed: DataFrame, length: int, fit_bars: int | None, horizons: list[int],
-                 lookback: int, seed: int = 0, chunk: int | None = None, worst: int = 12,
+                 lookback: int, seed: int = 0, chunk: int | None = None, worst: int = 12, review: int = 8,
                  baseline_size: Column | int | None = None) -> dict[str, DataFrame]:
     """Which events survive the quality filter and what followed, against every eligible bar or random ones."""
+    indexed = cut_lineage(indexed)  # every part below reads a few of its columns
     ev = cut_lineage(filtered_events(events, indexed, length, fit_bars, chunk))
     base = random_baseline(indexed, length, max(horizons), seed, baseline_size).withColumn("group", F.lit("RANDOM"))
     tagged = ev.select("symbol", "end_idx", F.col("category").alias("group"))
     split = direction_split(ev).select("symbol", "end_idx", F.concat(F.lit("CLEAN "), "direction").alias("group"))
     out = cut_lineage(grouped_outcomes(tagged.unionByName(split).unionByName(base), indexed, horizons, lookback))
     focus = horizons[len(horizons) // 2]
-    wide = ev.join(forward_returns(indexed, horizons).select(
-        "symbol", F.col("bar_idx").alias("end_idx"), *[f"ret_{h}" for h in horizons]), ["symbol", "end_idx"])
-    clean = wide.where("category = 'CLEAN'")
+    # The returns of the events are in the long table already.
+    moved = out.where("group = 'CLEAN'").groupBy("symbol", "end_idx").agg(
+        *[F.max(F.when(F.col("horizon") == h, F.col("ret"))).alias(f"ret_{h}") for h in horizons])
+    clean = ev.where("category = 'CLEAN'").join(moved, ["symbol", "end_idx"])
+    survived = out.where("group = 'CLEAN'").join(clean.select("symbol", "end_idx", "convergence"), ["symbol", "end_idx"])
     both = out.where("group in ('CLEAN', 'RANDOM')")
     return {
         "events": ev,
@@ -97,6 +100,8 @@ def filter_study(events: DataFrame, indexed: DataFrame, length: int, fit_bars: i
         "returns": studies.return_summary(out, ["group", "horizon"]),
         "z": studies.z_summary(out, ["group", "horizon"]),
         "buckets": studies.convergence_buckets(clean, horizons, focus),
+        "correlations": studies.correlations(survived, ["convergence"], ["horizon"]),
+        "review": random_per_category(ev, review, seed),
         "worst": studies.worst_returns(clean, f"ret_{focus}", worst),
         "hist_z": studies.clipped_histograms(both, ["group", "horizon"], "z", 4.0, 60),
         "hist_ret": studies.clipped_histograms(both, ["group", "horizon"], "ret", 3.0, 60),
@@ -140,6 +145,7 @@ def volatility_control(events: DataFrame, indexed: DataFrame, horizons: list[int
                        stride: int = 10) -> dict[str, DataFrame]:
     """Dud rates and slope quintiles after dividing moves by what volatility implies."""
     events = cut_lineage(events.select("symbol", "end_idx", "mid_travel"))
+    indexed = cut_lineage(indexed)
     every = abs_outcomes(indexed, horizons, vol_window)
     base = cut_lineage(strided_baseline(every, vol_window, stride))
     hits = cut_lineage(every.join(
@@ -153,6 +159,7 @@ def nondud_projection(events: DataFrame, indexed: DataFrame, horizon: int, warmu
                       stride: int = 10) -> dict[str, DataFrame]:
     """Lines through the moves of events that did move, against their slopes."""
     ret = f"ret_{horizon}"
+    indexed = cut_lineage(indexed)
     d = forward_returns(indexed, [horizon])
     base = studies.baseline_median(d, ret, warmup, stride)
     joined = events.join(d.select("symbol", F.col("bar_idx").alias("end_idx"), ret), ["symbol", "end_idx"])
@@ -164,13 +171,25 @@ def nondud_projection(events: DataFrame, indexed: DataFrame, horizon: int, warmu
             "ranks": studies.rank_correlations(nondud, features, "abs_move")}
 
 
-def evaluate(scored: DataFrame, threshold: float) -> dict[str, DataFrame]:
-    """Every quality measure of a labelled, scored window set (window_id, type, label, score)."""
+def evaluate(scored: DataFrame, threshold: float, manifest: DataFrame | None = None,
+             eval_start: int | None = None) -> dict[str, DataFrame]:
+    """Every quality measure of a labelled, scored window set (window_id, type, label, score).
+
+    ``manifest`` (window_id, label, shuffled_idx) adds the label check, and with ``eval_start`` the leakage check.
+    """
+    scored = cut_lineage(scored)
     stats = evaluation.family_stats(scored)
-    return {
+    counts = evaluation.curve_counts(scored)  # one table behind both curves and both areas
+    checks = {}
+    if manifest is not None:
+        checks["labels"] = evaluation.check_labels(manifest, scored)
+        if eval_start is not None:
+            checks["leakage"] = evaluation.leakage(manifest, eval_start)
+    return checks | {
         "report": evaluation.classification_report(scored, threshold),
         "confusion": evaluation.confusion(scored, threshold),
-        "roc_auc": evaluation.roc_auc(scored), "pr_auc": evaluation.pr_auc(scored),
+        "roc_curve": evaluation.roc_curve(scored, counts), "pr_curve": evaluation.pr_curve(scored, counts),
+        "roc_auc": evaluation.roc_auc(scored, counts), "pr_auc": evaluation.pr_auc(scored, counts),
         "histogram": evaluation.score_histogram(scored),
         "families": evaluation.ordered_families(stats),
         "rates": evaluation.family_rates(scored), "thresholds": evaluation.threshold_report(scored),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeforge.plans import corpus, evaluation
+from tapeforge.plans import corpus, evaluation, jobs
 from tapeforge.operators import sampling
 from tapeforge.schemas import FAMILY_THRESHOLDS
 from workload.base import (N, SEED, indexed, labelled, labelled_sql, manifest, manifest_sql, query, r, rs,
@@ -133,7 +133,7 @@ cv AS (SELECT score, tp, fp, sum(tp) OVER (ORDER BY score DESC) AS ctp, sum(fp)
 tt AS (SELECT sum(tp) AS p, sum(fp) AS n FROM pc)"""
 
 
-@query(f"WITH {labelled_sql()}, {CURVE} SELECT score AS threshold, round(CAST(cfp AS DOUBLE) / n + 3e-8, 6) AS fpr, round(CAST(ctp AS DOUBLE) / p + 3e-8, 6) AS tpr FROM cv CROSS JOIN tt")
+@query(f"WITH {labelled_sql()}, {CURVE} SELECT score AS threshold, round(CAST(cfp AS DOUBLE) / n + 3e-8, 6) AS fpr, round(CAST(ctp AS DOUBLE) / p + 3e-8, 6) AS tpr FROM cv CROSS JOIN tt UNION ALL SELECT NULL, 0.0, 0.0")
 def a26_roc_curve(spark, sf):
     return evaluation.roc_curve(labelled(spark, sf)).select("threshold", *r("fpr", "tpr"))
 
@@ -145,6 +145,21 @@ def a26_roc_auc(spark, sf):
     return evaluation.roc_auc(labelled(spark, sf)).select(*r("roc_auc"))
 
 
+@query(f"""WITH {labelled_sql()}, {CURVE}, o AS (SELECT CAST(cfp AS DOUBLE) / n AS x, CAST(ctp AS DOUBLE) / p AS y, score FROM cv CROSS JOIN tt),
+l AS (SELECT x, y, coalesce(lag(x) OVER (ORDER BY score DESC), 0) AS px, coalesce(lag(y) OVER (ORDER BY score DESC), 0) AS py FROM o),
+m AS (SELECT doc_id AS window_id, CAST(lang = 'en' AS INT) AS ml FROM documents)
+SELECT 'roc_auc' AS measure, round(sum((x - px) * (y + py) / 2) + 3e-8, 6) AS value FROM l UNION ALL SELECT 'points', count(*) + 1.0 FROM cv
+UNION ALL SELECT 'label_mismatches', CAST(count(*) AS DOUBLE) FROM m JOIN lab USING (window_id) WHERE ml <> lab.label""")
+def k9_evaluation_job(spark, sf):
+    """Area, curve and label check out of one evaluation."""
+    m = manifest(spark, sf).withColumnRenamed("original_idx", "window_id")
+    done = jobs.evaluate(labelled(spark, sf), 0.5, m)
+    parts = [done["roc_auc"].select(F.lit("roc_auc").alias("measure"), *r("roc_auc")),
+             done["roc_curve"].agg(F.lit("points").alias("measure"), F.count(F.lit(1)).cast("double")),
+             done["labels"].select(F.lit("label_mismatches"), F.col("label_mismatches").cast("double"))]
+    return parts[0].union(parts[1]).union(parts[2]).toDF("measure", "value")
+
+
 @query(f"WITH {labelled_sql()}, {CURVE} SELECT score AS threshold, round(CAST(ctp AS DOUBLE) / (ctp + cfp) + 3e-8, 6) AS precision, round(CAST(ctp AS DOUBLE) / p + 3e-8, 6) AS recall FROM cv CROSS JOIN tt")
 def a27_pr_curve(spark, sf):
     return evaluation.pr_curve(labelled(spark, sf)).select("threshold", *r("precision", "recall"))

@@ -370,6 +370,29 @@ def k4_filter_study_events(spark, sf):
         "category", *r("score", "convergence", "max_excursion", "spike_share"))
 
 
+def _filter_study(spark, sf):
+    """The whole job on the detected events, with the baseline of the sampling operator."""
+    return jobs.filter_study(events(spark, sf), indexed(spark, sf), N, FIT, HORIZONS, LOOKBACK, SEED, CHUNK,
+                             baseline_size=F.expr("n_bars div 4"))
+
+
+@query(f"WITH {GROUPS} SELECT grp, horizon, n, {rs(*RETURN_COLS)} FROM (SELECT grp, horizon, {RETURN_AGG} FROM lng WHERE ret IS NOT NULL GROUP BY ALL)")
+def k4_filter_study_returns(spark, sf):
+    return _filter_study(spark, sf)["returns"].select(F.col("group").alias("grp"), "horizon", "n", *r(*RETURN_COLS))
+
+
+@query(f"""WITH {filtered_sql()}, {forward_sql()}, c AS (SELECT flt.convergence, fwd.* FROM flt JOIN fwd ON fwd.symbol = flt.symbol AND fwd.bar_idx = flt.end_idx WHERE category = 'CLEAN')
+""" + " UNION ALL ".join(f"SELECT {h} AS horizon, count(*) AS n, round(corr(convergence, abs(ret_{h})) + 3e-8, 6) + 0.0 AS r_size FROM c WHERE ret_{h} IS NOT NULL HAVING count(*) > 0" for h in HORIZONS))
+def k4_filter_study_correlations(spark, sf):
+    return _filter_study(spark, sf)["correlations"].select("horizon", "n", *r("r_size"))
+
+
+@query(f"WITH {windows_sql()}, {RATES} SELECT symbol, bin, windows, detections, {rs('rate', 'vs_overall')} FROM rates")
+def k3_detection_study_rates(spark, sf):
+    study = jobs.detection_study(indexed(spark, sf), N, THRESHOLD, FIT, bin_minutes=60, chunk=CHUNK)
+    return study["rate_by_minute"].select("symbol", "bin", "windows", "detections", *r("rate", "vs_overall"))
+
+
 @query(f"""WITH {windows_sql(N, N, 'a.bar_idx % 2 = 0')}, det AS (SELECT * FROM win WHERE score >= 0.7),{clustered_sql('det', 'ev')}, {forward_sql()},
 o AS (SELECT ev.travel_upper, ev.travel_lower, ev.convergence, ev.score, fwd.* FROM ev JOIN fwd ON fwd.symbol = ev.symbol AND fwd.bar_idx = ev.end_idx) SELECT *, n >= 10 AS enough FROM ({corr_sql('o')})""")
 def k5_slope_study(spark, sf):

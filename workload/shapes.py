@@ -343,13 +343,25 @@ def x1_model_then_geometry(spark, sf):
         "symbol", "start_idx", *r("score", "convergence", "max_excursion"), "touch_up")
 
 
-@query()
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in learning.FEATURES)
+
+
+@query(f"""WITH {windows_sql()} SELECT symbol, count(*) AS windows, count(*) FILTER (WHERE {COMPLETE}) AS scored, count(*) FILTER (WHERE {COMPLETE}) AS probabilities,
+ 0.0 AS largest_gradient FROM win GROUP BY symbol""")
 def x2_window_classifier(spark, sf):
-    """Spark ML classifier trained on window measures; label = the window was followed by a fall."""
+    """Spark ML classifier trained on window measures; label = the window was followed by a fall.
+
+    The fit itself is iterative, so what is compared is its optimality (the gradient of the penalised likelihood at
+    the coefficients is zero) and completeness (every window is there, scored where it has all features).
+    """
     w = stored_windows(spark, sf)
     fwd = forward.forward_returns(indexed(spark, sf), [6]).select("symbol", F.col("bar_idx").alias("end_idx"), "ret_6")
     train = w.join(fwd, ["symbol", "end_idx"]).where("ret_6 is not null").withColumn("label", (F.col("ret_6") < 0).cast("int"))
-    return learning.score_with_model(w, learning.fit_window_classifier(train)).select("symbol", "start_idx", *r("score"))
+    model = learning.fit_window_classifier(train)
+    slope = learning.fit_gradient(train, model).agg(F.round(F.max(F.abs("gradient")), 4)).scalar()
+    return learning.score_with_model(w, model).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("windows"), F.count("score").alias("scored"),
+        F.count_if(F.col("score").between(0, 1)).alias("probabilities")).withColumn("largest_gradient", slope)
 
 
 @query(f"""WITH RECURSIVE {windows_sql()}, {DET9.replace('score >=', 'start_idx % 5 = 0 AND score >=')}, {greedy_sql('det')}
