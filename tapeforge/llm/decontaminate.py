@@ -55,6 +55,13 @@ def _free(marked: np.ndarray, width: int) -> np.ndarray:
     return total[width:] == total[:len(marked) - width + 1]
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values occur in ``known``, which is sorted and not empty."""
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
     """Greedy tiling: (doc position, item position, length), longest first, no word in two tiles.
 
@@ -69,10 +76,14 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED_WORDS) -> list[tu
         for q, (h, ok) in enumerate(zip(i_hash.windows(width).tolist(), _free(in_item, width))):
             if ok:
                 places[h].append(q)
-        known = np.array(list(places), np.uint64)
+        if not places:
+            if width == least:
+                break
+            width = max(least, width // 2)
+            continue
         hashes = d_hash.windows(width)
         found = []
-        for p in np.flatnonzero(np.isin(hashes, known) & _free(in_doc, width)).tolist():
+        for p in np.flatnonzero(_among(hashes, np.array(sorted(places), np.uint64)) & _free(in_doc, width)).tolist():
             for q in places[int(hashes[p])]:
                 if p and q and not in_doc[p - 1] and not in_item[q - 1] and doc[p - 1] == item[q - 1]:
                     continue  # part of the match that begins one word earlier
@@ -125,7 +136,7 @@ class Block:
         if not len(at):
             return []
         hashes = Rolling(ids).windows(self.least)[at]
-        hits = np.isin(hashes, self.hashes)
+        hits = _among(hashes, self.hashes)
         reach: dict[int, set[int]] = defaultdict(set)
         for h in np.unique(hashes[hits]).tolist():
             for k, q in self.seeds[h]:
