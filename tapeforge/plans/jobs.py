@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeforge.operators.forward import (NO_VOLATILITY, forward_lookup, forward_returns, strict_volatility,
                                          trailing_volatility)
-from tapeforge.operators.gates import categorise, direction_split
+from tapeforge.operators.gates import categorise, decide, direction_split, per_formation, signal_stats
 from tapeforge.operators.geometry import envelope_windows, with_geometry
+from tapeforge.operators.indexing import session_gate, with_bar_index
 from tapeforge.operators.sampling import random_baseline, random_per_category, random_windows, strided_baseline
+from tapeforge.operators.spikes import LIMIT, spike_filter
 from tapeforge.functions.scalars import slope_class
 from tapeforge.plans import detect, evaluation, studies
+from tapeforge.schemas import FEATURE_COLS
 from tapeforge.session import cut_lineage
+from tapeforge.sources.tables import split_outputs
 
 
 def backtest_study(indexed: DataFrame, length: int, threshold: float, horizons: list[int],
@@ -171,6 +175,42 @@ def nondud_projection(events: DataFrame, indexed: DataFrame, horizon: int, warmu
             "ranks": studies.rank_correlations(nondud, features, "abs_move")}
 
 
+def replay(bars: DataFrame, formations: list[dict], limit: float = LIMIT, gate_mode: str = "documented",
+           scorer: Column | None = None, chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scores, signals) of stored bars as the monitor would have written them.
+
+    Session gate, then spike filter, then every formation on windows of its own size. Bars on which a
+    window is not full yet have a score row without a score. Each (size, fit) is scanned once for all
+    formations that share it.
+    """
+    gated = with_bar_index(session_gate(bars))
+    kept = spike_filter(gated, limit, chunk=chunk).where("accepted") if chunk else spike_filter(gated, limit).where("accepted")
+    ix = cut_lineage(with_bar_index(kept.select("symbol", "ts", *FEATURE_COLS)))
+    spans: dict[tuple[int, int | None], list[dict]] = {}
+    for f in formations:
+        spans.setdefault((f["window"], f.get("fit_bars")), []).append(f)
+    scores = signals = None
+    for (length, fit), own in spans.items():
+        full = detect.scan(ix, length, fit, scorer=scorer, chunk=chunk)
+        full = full.withColumn("ts", F.col("date_end")).withColumn("depth", F.lit(length))
+        decided = signal_stats(decide(per_formation(full, own), gate_mode))
+        _, some, fired = split_outputs(decided.join(ix.select("symbol", "ts", *[c for c in FEATURE_COLS if c not in decided.columns]),
+                                                    ["symbol", "ts"]))
+        filling = per_formation(ix.where(F.col("bar_idx") < length - 1), own).select(
+            "symbol", "ts", "pattern", "window", F.lit(None).cast("double").alias("score"), F.lit(0).alias("signal"),
+            (F.col("bar_idx") + 1).cast("int").alias("bars"))
+        some = some.unionByName(filling)
+        scores = some if scores is None else scores.unionByName(some)
+        signals = fired if signals is None else signals.unionByName(fired)
+    return scores, signals
+
+
+def store_replay(scores: DataFrame, signals: DataFrame, scores_path: str, signals_path: str) -> None:
+    """Clear both tables and write the replay's rows by day; the bars table is untouched."""
+    for df, path in ((scores, scores_path), (signals, signals_path)):
+        df.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(path)
+
+
 def evaluate(scored: DataFrame, threshold: float, manifest: DataFrame | None = None,
              eval_start: int | None = None) -> dict[str, DataFrame]:
     """Every quality measure of a labelled, scored window set (window_id, type, label, score).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeforge.operators import indexing, spikes
-from tapeforge.plans import detect
+from tapeforge.plans import detect, jobs
 from tapeforge.schemas import FEATURE_COLS, KEY_BARS, KEY_SCORES
 from tapeforge.session import scratch_path
 from tapeforge.streaming import monitor
@@ -129,6 +129,29 @@ def t7_replay_batch(spark, sf):
     return detect.scan(ix, N, FIT, chunk=CHUNK).select("symbol", text_ts("date_end").alias("date_end"), *r("score", "convergence"))
 
 
+REPLAYED = f"""WITH RECURSIVE {decided_sql(base=REPLAY_IDX)}, cells AS (SELECT i.symbol, i.ts, i.bar_idx, f.pattern FROM idx i CROSS JOIN forms f),
+rep AS (SELECT c.symbol, c.ts, c.pattern, {N} AS window, CAST(least(c.bar_idx + 1, {N}) AS INT) AS bars, d.score, coalesce(d.signal, 0) AS signal, d.convergence, d.b_upper
+FROM cells c LEFT JOIN dec d ON d.symbol = c.symbol AND d.end_idx = c.bar_idx AND d.pattern = c.pattern)"""
+
+
+def _replay(spark, sf):
+    """Replayed tables, written over older ones and read back."""
+    scores, signals = jobs.replay(bars(spark, sf), FORMS, SPIKE_LIMIT, chunk=CHUNK)
+    paths = scratch_path(spark, "replay-scores"), scratch_path(spark, "replay-signals")
+    jobs.store_replay(scores, signals, *paths)
+    return spark.read.schema(scores.schema).parquet(paths[0]), spark.read.schema(signals.schema).parquet(paths[1])
+
+
+@query(f"""{REPLAYED} SELECT symbol, {ts('ts')}, pattern, {N} AS window, bars, round(score + 3e-8, 6) + 0.0 AS score, signal FROM rep""")
+def t7_replay_scores(spark, sf):
+    return _replay(spark, sf)[0].select("symbol", text_ts().alias("ts"), "pattern", "window", "bars", *r("score"), "signal")
+
+
+@query(f"""{REPLAYED} SELECT symbol, {ts('ts')}, pattern, {N} AS window, round(b_upper, 6) + 0.0 AS slope_upper, round(convergence, 4) + 0.0 AS convergence FROM rep WHERE signal = 1""")
+def t7_replay_signals(spark, sf):
+    return _replay(spark, sf)[1].select("symbol", text_ts().alias("ts"), "pattern", "window", "slope_upper", "convergence")
+
+
 @query(f"WITH {bars_sql()} SELECT symbol, {ts('ts')}, ts < TIMESTAMP '{HALF}' AS late, close FROM bars")
 def t8_late_bars(spark, sf):
     """The second half arrives first; the older half is stored as late and never scored."""
