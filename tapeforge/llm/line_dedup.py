@@ -1,8 +1,10 @@
 """Substring deduplication by line or paragraph hashing.
 
-Texts are cut into units; a unit is normalised (lower case, single spaces) and hashed
-to 128 bits. Digests are grouped over the corpus, the occurrence that ranks first is
-kept, and every other one is reported with its offsets in the original text.
+Texts are cut into units: lines (or paragraphs), and the sentences of a line that has
+several, so that a passage set into the middle of a line is found. A unit is normalised
+(lower case, single spaces, no marks at its ends) and hashed to 128 bits. Digests are
+grouped over the corpus, the occurrence that ranks first is kept, and every other one
+is reported with its offsets in the original text.
 """
 
 from __future__ import annotations
@@ -17,60 +19,76 @@ from pyspark.sql import DataFrame, functions as F
 from tapeforge.llm.common import slices
 from tapeforge.session import cut_lineage
 
-MIN_WORDS = 10  # shorter units (headings, stock phrases) repeat by chance and are left alone
-_CUTS = {"line": re.compile("\n"), "paragraph": re.compile("\n[ \t\r]*\n"), "sentence": re.compile("\n|(?<=[.!?]) +")}
-UNITS = "row long, doc_id long, start long, end long, digest binary"
-
-
-def units(text: str | None, unit: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit with ``min_words`` at least; code points, end exclusive, blanks at the
-    borders left out."""
-    out, at, text = [], 0, text or ""
-    for m in [*_CUTS[unit].finditer(text), None]:
-        end = m.start() if m else len(text)
-        words = text[at:end].split()
-        if len(words) >= max(min_words, 1):
-            body = text[at:end]
-            start = at + len(body) - len(body.lstrip())
-            digest = xxhash.xxh128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass"))
-            out.append((start, at + len(body.rstrip()), digest))
-        at = m.end() if m else end
+MIN_WORDS = 13  # shorter units (headings, licence lines, stock phrases) are left alone
+_CUTS = {"line": re.compile("\n"), "paragraph": re.compile("\n[ \t\r]*\n")}
+_INNER = re.compile(r"(?<=[.!?])\s+|\s\|\s")  # ends of sentences and cells
+UNITS = "row long, doc_id long, start long, end long, inside long, digest binary"
+
+
+def _parts(text: str, cut: re.Pattern, at: int, end: int, min_words: int) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of what lies between the cuts and has words enough, blanks at the borders left out."""
+    out = []
+    for m in [*cut.finditer(text, at, end), None]:
+        stop = m.start() if m else end
+        body = text[at:stop]
+        if len(words := body.split()) >= max(min_words, 1):
+            out.append((at + len(body) - len(body.lstrip()), at + len(body.rstrip()), words))
+        at = m.end() if m else stop
     return out
 
 
-def _list(unit: str, min_words: int):
+def units(text: str | None, unit: str, min_words: int, sentences: bool) -> list[tuple[int, int, int | None, bytes]]:
+    """(start, end, start of the line that a sentence is inside, digest) of each unit with ``min_words`` at least;
+    code points, end exclusive."""
+    text, out = text or "", []
+    for start, end, words in _parts(text, _CUTS[unit], 0, len(text), min_words):
+        inner = _parts(text, _INNER, start, end, min_words) if sentences else []
+        inner = [p for p in inner if (p[0], p[1]) != (start, end)]
+        for a, z, w, line in [(start, end, words, None), *[(*p, start) for p in inner]]:
+            plain = " ".join(w).lower().strip(" .,;:!?|")
+            out.append((a, z, line, xxhash.xxh128_digest(plain.encode("utf-8", "surrogatepass"))))
+    return out
+
+
+def _list(unit: str, min_words: int, sentences: bool):
     def run(batches):
         row = TaskContext.get().partitionId() << 40
         for b in slices(batches):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for start, end, digest in units(text, unit, min_words):
-                    for c, v in zip(out, (row, doc, start, end, digest)):
+                for start, end, line, digest in units(text, unit, min_words, sentences):
+                    for c, v in zip(out, (row, doc, start, end, line, digest)):
                         c.append(v)
                 row += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                ["row", "doc_id", "start", "end", "digest"])
+                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                ["row", "doc_id", "start", "end", "inside", "digest"])
 
     return run
 
 
-def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, sentences: bool = True) -> DataFrame:
     """(doc_id, start, end, digest, first_doc_id, first_start) of every unit to remove.
 
     Occurrences rank by doc_id (nulls last), then offset; rows that repeat a doc_id rank in the order in which they
-    are read, once. Null and empty texts have no units. Only digests and offsets are shuffled; the group of a unit
+    are read, once. Sentences of a line that goes as a whole are not listed. Null and empty texts have no units. Only digests and offsets are shuffled; the group of a unit
     that very many documents hold is reduced map-side to its first occurrence, and its members meet it in a join
     that Spark splits when skewed.
     """
-    found = cut_lineage(docs.select("doc_id", "text").mapInArrow(_list(unit, min_words), UNITS))
+    found = cut_lineage(docs.select("doc_id", "text").mapInArrow(_list(unit, min_words, sentences), UNITS))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
     firsts = (found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
               .where("n > 1").select("digest", "first"))
     firsts = cut_lineage(firsts)
-    return found.join(firsts, "digest").where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))).select(
-        "doc_id", "start", "end", F.lower(F.hex("digest")).alias("digest"), F.col("first.doc_id").alias("first_doc_id"),
-        F.col("first.start").alias("first_start"))
+    again = (F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))
+    gone = found.join(firsts, "digest").where(again).select(
+        "row", "inside", "doc_id", "start", "end", F.lower(F.hex("digest")).alias("digest"),
+        F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    if sentences:
+        gone = cut_lineage(gone)
+        lines = gone.where("inside is null").select("row", F.col("start").alias("inside"))
+        gone = gone.join(lines, ["row", "inside"], "left_anti")
+    return gone.select("doc_id", "start", "end", "digest", "first_doc_id", "first_start")
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -84,8 +102,8 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
             if gone and text is not None:
                 parts, at = [], 0
                 for s in gone:
-                    parts.append(text[at:s["start"]])
-                    at = s["end"]
+                    parts.append(text[at:s["start"]] if s["start"] > at else "")
+                    at = max(at, s["end"])
                 text = "".join([*parts, text[at:]])
             texts.append(text)
         return b.set_column(b.schema.get_field_index("text"), b.schema.field("text"), pa.array(texts, b.schema.field("text").type))
