@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeforge.operators.detection import shape_score
 from tapeforge.operators.indexing import session_gate, with_bar_index
@@ -48,6 +48,14 @@ def scan_250(spark, sf):
     drain(detect.scan(ix(spark, sf), N, FIT, scorer=scorer()))
 
 
+def scan_2m(spark, sf):
+    """The given bars 25 times over under other symbols: two million bars at sf0.1."""
+    bars = bars_from_ticks(spark.read.parquet(f"{sf}/events.parquet"), "minute")
+    copies = bars.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(25))))
+    copies = copies.withColumn("symbol", F.concat_ws("-", "symbol", "_k")).drop("_k")
+    drain(detect.scan(with_bar_index(copies), N, FIT, scorer=scorer()))
+
+
 def detect_top(spark, sf):
     drain(detect.detect_top(ix(spark, sf), N, THRESHOLD, 5, 5, FIT, scorer()))
 
@@ -88,7 +96,7 @@ def evaluation_curves(spark, sf):
     drain(evaluation.family_stats(scored))
 
 
-QUERIES = [bar_index, scan_250, detect_top, backtest, detection_study, filter_study, volatility_control, spike_replay,
+QUERIES = [bar_index, scan_250, scan_2m, detect_top, backtest, detection_study, filter_study, volatility_control, spike_replay,
            evaluation_curves]
 
 
