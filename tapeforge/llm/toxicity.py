@@ -24,7 +24,7 @@ from tapeforge.llm.common import filter_rows, map_rows
 
 # Bounds of the sample the model is fitted on, and shape parameters.
 FIT_DOCS = 4000        # labelled documents per class, the first in a hash order
-WINDOW, OVERLAP = 56, 10
+WINDOW, OVERLAP = 40, 14
 THRESHOLDS = (2, 3, 4, 5, 6)
 MIN_SHARE, MIN_DOCS = 0.03, 4   # of the class's documents that must hold a segment
 LIFT, DOC_LIFT = 6.0, 2.5       # how much oftener than in the other class, by occurrences and by documents
