@@ -81,3 +81,46 @@ def test_range_query_prunes_day_partitions(spark, stored, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in text and "2023-11-15" in text
     got = serving.range_filter(d, "2023-11-15 06:00:00", "2023-11-15 12:00:00").count()
     assert got == stored.where("ts >= '2023-11-15 06:00:00' and ts < '2023-11-15 12:00:00'").count() == 360
+
+
+def test_hot_symbols_are_not_shuffled_by_symbol_alone(spark):
+    """With broadcasts off, as for large inputs, bars meet per-symbol values under finer keys."""
+    from tapeforge.operators import sampling, windows
+
+    bars = spark.range(2000).select(F.lit("a").alias("symbol"), F.col("id").alias("bar_idx"), F.lit(2000).alias("n_bars"),
+                                    F.col("id").cast("double").alias("close"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sample = plan(sampling.random_baseline(bars, 10, 5, 1, 100))
+        lags = plan(windows.lag_sequences(bars, "close", 5))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for text in (sample, lags):
+        joins = [line for line in text.splitlines() if "Join" in line]
+        assert joins and all("bucket" in j or "_salt" in j for j in joins if "Join [" in j or "Join(" in j), joins
+
+
+def test_quantiles_of_crowded_scores(spark):
+    """Scores that all lie in one bucket of the first level are parted evenly by the second."""
+    from tapeforge.functions.ranking import quantiles
+
+    df = spark.range(100_000).select((1 - (F.col("id") + 1) * 1e-10).alias("score"))
+    got = quantiles(df, [], ("score", {"p5": 0.05, "p50": 0.5})).first()
+    assert abs(got.p50 - (1 - 50000.5e-10)) < 1e-14 and abs(got.p5 - (1 - 95000.05e-10)) < 1e-14
+
+
+def test_scratch_folder_is_shared_or_refused():
+    from tapeforge import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
