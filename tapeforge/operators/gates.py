@@ -30,7 +30,7 @@ def per_formation(df: DataFrame, formations: list[dict]) -> DataFrame:
 
 def categorise(events: DataFrame, min_conv: float = 0.5, min_touches: int = 5, max_exc: float = 1.98,
                max_outside: float = 1.01) -> DataFrame:
-    """First matching defect decides; what has none is CLEAN."""
+    """First matching defect decides; what has none is CLEAN. The default limits are fixed values."""
     conv = F.col("convergence")
     return events.withColumn(
         "category",

@@ -195,9 +195,8 @@ def envelope_fit_sql(points: DataFrame, keys: list[str], x: str = "pos") -> Data
     """Envelope lines of windows given as rows (keys, x, high, low), in built-in functions only.
 
     Every round is a window function over the same ``keys``, so all rounds of
-    both sides share one shuffle; a partition is one window, hence small. The
-    stop below three kept points never applies from seven points on, and this
-    path requires that length.
+    both sides share one shuffle; a partition is one window, hence small. A round
+    that would keep fewer than three points changes nothing, so the fit before it stands.
     """
     whole = Window.partitionBy(*keys)
     d = points.select(*keys, x, "high", "low", F.lit(True).alias("_ku"), F.lit(True).alias("_kl"))
@@ -211,9 +210,12 @@ def envelope_fit_sql(points: DataFrame, keys: list[str], x: str = "pos") -> Data
             break
         d = d.withColumn("_ru", F.col("high") - (F.col("_au") + F.col("_bu") * F.col(x)))
         d = d.withColumn("_rl", F.col("low") - (F.col("_al") + F.col("_bl") * F.col(x)))
-        d = d.select(*keys, x, "high", "low",
-                     (F.col("_ru") >= F.percentile("_ru", F.lit(UPPER_Q)).over(whole)).alias("_ku"),
-                     (F.col("_rl") <= F.percentile("_rl", F.lit(LOWER_Q)).over(whole)).alias("_kl"))
+        d = d.select(*keys, x, "high", "low", "_ku", "_kl",
+                     (F.col("_ru") >= F.percentile("_ru", F.lit(UPPER_Q)).over(whole)).alias("_nu"),
+                     (F.col("_rl") <= F.percentile("_rl", F.lit(LOWER_Q)).over(whole)).alias("_nl"))
+        d = d.select(*keys, x, "high", "low", *[
+            F.when(F.count_if(new).over(whole) >= 3, F.col(new)).otherwise(F.col(old)).alias(old)
+            for new, old in (("_nu", "_ku"), ("_nl", "_kl"))])
     return d.groupBy(*keys).agg(
         F.first("_au").alias("a_upper"), F.first("_bu").alias("b_upper"),
         F.first("_al").alias("a_lower"), F.first("_bl").alias("b_lower"),

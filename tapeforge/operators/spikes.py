@@ -18,6 +18,7 @@ from tapeforge.operators.windows import spread
 from tapeforge.schemas import PRICE_COLS
 from tapeforge.session import cut_lineage
 
+# Fixed values of the spike rule: deviation from the median, closes remembered, rejections in a row.
 LIMIT, MEMORY, MAX_REJECTS = 0.04, 10, 3
 
 State = tuple[list[float], int]

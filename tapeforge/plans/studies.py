@@ -12,6 +12,7 @@ from tapeforge.functions.ranking import mean_ranks, quantiles
 from tapeforge.functions.scalars import ratio, years_between
 from tapeforge.schemas import SESSION_MINUTES
 
+# Bin edges of the reports.
 VOL_EDGES = [0.0, 0.5, 0.75, 1.0, 1.5, math.inf]
 GAP_EDGES = [0.0, 25.0, 50.0, 100.0, 130.0, 175.0, 250.0]
 
