@@ -13,21 +13,27 @@ import struct
 
 import numpy as np
 
-CACHE_PIECES = 700_000  # memory bound of a worker's table, some 120 MB; it is emptied when full
+CACHE_PIECES = 1_200_000  # memory bound of a worker's tables, some 200 MB; they are emptied when full
 
 # White space other than the plain space and line feed, and what only Python counts as such.
 _RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 # A word of Latin letters and the marks after it: two cuts of the tokenizer, known without asking it.
 _SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
-_LOADED: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def encoder(path: str, leading_space: bool) -> "Encoder":
-    """The worker's encoder of a tokenizer file, loaded once per process."""
-    if (path, leading_space) not in _LOADED:
-        _LOADED[path, leading_space] = Encoder(path, leading_space)
-    return _LOADED[path, leading_space]
+    """The worker's encoder of a tokenizer file, loaded once per process.
+
+    This package's functions travel to the workers by value, with fresh globals for
+    every task. What is to last from task to task is kept with the imported library.
+    """
+    import tokenizers
+
+    loaded = vars(tokenizers).setdefault("_encoders_of_tasks", {})
+    if (path, leading_space) not in loaded:
+        loaded[path, leading_space] = Encoder(path, leading_space)
+    return loaded[path, leading_space]
 
 
 def pieces(text: str) -> list[str]:
@@ -62,7 +68,9 @@ class Encoder:
         self.separator_id = self.tokenizer.token_to_id(self.separator)
         self.inner: dict[str, bytes] = {}  # pieces after the first, encoded with their space
         self.first: dict[str, bytes] = {} if leading_space else self.inner
-        self.marks: dict[str, bytes] = {"": b""}
+        self.spaced: dict[str, bytes] = {}  # words by themselves, with and without a space before them
+        self.bare: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.line_feed = self.whole("\n")  # between two words a cut of its own
 
     def whole(self, text: str) -> bytes:
@@ -73,28 +81,39 @@ class Encoder:
         ids = [t.id for t in self.model.tokenize(word)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _plain(self, part: str, prefix: str) -> bytes | None:
+    def _word(self, word: str, spaced: bool) -> bytes:
+        """Ids of a word of Latin letters; words are kept as well, since each comes with several marks."""
+        key = word if self.leading_space else word.lower()
+        known = self.spaced if spaced else self.bare
+        ids = known.get(key)
+        if ids is None:
+            own = key if key.isascii() else key.translate(self.letters)
+            ids = known[key] = self._cut(self.letters[32] + own if spaced else own)
+        return ids
+
+    def _plain(self, part: str, spaced: bool) -> bytes | None:
         """A plain word with its marks; None for anything else."""
-        if not (m := _SIMPLE.fullmatch(part)):
+        if (m := _SIMPLE.fullmatch(part)) is None:
             return None
         word, marks = m.groups()
+        if not marks:
+            return self._word(word, spaced)
         if marks not in self.marks:
             self.marks[marks] = self._cut(marks)
-        if not self.leading_space:
-            word = word.lower()
-        if not word.isascii():
-            word = word.translate(self.letters)
-        return self._cut(self.letters[32] + word if self.leading_space and prefix else word) + self.marks[marks]
+        return self._word(word, spaced) + self.marks[marks]
 
     def _learn(self, cache: dict[str, bytes], missing: list[str], prefix: str) -> None:
         """Encode pieces; those that aren't plain words in one call, kept apart by the special token."""
-        rest = []
+        rest, spaced = [], bool(prefix)
         for p in missing:
-            ids = [self._plain(part, "" if i else prefix) for i, part in enumerate(p.split("\n"))]
-            if None in ids:
+            ids = self._plain(p, spaced)
+            if ids is None and "\n" in p:
+                parts = [self._plain(part, spaced and not i) for i, part in enumerate(p.split("\n"))]
+                ids = None if None in parts else self.line_feed.join(parts)
+            if ids is None:
                 rest.append(p)
             else:
-                cache[p] = self.line_feed.join(ids)
+                cache[p] = ids
         plain = [p for p in rest if "<|" not in p]
         for i in range(0, len(plain), 2000):
             some = plain[i:i + 2000]
@@ -111,9 +130,10 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.inner) > CACHE_PIECES or len(self.first) > CACHE_PIECES:
-            self.inner.clear()
-            self.first.clear()
+        tables = {id(t): t for t in (self.inner, self.first, self.spaced, self.bare)}.values()
+        if sum(map(len, tables)) > CACHE_PIECES:
+            for t in tables:
+                t.clear()
         return [self._encode(t) if t else b"" for t in texts]
 
     def _encode(self, text: str) -> bytes:
