@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, functions as F
 from tapeforge.llm.common import filter_rows, map_rows
 
 # Bounds of the sample the model is fitted on, and shape parameters.
-FIT_DOCS = 4000        # labelled documents per class, the first in a hash order
+FIT_DOCS = 2500        # labelled documents per class, the first in a hash order
 WINDOW, OVERLAP = 40, 14
 THRESHOLDS = (2, 3, 4, 5, 6)
 MIN_SHARE, MIN_DOCS = 0.03, 4   # of the class's documents that must hold a segment
+WORD_SHARE = 0.004              # and a whole word that begins with one
+DICTIONARY = 4096               # bytes of a dictionary, the most frequent segments
 LIFT, DOC_LIFT = 6.0, 2.5       # how much oftener than in the other class, by occurrences and by documents
-PER_DOC = 10                    # occurrences of a segment that count in one document
+ORDINARY_WORDS = 20             # most frequent words of five letters or more that make the ordinary dictionary
 PRIMER = b"<<0123456789|9876543210|abcdefghij|ABCDEFGHIJ>>"
 
 
@@ -38,43 +40,66 @@ def normalised(text: str | None) -> bytes:
 
 
 def _prefixes(word: bytes) -> list[bytes]:
-    return [word[:k] for k in range(4, min(len(word), 12) + 1)] + [word + b" "]
-
-
-def _segment_counts(texts: list[bytes]) -> tuple[Counter, Counter, int]:
-    """Documents and (bounded per document) occurrences of each word beginning; all words."""
-    docs, times, words = Counter(), Counter(), 0
-    for t in texts:
-        own: Counter = Counter()
-        for w, n in Counter(t.split()).items():
-            words += n
+    return [word[:k] for k in range(4, min(len(word), 8) + 1)] + [word + b" "]
+
+
+class _Side:
+    """What one class's texts hold. A word in the same company (the words beside it) counts once, and for the first
+    document that has it, so copies and repeated lines add nothing."""
+
+    def __init__(self, texts: list[bytes]):
+        self.ids: dict[bytes, int] = {}
+        parts = []
+        for t in texts:
+            w = t.split()
+            parts.append(np.fromiter((self.ids.setdefault(x, len(self.ids)) for x in w), np.uint64, len(w)) + 1)
+        word = np.concatenate([np.r_[p, [0]] for p in parts] or [np.empty(0)]).astype(np.uint64)
+        doc = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
+        key = word * np.uint64(0x9E3779B97F4A7C15) + np.roll(word, 1) * np.uint64(0xC2B2AE3D27D4EB4F) + np.roll(
+            word, -1) * np.uint64(0x165667B19E3779F9)
+        first = np.unique(key, return_index=True)[1]
+        first = first[word[first] > 0]
+        word, doc = word[first].astype(np.int64) - 1, doc[first]
+        self.words, self.docs = len(word), len(np.unique(doc))
+        self.count = np.bincount(word, minlength=len(self.ids))
+        self.times: Counter = Counter()
+        for w, i in self.ids.items():
+            for p in _prefixes(w):
+                self.times[p] += int(self.count[i])
+        order = np.argsort(word, kind="stable")
+        self.doc_of = doc[order]
+        self.ends = np.cumsum(self.count)
+
+    def documents(self, wanted: set[bytes]) -> dict[bytes, int]:
+        """Documents that hold each of some word beginnings."""
+        held: dict[bytes, set[int]] = {}
+        for w, i in self.ids.items():
             for p in _prefixes(w):
-                own[p] += n
-        docs.update(own.keys())
-        for p, n in own.items():
-            times[p] += min(n, PER_DOC)
-    return docs, times, words
-
-
-def _train(own: tuple, n_own: int, other: tuple, n_other: int) -> dict[bytes, float]:
-    """Segments typical of one class: word beginnings, as short as they are still typical, then made
-    as long as most occurrences allow."""
-    docs, times, words = own
-    least = max(MIN_DOCS, MIN_SHARE * n_own)
-    typical = {p for p, n in docs.items() if n >= least
-               and times[p] / words >= LIFT * (other[1].get(p, 0) + 1) / max(other[2], 1)
-               and n / n_own >= DOC_LIFT * (other[0].get(p, 0) + 0.5) / max(n_other, 1)}
-    longer: dict[bytes, list[bytes]] = {}
-    for p in typical:
-        longer.setdefault(p[:-1], []).append(p)
+                if p in wanted:
+                    held.setdefault(p, set()).update(self.doc_of[self.ends[i] - self.count[i]:self.ends[i]].tolist())
+        return {p: len(d) for p, d in held.items()}
+
+
+def _train(own: _Side, other: _Side) -> dict[bytes, int]:
+    """Segments typical of one class, with how often they occur: word beginnings, as short as they are still
+    typical, or as long as most of their occurrences allow, and the words of some frequency that begin so, which give the longer matches."""
+    least = max(MIN_DOCS, MIN_SHARE * own.docs)
+    often = {p for p, n in own.times.items() if n >= least
+             and n / own.words >= LIFT * (other.times.get(p, 0) + 1) / max(other.words, 1)}
+    here, there = own.documents(often), other.documents(often)
+    typical = {p for p, n in here.items()
+               if n >= least and n / own.docs >= DOC_LIFT * (there.get(p, 0) + 0.5) / max(other.docs, 1)}
+    starts = {p for p in typical if not any(p[:k] in typical for k in range(4, len(p)))}
     out = {}
-    for p in typical:
-        if any(p[:k] in typical for k in range(4, len(p))):
-            continue
-        first = times[p]
-        while more := [e for e in longer.get(p, ()) if times[e] >= 0.8 * first]:
-            p = max(more, key=lambda e: (times[e], e))
-        out[b" " + p] = times[p]
+    for p in starts:
+        n = own.times[p]
+        while more := [e for e in typical if len(e) == len(p) + 1 and e.startswith(p) and own.times[e] >= 0.8 * n]:
+            p = max(more, key=lambda e: (own.times[e], e))
+        out[b" " + p] = n
+    few = max(MIN_DOCS, WORD_SHARE * own.docs)
+    for w, i in own.ids.items():
+        if own.count[i] >= few and any(w[:k] in starts for k in range(4, len(w) + 1)) or w + b" " in starts:
+            out[b" " + w + b" "] = int(own.count[i])
     return out
 
 
@@ -91,7 +116,7 @@ class ToxicityModel:
     def _compressors(self):
         if not hasattr(self, "_pair"):
             shape = zstandard.ZstdCompressionParameters(
-                strategy=zstandard.STRATEGY_FAST, min_match=6, window_log=12, hash_log=10, chain_log=10, search_log=3,
+                strategy=zstandard.STRATEGY_FAST, min_match=6, window_log=14, hash_log=13, chain_log=10, search_log=3,
                 write_content_size=False, write_checksum=False, write_dict_id=False,
                 format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             self._pair = [zstandard.ZstdCompressor(compression_params=shape, dict_data=zstandard.ZstdCompressionDict(
@@ -121,7 +146,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 5.0) -> np.ndarray:
     """Penalised maximum likelihood by Newton's method; the first column is the intercept."""
     w, penalty = np.zeros(x.shape[1]), ridge * np.r_[1e-3, np.ones(x.shape[1] - 1)]
     for _ in range(60):
@@ -133,33 +158,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str | None], labels: list[int]) -> ToxicityModel:
+def fit(texts: list[str | None], labels: list[int], share: float | None = None) -> ToxicityModel:
     """Dictionaries from two of three texts, calibration on the third, which they haven't seen.
 
-    Without labels of both classes the score is the share of label 1 (a half without any labels).
+    ``share`` is that of label 1 among all labelled documents, if it differs from the sample's: the calibration is
+    shifted to it. Without labels of both classes the score is the share of label 1 (a half without any labels).
     """
     y = np.array(labels, float)
     train = [i for i in range(len(texts)) if i % 3]
     rest = [i for i in range(len(texts)) if not i % 3]
     sides = [[normalised(texts[i]) for i in train if labels[i] == c] for c in (0, 1)]
-    counts = [_segment_counts(s) for s in sides]
-    toxic = _train(counts[1], len(sides[1]), counts[0], len(sides[0])) if sides[1] else {}
-    content = b"".join(s for s, _ in sorted(toxic.items(), key=lambda s: (s[1], s[0])))
-    common, ordinary = [], b""
-    for w, _ in sorted(counts[0][0].items(), key=lambda c: (-c[1], c[0])):
-        if len(w) >= 6 and w.endswith(b" "):
-            common.append(b" " + w)
-            if sum(map(len, common)) >= len(content):
-                break
-    ordinary = b"".join(reversed(common))[-len(content):] if content else b""
+    sides = [_Side(side) for side in sides]
+    toxic = _train(sides[1], sides[0]) if sides[1].docs else {}
+    content = b"".join(s for s, _ in sorted(toxic.items(), key=lambda s: (s[1], s[0])))[-DICTIONARY:]
+    common = sorted(((w, int(sides[0].count[i])) for w, i in sides[0].ids.items() if len(w) >= 5), key=lambda c: (-c[1], c[0]))
+    ordinary = b"".join(b" " + w + b" " for w, _ in reversed(common[:ORDINARY_WORDS]))
+    if not content:
+        ordinary = b""
     size = 3 + 2 * len(THRESHOLDS)
     model = ToxicityModel(ordinary, content, np.zeros(size), np.ones(size), np.zeros(size + 1))
-    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
-    model.weights[0] = np.log(share / (1 - share))
+    odds = lambda p: np.log(np.clip(p, 1e-3, 1 - 1e-3) / (1 - np.clip(p, 1e-3, 1 - 1e-3)))
+    sampled = y.mean() if len(y) else 0.5
+    model.weights[0] = odds(sampled if share is None else share)
     if len(set(y[rest].tolist())) == 2:
         x = np.array([model.features(texts[i]) for i in rest])
         model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         model.weights = _logistic(np.c_[np.ones(len(x)), (x - model.mean) / model.scale], y[rest])
+        if share is not None:
+            model.weights[0] += odds(share) - odds(y[rest].mean())
     return model
 
 
@@ -171,12 +197,13 @@ def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Toxic
     """
     known = (labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id")
              .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most"))
+    share = known.agg(F.avg("toxic")).first()[0]
     order = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(fit_docs).unionAll(
         known.where("toxic = 0").orderBy(order, "doc_id").limit(fit_docs))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id, r.text or ""))
-    return fit([r.text for r in rows], [r.toxic for r in rows])
+    return fit([r.text for r in rows], [r.toxic for r in rows], share)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
