@@ -4,7 +4,7 @@ A part holds a range of documents in ascending order, as three flat little-endia
 
     part-XXXXX.ids      unsigned integers, the ids of all its documents in turn
     part-XXXXX.offsets  unsigned 64-bit, where each document begins, counted in ids, and the end
-    part-XXXXX.docs     signed 64-bit document ids
+    part-XXXXX.docs     signed 64-bit document ids; the least such number stands for null
 
 The index, a small table with one row per part, adds each part's base: the ids and
 documents of all parts before it, by prefix sums of the parts' totals. Document d of a
@@ -28,6 +28,7 @@ from tapeforge.llm.tokens import encoder
 from tapeforge.session import cut_lineage
 
 PART_BYTES = 64 << 20  # text per part, on average
+NO_ID = -(1 << 63)
 INDEX = "part int, file string, n_docs long, n_ids long"
 
 
@@ -65,19 +66,25 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int):
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, width: int = 4, parts: int | None = None) -> DataFrame:
-    """Write all documents in ascending doc_id order; returns the index (part, file, n_docs, n_ids, base, doc_base).
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, width: int | None = None, parts: int | None = None) -> DataFrame:
+    """Write all documents in ascending doc_id order; returns the index (part, file, width, n_docs, n_ids, base, doc_base).
 
-    ``width`` is 2 or 4 bytes per id; the caller sees to it that the vocabulary fits. Null and empty texts are the
-    end id alone. Rows that repeat a doc_id follow each other, by text. Rows with a null doc_id can't be in an
-    ordered file of integers and raise an error. An empty table gives an index without documents.
+    ``width`` is 2 or 4 bytes per id, by default the least that holds the vocabulary. Null and empty texts are the
+    end id alone. Rows that repeat a doc_id follow each other, by text; rows with a null doc_id come first and are
+    read back as null. An empty table gives an index without documents.
     """
-    rows = docs.select(F.coalesce("doc_id", F.raise_error(F.lit("doc_id is null")).cast("long")).alias("doc_id"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     if parts is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(1, -(-size // PART_BYTES), rows.sparkSession.sparkContext.defaultParallelism * 4)
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    index = cut_lineage(ordered.mapInArrow(_writer(folder, tokenizer, end_id, width), INDEX))
+    largest = max(end_id, *encoder(tokenizer, True).tokenizer.get_vocab(with_added_tokens=True).values())
+    if width is None:
+        width = 2 if largest < 1 << 16 else 4
+    if largest >> 8 * width:
+        raise ValueError(f"ids up to {largest} don't fit into {width} bytes")
+    written = ordered.mapInArrow(_writer(folder, tokenizer, end_id, width), INDEX)
+    index = cut_lineage(written.withColumn("width", F.lit(width)))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     return cut_lineage(index.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n)
                                            for c, n in (("n_ids", "base"), ("n_docs", "doc_base"))]))
@@ -93,21 +100,21 @@ def _mapped(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
-def read(spark: SparkSession, index: DataFrame, folder: str, width: int = 4) -> DataFrame:
+def read(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files that the index names."""
 
     def run(batches):
         store, at = _open(folder)
         for b in batches:
             for r in b.to_pylist():
-                ids = _mapped(store, f"{at}/{r['file']}.ids", f"<u{width}")
+                ids = _mapped(store, f"{at}/{r['file']}.ids", f"<u{r['width']}")
                 offsets = _mapped(store, f"{at}/{r['file']}.offsets", "<u8")
                 names = _mapped(store, f"{at}/{r['file']}.docs", "<i8")
                 for i in range(0, len(names), 4096):
                     cuts = offsets[i:i + 4097].astype(np.int64)
                     crc = [zlib.crc32(ids[a:z].astype("<u4", copy=False)) for a, z in zip(cuts[:-1], cuts[1:])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[i:i + 4096].astype(np.int64)), pa.array(cuts[:-1] + r["base"]),
+                        [pa.array(names[i:i + 4096].astype(np.int64), mask=names[i:i + 4096] == NO_ID), pa.array(cuts[:-1] + r["base"]),
                          pa.array(np.diff(cuts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     parts = max(1, min(index.count(), 4096))

@@ -28,7 +28,7 @@ def test_pieces_give_the_ids_of_whole_texts(name, space):
 def test_token_files_round_trip(spark, docs_of, tmp_path):
     rows = [(i * 3 - 5, t) for i, t in enumerate(ODD)] + [(1, "again"), (1, "again")]
     path = public_tokenizers.path("byte_bpe_50k.json")
-    index = token_files.write(docs_of(rows), str(tmp_path), path, parts=4)
+    index = token_files.write(docs_of(rows), str(tmp_path), path, width=4, parts=4)
     got = sorted(tuple(r) for r in token_files.read(spark, index, str(tmp_path)).collect())
     tok, start, want = Tokenizer.from_file(path), 0, []
     for i, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
@@ -45,11 +45,13 @@ def test_token_files_round_trip(spark, docs_of, tmp_path):
 
 def test_token_files_narrow_and_empty(spark, docs_of, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    index = token_files.write(docs_of(["ab cd", None]), str(tmp_path), path, width=2)
-    assert [r.n_tokens for r in sorted(token_files.read(spark, index, str(tmp_path), width=2).collect())] == [3, 1]
+    index = token_files.write(docs_of(["ab cd", None]), str(tmp_path), path)
+    assert [r.n_tokens for r in sorted(token_files.read(spark, index, str(tmp_path)).collect())] == [3, 1]
+    assert sum(os.path.getsize(f"{tmp_path}/{r.file}.ids") for r in index.collect()) == 8
     assert token_files.read(spark, token_files.write(docs_of([]), str(tmp_path), path), str(tmp_path)).count() == 0
-    with pytest.raises(Exception, match="doc_id is null"):
-        token_files.write(docs_of([(None, "x")]), str(tmp_path), path)
+    index = token_files.write(docs_of([(None, "x"), (-7, "y"), (None, None)]), str(tmp_path), path, parts=2)
+    assert sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read(spark, index, str(tmp_path)).collect()) == [
+        (0, None, 1), (1, None, 2), (3, -7, 2)]
 
 
 def test_packing_places_every_piece(docs_of):
@@ -65,8 +67,8 @@ def test_packing_places_every_piece(docs_of):
         seq.sort(key=lambda r: r.offset)
         ends = np.cumsum([r.length for r in seq])
         assert ends[-1] <= 100 and [r.offset for r in seq] == [0, *ends[:-1]]
-    bound = -(-sum(r.length for r in got) // 100)
-    assert len(by) <= 1.05 * bound + 1
+    size = sorted((r.length for r in got), reverse=True)  # 41 and 91 don't fill bins, so the area bound is out of reach
+    assert len(by) <= 1.02 * len(packing.best_fit([], list(range(len(size))), size, 100)) + 1
     pieces = {}
     for r in sorted(got, key=lambda r: (r.doc_id is None, r.doc_id, r.piece)):
         if r.doc_id == 4:
