@@ -13,7 +13,7 @@ import struct
 
 import numpy as np
 
-CACHE_PIECES = 1_200_000  # memory bound of a worker's tables, some 200 MB; they are emptied when full
+CACHE_PIECES = 500_000  # memory bound of a worker's tables, some 100 MB; they are emptied when full
 
 # White space other than the plain space and line feed, and what only Python counts as such.
 _RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
