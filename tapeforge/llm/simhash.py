@@ -210,13 +210,20 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     slim = cut_lineage(slim)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
     distinct = cut_lineage(slim.groupBy("fp").agg(F.min(rank).alias("rank")))
-    roots = components(links(distinct), "u", "v")
-    stays = (distinct.join(roots, distinct.fp == roots.node, "left")
-             .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rank").alias("rank"))
+    return keep_first(docs, slim, distinct, "fp", components(links(distinct), "u", "v"), doc_id, text)
+
+
+def keep_first(docs: DataFrame, slim: DataFrame, distinct: DataFrame, key: str, roots: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that rank first in their group: ``slim`` (doc_id, h) lists the rows, ``distinct`` (``key``, rank)
+    what was grouped, ``roots`` (node, root) the groups."""
+    roots = roots.withColumnRenamed("node", "root_of")
+    stays = (distinct.join(roots, distinct[key] == roots.root_of, "left")
+             .groupBy(F.coalesce("root", key).alias("root")).agg(F.min("rank").alias("rank"))
              .select(F.coalesce("rank.doc_id", F.lit(0)).alias("_id"), F.col("rank.last").alias("_null"),
                      F.col("rank.h").alias("_h")))
     stays = cut_lineage(stays)
     keys = ["_id", "_null", "_h"]
+    text_hash = F.xxhash64(text)
     marked = docs.select("*", F.coalesce(doc_id, F.lit(0)).cast("long").alias("_id"),
                          F.col(doc_id).isNull().alias("_null"), text_hash.alias("_h"))
     kept = marked.join(stays, keys, "left_semi")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tapeforge.llm import components, line_dedup, simhash
+from tapeforge.llm import components, line_dedup, near_copies, simhash
 
 
 def brute_fingerprint(text):
@@ -119,3 +119,45 @@ def test_line_dedup_units():
     assert [text[a:z] for a, z, _, _ in line_dedup.units(text, "paragraph", 1, False)] == [text[:6], text[8:]]
     both = [(text[a:z], line) for a, z, line, _ in line_dedup.units(text, "line", 5, True)]
     assert both == [(text[8:54], None), ("D e f g h i j k l m n.", 8), ("O p q r s t u v w x y.", 8)]
+
+
+def brute_shingles(text):
+    words = [w for w in "".join(c.lower() if c.isascii() else c for c in text or "").split() if w]
+    k = min(5, len(words))
+    return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+@pytest.mark.parametrize("tile", [300, near_copies.TILE])
+def test_stage_keeps_one_of_edited_copies(docs_of, tile):
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.randint(3, 300))) for _ in range(30)] + [None, "", " \n"]
+    for t in texts[:30] * 4:
+        w = t.split()
+        for _ in range(rnd.randint(0, 1 + len(w) // 60)):
+            w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+        texts.append(" ".join(w[:len(w) - rnd.randint(0, len(w) // 20)]).title())
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)] + [(3, "dup row"), (3, "dup row"), (None, texts[0]), (None, "alone")]
+    sets = [brute_shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    edited = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                edited += sets[i] != sets[j]
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append((d is None, d))
+    assert edited > 50
+    kept = near_copies.keep_one(docs_of(rows), tile=tile)
+    assert kept.columns == ["doc_id", "text", "lang", "start", "digest"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(min(g)[1]) for g in groups.values())
+
+
+def test_stage_keeps_one_of_nothing(docs_of):
+    assert near_copies.keep_one(docs_of([])).count() == 0

@@ -38,3 +38,10 @@ def test_stages_take_effect(spark):
 def test_registered():
     assert {"pipeline"} | {n for n in entry.queries() if n.startswith("op")} == {"pipeline", *queries.QUERIES}
     assert [s[0] for s in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "benchmark decontamination", "pii", "best-fit packing"]
+
+
+def test_near_copies_are_judged_by_five_words(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:50], "x", *words[51:120], "y", *words[121:]]), " ".join(words[:100])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 2]
