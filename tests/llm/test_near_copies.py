@@ -161,3 +161,21 @@ def test_stage_keeps_one_of_edited_copies(docs_of, tile):
 
 def test_stage_keeps_one_of_nothing(docs_of):
     assert near_copies.keep_one(docs_of([])).count() == 0
+
+
+@pytest.mark.parametrize("joint", ["\n", ". "])
+def test_line_dedup_finds_passages_of_short_units(docs_of, joint):
+    passage = [" ".join(f"{'abcdefghijkl'[i]}{k}" for k in range(n)) for i, n in enumerate((4, 5, 6, 3, 7, 12, 2, 9, 1, 8, 4, 5))]
+    text = joint.join(passage)
+    rows = [(1, f"First words\n{text}"), (2, f"Of another one{joint}{text}{joint}and its end"), (3, "yes sir\n" * 40), (4, "short line\nlast"),
+            (5, "short line\nlast")]
+    docs = docs_of(rows)
+    found = line_dedup.repeats(docs)
+    cleaned = {r.doc_id: r.text for r in line_dedup.remove(docs, found).collect()}
+    assert [w for w in cleaned[2].replace(".", " ").split()] == "Of another one and its end".split()
+    assert all(cleaned[d] == t for d, t in rows if d in (1, 4, 5))
+    left = cleaned[3].split("\n")
+    assert 7 <= left.count("yes sir") < 14
+    texts = dict(rows)
+    for r in found.where("doc_id = 2").collect():
+        assert r.first_doc_id == 1 and len(texts[2][r.start:r.end].split()) >= 13
