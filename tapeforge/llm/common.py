@@ -11,6 +11,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_ROWS = 256  # rows that a task's Python holds at once, whatever Arrow batches Spark sends
 
 
+_TYPES = {"long": T.LongType, "int": T.IntegerType, "double": T.DoubleType, "string": T.StringType,
+          "boolean": T.BooleanType, "binary": T.BinaryType}
+
+
+def schema_of(columns: str) -> T.StructType:
+    """``name type, ...`` as a schema, without a session."""
+    return T.StructType([T.StructField(n, _TYPES[t]()) for n, t in (c.split() for c in columns.split(","))])
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, rows):

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeforge.llm import (decontaminate, line_dedup, packing, pii, quality, simhash, token_files, toxicity, url_filter,
-                           warc)
+from tapeforge.llm import (conversations, decontaminate, line_dedup, online_packing, packing, pii, quality, simhash,
+                           spelling, token_files, toxicity, url_filter, warc)
 from tapeforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,22 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity_model(docs, spark, sf))
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage."""
+    rows = table(spark, sf, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word with its near words and its form."""
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@query()
+def op13_online_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece of every document with its place."""
+    return online_packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
