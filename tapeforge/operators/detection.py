@@ -9,7 +9,7 @@ import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tapeforge.operators.windows import ZERO_RANGE, chunk_for, owned, spread
+from tapeforge.operators.windows import chunk_for, owned, scaled_windows, spread
 from tapeforge.schemas import FEATURE_COLS
 from tapeforge.session import cut_lineage
 
@@ -45,14 +45,7 @@ def score_windows(indexed: DataFrame, length: int, scorer: Callable[[np.ndarray]
         if len(ends):
             view = sliding_window_view(pdf[FEATURE_COLS].to_numpy(np.float64), length, axis=0)
         for i in range(0, len(ends), batch):
-            raw = view[ends[i:i + batch] - length + 1].transpose(0, 2, 1)
-            price, vol = raw[:, :, :4], raw[:, :, 4:]
-            low = price.min(axis=(1, 2), keepdims=True)
-            span = price.max(axis=(1, 2), keepdims=True) - low
-            top = vol.max(axis=1, keepdims=True)
-            span[span < ZERO_RANGE] = 1.0
-            top[top < ZERO_RANGE] = 1.0
-            scores[i:i + batch] = scorer(np.concatenate([(price - low) / span, vol / top], axis=2))
+            scores[i:i + batch] = scorer(scaled_windows(view[ends[i:i + batch] - length + 1].transpose(0, 2, 1)))
         return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "start_idx": start[ends], "end_idx": idx[ends],
                              "score": scores})
 

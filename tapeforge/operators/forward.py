@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
-from tapeforge.operators.windows import moving_std, over_chunks
+from tapeforge.operators.windows import moving_std, over_chunks, sliding_extremes, touched_chunks
 
 NO_VOLATILITY = 1e-9
 
@@ -47,26 +47,109 @@ def forward_lookup(events: DataFrame, indexed: DataFrame, horizons: list[int]) -
     )
 
 
+def _outcomes(at: Column, worst: Column, best: Column, now: Column, h: int, digits: int | None) -> list[Column]:
+    """Return, adverse (up) and favourable (down) excursion and bearish win; null where the horizon runs past the series."""
+    shape = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    return [shape(_pct(at, now)).alias(f"ret_{h}"),
+            F.when(at.isNotNull(), shape(_pct(worst, now))).alias(f"mae_{h}"),
+            F.when(at.isNotNull(), shape(F.try_divide(now - best, now) * 100)).alias(f"mfe_{h}"),
+            (at < now).alias(f"win_{h}")]
+
+
 def excursions(indexed: DataFrame, horizons: list[int], chunk: int | None = None,
                digits: int | None = 3) -> DataFrame:
-    """Return, adverse (up) and favourable (down) excursion and bearish win per horizon.
+    """Return, adverse (up) and favourable (down) excursion and bearish win per horizon, for every bar.
 
-    Columns are null when the horizon runs past the series.
+    Columns are null when the horizon runs past the series. Running extremes give those of the shortest horizon at a flat cost;
+    a longer one is covered by windows of the shortest, each a look ahead.
     """
-    shape = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    close = F.col("close")
+    least = min(horizons)
+    ends = {h: sorted({*range(h, least, -least), least}) for h in horizons}
 
     def steps(df: DataFrame, spec: WindowSpec) -> DataFrame:
+        d = sliding_extremes(df, {"_top": (F.col("high"), F.max), "_bottom": (F.col("low"), F.min)}, least)
+        looks = {f"_{n}_{k}": F.lead(f"_{n}", k).over(spec) for k in sorted({k for e in ends.values() for k in e}) for n in ("top", "bottom")}
+        looks |= {f"_at_{h}": F.lead("close", h).over(spec) for h in horizons}
+        d = d.select("*", *[c.alias(n) for n, c in looks.items()])
         cols = []
         for h in horizons:
-            ahead, at = spec.rowsBetween(1, h), F.lead("close", h).over(spec)
-            cols += [shape(_pct(at, close)).alias(f"ret_{h}"),
-                     F.when(at.isNotNull(), shape(_pct(F.max("high").over(ahead), close))).alias(f"mae_{h}"),
-                     F.when(at.isNotNull(), shape(F.try_divide(close - F.min("low").over(ahead), close) * 100)).alias(f"mfe_{h}"),
-                     (at < close).alias(f"win_{h}")]
-        return df.select("*", *cols)
+            top, bottom = ([F.col(f"_{n}_{k}") for k in ends[h]] for n in ("top", "bottom"))
+            cols += _outcomes(F.col(f"_at_{h}"), F.greatest(*top) if len(top) > 1 else top[0],
+                              F.least(*bottom) if len(bottom) > 1 else bottom[0], F.col("close"), h, digits)
+        return d.select(*df.columns, *cols)
 
-    return over_chunks(indexed, steps, ahead=max(horizons), chunk=chunk)
+    return over_chunks(indexed, steps, back=least, ahead=max(horizons), chunk=chunk)
+
+
+PYRAMID, LEVELS = 8, 5  # each level's block holds eight of the level below; the top one 32768 bars
+
+
+def pyramid(indexed: DataFrame, chunk: int = PYRAMID ** 4) -> DataFrame:
+    """(symbol, level, block, top, bottom): highest high and lowest low of blocks of 1, 8, 64 .. bars, a seventh more rows than bars.
+
+    The bars are shuffled once, by (symbol, chunk); blocks of a chunk or less are complete there.
+    """
+    levels = F.explode(F.expr(f"transform(sequence(0, {LEVELS - 1}), l -> struct(l AS level, shiftright(bar_idx, 3 * l) AS block))"))
+    bars = indexed.select("symbol", "bar_idx", "high", "low", F.expr(f"bar_idx div {chunk}").alias("chunk")).repartition("symbol", "chunk")
+    return (bars.select("symbol", "chunk", "high", "low", levels.alias("l")).groupBy("symbol", "chunk", "l.level", "l.block")
+            .agg(F.max("high").alias("top"), F.min("low").alias("bottom")).drop("chunk"))
+
+
+def _blocks(first: str, last: str) -> Column:
+    """The blocks (level, block) that make up the positions [first, last]: at most fourteen of a level below the top."""
+    empty = "CAST(array() AS array<struct<level:int,block:bigint>>)"
+
+    def pieces(level: str, a: str, b: str) -> str:
+        return f"if({a} > {b}, {empty}, transform(sequence({a}, greatest({a}, {b})), x -> struct({level} AS level, x AS block)))"
+
+    up, down = f"(s.a + {PYRAMID - 1}) div {PYRAMID} * {PYRAMID}", f"(s.b + 1) div {PYRAMID} * {PYRAMID}"
+    left = pieces("l", "s.a", f"least(s.b, {up} - 1)")
+    right = f"if({up} > s.b, {empty}, {pieces('l', down, 's.b')})"
+    inner = f"{up} <= {down} - 1"
+    step = (f"(s, l) -> named_struct('a', if({inner}, {up} div {PYRAMID}, 1L), 'b', if({inner}, {down} div {PYRAMID} - 1, 0L), "
+            f"'out', concat(s.out, {left}, {right}))")
+    start = f"named_struct('a', CAST({first} AS BIGINT), 'b', CAST({last} AS BIGINT), 'out', {empty})"
+    top = pieces(str(LEVELS - 1), "s.a", "s.b")
+    return F.expr(f"aggregate(sequence(0, {LEVELS - 2}), {start}, {step}, s -> concat(s.out, {top}))")
+
+
+def range_extremes(spans: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``top`` and ``bottom`` over the bars [first, last] of each span (keys, symbol, first, last), from a ``pyramid``.
+
+    A span asks for a number of blocks that grows with the logarithm of its length, by equi-join.
+    """
+    asked = spans.select(*keys, "symbol", F.explode(_blocks("first", "last")).alias("_b")).select(*keys, "symbol", "_b.*")
+    return asked.join(blocks, ["symbol", "level", "block"]).groupBy(*keys).agg(F.max("top").alias("top"), F.min("bottom").alias("bottom"))
+
+
+def outcomes_at(events: DataFrame, indexed: DataFrame, horizons: list[int], digits: int | None = 3,
+                chunk: int = PYRAMID ** 4) -> DataFrame:
+    """(symbol, end_idx, entry_price, ret_h, mae_h, mfe_h, win_h) as ``excursions`` has them, for the bars of sparse events alone.
+
+    Only the chunks of bars in which some event's horizon lies are read on: their pyramid is built, and every event asks
+    it for its blocks. No frame runs over the bars.
+    """
+    ends = events.select("symbol", "end_idx").distinct()
+    reach = ends.withColumn("_to", F.col("end_idx") + max(horizons))
+    near = indexed.select("symbol", "bar_idx", "high", "low", "close").withColumn("chunk", F.expr(f"bar_idx div {chunk}"))
+    near = near.join(touched_chunks(reach, chunk, "end_idx", "_to"), ["symbol", "chunk"], "left_semi")
+    price = near.select("symbol", "bar_idx", "close")
+    asked = ends.withColumn("horizon", F.explode(F.array(F.lit(0), *[F.lit(h) for h in horizons])))
+    closes = asked.withColumn("bar_idx", F.col("end_idx") + F.col("horizon")).join(price, ["symbol", "bar_idx"])
+    spans = asked.where("horizon > 0").select("symbol", "end_idx", "horizon", (F.col("end_idx") + 1).alias("first"),
+                                              (F.col("end_idx") + F.col("horizon")).alias("last"))
+    reached = range_extremes(spans.withColumnRenamed("symbol", "of").withColumn("symbol", F.col("of")), pyramid(near, chunk),
+                             ["of", "end_idx", "horizon"])
+    both = closes.join(reached.withColumnRenamed("of", "symbol"), ["symbol", "end_idx", "horizon"], "left")
+
+    def pick(c: str, h: int) -> Column:
+        return F.max(F.when(F.col("horizon") == h, F.col(c)))
+
+    wide = both.groupBy("symbol", "end_idx").agg(
+        pick("close", 0).alias("entry_price"),
+        *[pick(c, h).alias(f"_{c}_{h}") for h in horizons for c in ("close", "top", "bottom")])
+    return wide.select("symbol", "end_idx", "entry_price", *[c for h in horizons for c in _outcomes(
+        F.col(f"_close_{h}"), F.col(f"_top_{h}"), F.col(f"_bottom_{h}"), F.col("entry_price"), h, digits)])
 
 
 def long_outcomes(wide: DataFrame, keys: list[str], horizons: list[int], fields: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
-from tapeforge.operators.windows import chunk_for, chunk_spec, spread
+from tapeforge.operators.windows import chunk_for, chunk_spec, over_chunks, spread
 from tapeforge.schemas import APEX_MAX_AHEAD, OUTSIDE_TOLERANCE, TOUCH_TOLERANCE
 
 UPPER_Q, LOWER_Q, REFITS = 0.55, 0.45, 2
@@ -245,6 +245,77 @@ def simple_slopes(points: DataFrame, keys: list[str], x: str = "pos") -> DataFra
                                      F.regr_slope("low", x).alias("slope_low"))
 
 
+def rolling_slopes(indexed: DataFrame, length: int, stride: int = 1, cols: tuple[str, ...] = ("high", "low"),
+                   chunk: int | None = None) -> DataFrame:
+    """(symbol, start_idx, end_idx, slope_<col>): ordinary least-squares slopes of every ``stride``-th window of ``length`` bars.
+
+    Running sums of y and of x y, both counted from the chunk's middle and mean, are differenced: a window costs the same
+    whatever its length, and the bars are shuffled once.
+    """
+    chunk = chunk or chunk_for(length)
+    whole = Window.partitionBy("symbol", "chunk")
+
+    def steps(df: DataFrame, spec: WindowSpec) -> DataFrame:
+        run = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        d = df.select("symbol", "chunk", "bar_idx", (F.col("bar_idx") - F.col("chunk") * chunk - chunk // 2).cast("double").alias("_x"),
+                      *[(F.col(c) - F.avg(c).over(whole)).alias(f"_{c}") for c in cols])
+        d = d.select("*", *[s for c in cols for s in (F.sum(f"_{c}").over(run).alias(f"_s_{c}"),
+                                                      F.sum(F.col("_x") * F.col(f"_{c}")).over(run).alias(f"_sx_{c}"))])
+        d = d.select("*", *[(F.col(f"_{k}_{c}") - F.coalesce(F.lag(f"_{k}_{c}", length).over(spec), F.lit(0.0))).alias(f"_d{k}_{c}")
+                            for c in cols for k in ("s", "sx")])
+        middle, spread_x = F.col("_x") - (length - 1) / 2, length * (length * length - 1) / 12
+        return d.select("symbol", "chunk", "bar_idx", *[
+            (F.try_divide(F.col(f"_dsx_{c}") - middle * F.col(f"_ds_{c}"), F.lit(spread_x))).alias(f"slope_{c}") for c in cols])
+
+    start = F.col("bar_idx") - length + 1
+    out = over_chunks(indexed.select("symbol", "bar_idx", *cols), steps, back=length, chunk=chunk)
+    return out.where((start >= 0) & (start % stride == 0)).select(
+        "symbol", start.alias("start_idx"), F.col("bar_idx").alias("end_idx"), *[f"slope_{c}" for c in cols])
+
+
+def channel_positions(indexed: DataFrame, length: int, stride: int = 1, chunk: int | None = None) -> DataFrame:
+    """(symbol, start_idx, end_idx, slope_high, slope_low, rel_min, rel_max) of every ``stride``-th window.
+
+    Slopes are least-squares ones from prefix moments; rel_min and rel_max say where the closes lie between the
+    lines of these slopes through the first high and low (0: on the lower, 1: on the upper). A task holds one chunk with its
+    halo, and windows are views on it, a bounded number at a time.
+    """
+    chunk = chunk or chunk_for(length)
+    schema = "symbol string, start_idx bigint, end_idx bigint, slope_high double, slope_low double, rel_min double, rel_max double"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def slopes(y: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        x = np.arange(len(y)) - len(y) / 2
+        y = y - y.mean()
+        s, sx = (np.r_[0.0, np.cumsum(v)] for v in (y, x * y))
+        ds, dsx = s[ends + 1] - s[ends + 1 - length], sx[ends + 1] - sx[ends + 1 - length]
+        return (dsx - (x[ends] - (length - 1) / 2) * ds) / (length * (length * length - 1) / 12)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_idx", ignore_index=True)
+        idx = pdf["bar_idx"].to_numpy()
+        ends = np.flatnonzero((idx // chunk == pdf["chunk"].iloc[0]) & (np.arange(len(idx)) >= length - 1)
+                              & ((idx - length + 1) % stride == 0))
+        if not len(ends):
+            return pd.DataFrame(columns=names)
+        high, low, close = (pdf[c].to_numpy(np.float64) for c in ("high", "low", "close"))
+        up, lo = slopes(high, ends), slopes(low, ends)
+        least, most = np.empty(len(ends)), np.empty(len(ends))
+        x, view = np.arange(length), sliding_window_view(close, length)
+        for i in range(0, len(ends), BATCH):
+            first = ends[i:i + BATCH] - length + 1
+            line = low[first, None] + lo[i:i + BATCH, None] * x
+            width = high[first, None] + up[i:i + BATCH, None] * x - line + 1e-10
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rel = np.where(width != 0, (view[first] - line) / width, np.nan)
+            least[i:i + BATCH], most[i:i + BATCH] = np.fmin.reduce(rel, axis=1), np.fmax.reduce(rel, axis=1)
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "start_idx": idx[ends] - length + 1, "end_idx": idx[ends],
+                             "slope_high": up, "slope_low": lo, "rel_min": least, "rel_max": most})
+
+    bars = spread(indexed.select("symbol", "bar_idx", "high", "low", "close"), chunk, back=length)
+    return bars.groupBy("symbol", "chunk").applyInPandas(run, schema)
+
+
 def fit_accuracy(pairs: DataFrame) -> DataFrame:
     """Fitted against known slopes per side: correlation, mean error, scale."""
     long = pairs.select(F.explode(F.array(

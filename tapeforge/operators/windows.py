@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from tapeforge.schemas import PRICE_COLS
+from tapeforge.schemas import FEATURE_COLS, PRICE_COLS
 
 ZERO_RANGE = 1e-10
 SALTS = 64  # tasks that the bars of one symbol are spread over when they meet a per-symbol value
@@ -78,6 +81,31 @@ def moving_std(df: DataFrame, src: str, out: str, length: int, spec: WindowSpec,
     return d.withColumn(out, std).drop("_c", "_n", "_s", "_q", "_dn", "_ds", "_dq")
 
 
+def sliding_extremes(df: DataFrame, wanted: dict[str, tuple[Column, Callable]], length: int, pos: str = "bar_idx") -> DataFrame:
+    """Extremes of the ``length`` rows that end at each row of a (symbol, chunk), at a cost that ``length`` doesn't change.
+
+    ``wanted`` names the results: (value, F.min or F.max). Positions are cut into blocks of ``length``. A window
+    is the end of one block and the beginning of the next, so its extreme is that of two running ones: from its first row to
+    the end of that block, and from the beginning of the next to its last row. Rows whose window begins before
+    the chunk's rows do have a null; where rows are missing the result is undefined.
+    """
+    block = Window.partitionBy("symbol", "chunk", "_block")
+    onward = block.orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = block.orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One shuffle serves the blocks and the chunk's own order.
+    d = df.repartition("symbol", "chunk").withColumn("_block", F.expr(f"{pos} div {length}"))
+    d = d.select("*", *[of(value).over(back).alias(f"_back_{n}") for n, (value, of) in wanted.items()])
+    d = d.select("*", *[of(value).over(onward).alias(f"_on_{n}") for n, (value, of) in wanted.items()])
+    last = {n: F.lag(f"_back_{n}", length - 1).over(chunk_spec(pos)) for n in wanted}
+    d = d.select("*", *[c.alias(f"_first_{n}") for n, c in last.items()])
+
+    def both(n: str, of: Callable) -> Column:
+        pick = F.greatest if of is F.max else F.least
+        return F.when(F.col(f"_first_{n}").isNotNull(), pick(f"_first_{n}", f"_on_{n}"))
+
+    return d.select(*df.columns, *[both(n, of).alias(n) for n, (_, of) in wanted.items()])
+
+
 def window_ranges(indexed: DataFrame, length: int, chunk: int | None = None) -> DataFrame:
     """Price minimum / range and volume maximum of the ``length`` bars ending at each bar.
 
@@ -86,10 +114,8 @@ def window_ranges(indexed: DataFrame, length: int, chunk: int | None = None) ->
     """
 
     def steps(df: DataFrame, spec: WindowSpec) -> DataFrame:
-        frame = spec.rowsBetween(1 - length, 0)
-        return df.select("*", F.min(F.least(*PRICE_COLS)).over(frame).alias("price_min"),
-                         F.max(F.greatest(*PRICE_COLS)).over(frame).alias("_max"),
-                         F.max("volume").over(frame).alias("_vmax"))
+        return sliding_extremes(df, {"price_min": (F.least(*PRICE_COLS), F.min), "_max": (F.greatest(*PRICE_COLS), F.max),
+                                     "_vmax": (F.col("volume"), F.max)}, length)
 
     full = F.col("bar_idx") >= length - 1
 
@@ -115,15 +141,59 @@ def gather(starts: DataFrame, indexed: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
+def touched_chunks(wanted: DataFrame, chunk: int, first: str, last: str) -> DataFrame:
+    """(symbol, chunk) of the chunks that the stretches [first, last] of positions lie in."""
+    return wanted.select("symbol", F.explode(F.expr(f"sequence({first} div {chunk}, {last} div {chunk})")).alias("chunk")).distinct()
+
+
+def window_bars(indexed: DataFrame, starts: DataFrame, length: int, cut: Callable[[np.ndarray], np.ndarray] | None = None,
+                chunk: int | None = None) -> DataFrame:
+    """(symbol, start_idx, end_idx, pos, open .. volume) of the given windows (symbol, start_idx, end_idx), each once.
+
+    Only chunks in which a window ends are shuffled, with their halo, and meet their windows there; no position is
+    exploded or joined. ``cut`` maps windows (b, length, 5) to the values to give out.
+    """
+    chunk = chunk or chunk_for(length)
+    wanted = starts.select(F.col("symbol").alias("_symbol"), F.col("start_idx").alias("_start"), F.col("end_idx").alias("_end"),
+                           F.expr(f"end_idx div {chunk}").alias("_chunk")).distinct()
+    bars = spread(indexed.select("symbol", "bar_idx", *FEATURE_COLS), chunk, back=length)
+    touched = wanted.select("_symbol", "_chunk").distinct()
+    bars = bars.join(touched, (F.col("symbol") == F.col("_symbol")) & (F.col("chunk") == F.col("_chunk")), "left_semi")
+    names = ["symbol", "start_idx", "end_idx", "pos", *FEATURE_COLS]
+
+    def rows(b: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        if not len(w) or len(b) < length:
+            return pd.DataFrame(columns=names)
+        b = b.sort_values("bar_idx")
+        at = np.searchsorted(b["bar_idx"].to_numpy(), w["_end"].to_numpy())
+        known = at < len(b)
+        known[known] = (b["bar_idx"].to_numpy()[at[known]] == w["_end"].to_numpy()[known]) & (at[known] >= length - 1)
+        w, at = w[known], at[known]
+        view = sliding_window_view(b[FEATURE_COLS].to_numpy(np.float64), length, axis=0)[at - length + 1].transpose(0, 2, 1)
+        values = (view if cut is None else cut(view)).reshape(-1, len(FEATURE_COLS))
+        out = {"symbol": np.repeat(w["_symbol"].to_numpy(), length), "start_idx": np.repeat(w["_start"].to_numpy(), length),
+               "end_idx": np.repeat(w["_end"].to_numpy(), length), "pos": np.tile(np.arange(length, dtype=np.int32), len(w))}
+        return pd.DataFrame({**out, **{c: values[:, i] for i, c in enumerate(FEATURE_COLS)}}, columns=names)
+
+    schema = ", ".join(f"{n} {t}" for n, t in indexed.select("symbol").dtypes) + ", start_idx bigint, end_idx bigint, pos int, " + ", ".join(
+        f"{c} double" for c in FEATURE_COLS)
+    return bars.groupBy("symbol", "chunk").cogroup(wanted.groupBy("_symbol", "_chunk")).applyInPandas(rows, schema)
+
+
+def scaled_windows(raw: np.ndarray) -> np.ndarray:
+    """Windows (b, length, 5) with the prices of each scaled to [0, 1] together, and its volumes by their maximum."""
+    price, vol = raw[:, :, :4], raw[:, :, 4:]
+    low = price.min(axis=(1, 2), keepdims=True)
+    span = price.max(axis=(1, 2), keepdims=True) - low
+    top = vol.max(axis=1, keepdims=True)
+    span[span < ZERO_RANGE] = 1.0
+    top[top < ZERO_RANGE] = 1.0
+    return np.concatenate([(price - low) / span, vol / top], axis=2)
+
+
 def normalised_windows(indexed: DataFrame, starts: DataFrame, length: int, chunk: int | None = None) -> DataFrame:
-    """Bars of the given windows with prices and volume scaled to [0, 1] per window."""
-    ranges = window_ranges(indexed, length, chunk).select(
-        "symbol", F.col("bar_idx").alias("end_idx"), "price_min", "price_range", "volume_max")
-    sized = starts.join(ranges, ["symbol", "end_idx"])
-    rows = gather(sized, indexed, ["open", "high", "low", "close", "volume"])
-    scaled = [((F.col(c) - F.col("price_min")) / F.col("price_range")).alias(c) for c in PRICE_COLS]
-    return rows.select("symbol", "start_idx", "end_idx", "pos", *scaled,
-                       (F.col("volume") / F.col("volume_max")).alias("volume"))
+    """Bars of the given windows with prices and volume scaled to [0, 1] per window; ranges are those of these windows alone."""
+    return window_bars(indexed, starts, length, scaled_windows, chunk)
 
 
 def lag_sequences(indexed: DataFrame, col: str, length: int = 60, chunk: int | None = None) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeforge.functions.ranking import quantiles
+from tapeforge.operators.geometry import channel_positions
 from tapeforge.operators.indexing import window_starts
 from tapeforge.operators.sampling import shuffled, with_validation_split
-from tapeforge.operators.windows import gather, normalised_windows
+from tapeforge.operators.windows import normalised_windows
 
 CHANNEL_SLACK = 0.30
 
@@ -28,8 +29,9 @@ def relabel(manifest: DataFrame, positive: str) -> DataFrame:
     return manifest.withColumn("label", (F.col("type") == positive).cast("int"))
 
 
-def confirmed_negative(rows: DataFrame, length: int, rule: str = "reference") -> DataFrame:
-    """Windows that cannot be a rising wedge, given their bars (symbol, start_idx, pos, high, low, close).
+def confirmed_negative(indexed: DataFrame, length: int, stride: int, rule: str = "reference",
+                       chunk: int | None = None) -> DataFrame:
+    """Every ``stride``-th window with ``negative``: whether it cannot be a rising wedge.
 
     A window is a possible wedge only if both slopes rise, the lines pass the
     convergence test and all closes stay within 30% of the channel through the
@@ -38,34 +40,18 @@ def confirmed_negative(rows: DataFrame, length: int, rule: str = "reference") ->
     """
     if rule not in ("reference", "corrected"):
         raise ValueError(f"rule must be 'reference' or 'corrected', got {rule!r}")
-    keys = ["symbol", "start_idx"]
-    # One shuffle: a group is one window, so its closes fit an array of ``length``.
-    per = rows.groupBy(*keys).agg(
-        F.regr_slope("high", "pos").alias("slope_high"), F.regr_slope("low", "pos").alias("slope_low"),
-        F.min_by("high", "pos").alias("_h0"), F.min_by("low", "pos").alias("_l0"),
-        F.collect_list(F.struct("pos", "close")).alias("_c"))
-
-    def place(c: Column) -> Column:
-        low_line = F.col("_l0") + F.col("slope_low") * c["pos"]
-        width = F.col("_h0") + F.col("slope_high") * c["pos"] - low_line + 1e-10
-        return F.try_divide(c["close"] - low_line, width)
-
-    per = per.withColumn("_rel", F.transform("_c", place)).select(
-        *keys, "slope_high", "slope_low", F.array_min("_rel").alias("rel_min"), F.array_max("_rel").alias("rel_max"))
     closing = (F.col("slope_high") > F.col("slope_low") if rule == "reference"
                else F.col("slope_low") > F.col("slope_high"))
     possible = ((F.col("slope_high") > 0) & (F.col("slope_low") > 0) & closing
                 & (F.col("rel_min") >= -CHANNEL_SLACK) & (F.col("rel_max") <= 1 + CHANNEL_SLACK))
-    return per.withColumn("end_idx", F.col("start_idx") + length - 1).withColumn("negative", ~possible)
+    return channel_positions(indexed, length, stride, chunk).withColumn("negative", ~possible)
 
 
 def mine_negatives(indexed: DataFrame, length: int, stride: int, val_fraction: float, seed: int,
                    rule: str = "reference", check: bool = True) -> DataFrame:
     """Manifest rows of confirmed negatives, shuffled and split."""
-    starts = window_starts(indexed, length, stride)
-    if check:
-        bars = gather(starts, indexed, ["high", "low", "close"])
-        starts = confirmed_negative(bars, length, rule).where("negative").select("symbol", "start_idx", "end_idx")
+    starts = (confirmed_negative(indexed, length, stride, rule).where("negative").select("symbol", "start_idx", "end_idx")
+              if check else window_starts(indexed, length, stride))
     order = shuffled(starts, seed, ["symbol", "start_idx"])
     times = indexed.select("symbol", "bar_idx", "ts")
     split = with_validation_split(order, val_fraction)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeforge.functions.ranking import quantiles
 from tapeforge.operators.detection import cluster_events, score_windows, select_nonoverlapping, shape_score
-from tapeforge.operators.forward import excursions, gap_columns, long_outcomes, volatility_trend_steps
+from tapeforge.operators.forward import gap_columns, long_outcomes, outcomes_at, volatility_trend_steps
 from tapeforge.operators.geometry import envelope_windows, with_apex, with_geometry
 from tapeforge.session import cut_lineage
 
@@ -55,12 +55,9 @@ def detect_top(indexed: DataFrame, length: int, threshold: float, top: int | Non
 
 def backtest(indexed: DataFrame, hits: DataFrame, horizons: list[int], digits: int | None = 3,
              chunk: int | None = None) -> DataFrame:
-    """Detections joined to the outcome of their last bar."""
-    outcome = excursions(indexed, horizons, chunk, digits)
-    cols = [c for h in horizons for c in (f"ret_{h}", f"mae_{h}", f"mfe_{h}", f"win_{h}")]
-    outcome = outcome.select("symbol", F.col("bar_idx").alias("end_idx"),
-                             F.col("close").alias("entry_price"), *cols)
-    return hits.join(outcome, ["symbol", "end_idx"])
+    """Detections joined to the outcome of their last bar. The hits are written once: they choose the bars to look at."""
+    hits = cut_lineage(hits)
+    return hits.join(outcomes_at(hits, indexed, horizons, digits, *([chunk] if chunk else [])), ["symbol", "end_idx"])
 
 
 def backtest_summary(results: DataFrame, horizons: list[int], keys: list[str] | None = None) -> DataFrame:

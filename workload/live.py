@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tapeforge.operators import indexing, spikes
 from tapeforge.plans import detect, jobs
-from tapeforge.schemas import FEATURE_COLS, KEY_BARS, KEY_SCORES
+from tapeforge.schemas import FEATURE_COLS, KEY_BARS, KEY_SCORES, SCORES, SIGNALS, STAT_COLS
 from tapeforge.session import scratch_path
-from tapeforge.streaming import monitor
-from workload.base import (CHUNK, FIT, FORMS, N, bars, bars_sql, decided_sql, query, r, rs, text_ts, ts, windows_sql)
+from tapeforge.sources import days
+from tapeforge.streaming import live, monitor
+from workload.base import (CHUNK, FIT, FORMS, N, bars, bars_sql, decided_sql, formations_sql, query, r, rs, text_ts, ts,
+                           windows_sql)
 from workload.shapes import SPIKE_LIMIT, spike_sql
 from workload.tables import GATE
 
@@ -159,3 +161,176 @@ def t8_late_bars(spark, sf):
     rows = _rows_of(spark, sf, parts=parts, limit=1e9)
     late = monitor.last_wins(rows.select("symbol", "ts", "late", "close"), KEY_BARS, ["late"])
     return late.select("symbol", text_ts().alias("ts"), "late", "close")
+
+
+# --- several sizes in one stream -----------------------------------------------------------
+
+SIZES = [N, 20]
+
+
+def _stream_to_table(rows, mark, out):
+    q = (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _live_rows(spark, sf, sizes, parts, **options):
+    """Rows of the ring state over the given parts of the bars, one catch-up run each."""
+    b = _flagged(spark, sf)
+    src, out, mark = (scratch_path(spark, n) for n in ("ring-in", "ring-out", "ring-mark"))
+    for cond in parts:
+        b.where(cond).write.mode("append").parquet(src)
+        _stream_to_table(live.live_rows(_source(spark, src, b), sizes, SPIKE_LIMIT, **options), mark, out)
+    return spark.read.schema(live.ROWS).parquet(out)
+
+
+def _sized_sql(sizes, seen=SEEN):
+    """Depth, highest high and lowest low of the windows of each size that end at each accepted session bar."""
+    one = """SELECT symbol, {ts}, {n} AS size, CAST(least(k + 1, {n}) AS INT) AS depth,
+CASE WHEN k >= {n} - 1 THEN max(high) OVER w END AS top, CASE WHEN k >= {n} - 1 THEN min(low) OVER w END AS bottom
+FROM seen WHERE in_session WINDOW w AS (PARTITION BY symbol ORDER BY k ROWS BETWEEN {n} - 1 PRECEDING AND CURRENT ROW)"""
+    return f"WITH RECURSIVE {seen} " + " UNION ALL ".join(f"({one.format(ts=ts('ts'), n=n)})" for n in sizes)
+
+
+def _sized(rows, sizes):
+    d = live.block_windows(rows, [(n, n) for n in sizes])
+    return d.select("symbol", text_ts().alias("ts"), "size", "depth", "top", "bottom")
+
+
+@query(_sized_sql(SIZES))
+def t4_two_sizes(spark, sf):
+    """Windows of two sizes from one ring a symbol, in two catch-up runs from one checkpoint."""
+    return _sized(_live_rows(spark, sf, SIZES, [F.col("ts") < HALF, F.col("ts") >= HALF]), SIZES)
+
+
+@query(_sized_sql([20, 12]))
+def t5_restart_with_other_sizes(spark, sf):
+    """A query with one size is stopped; another with a smaller one as well goes on from its checkpoint's rings."""
+    b = _flagged(spark, sf)
+    src, marks, outs = scratch_path(spark, "again-in"), [], []
+    for sizes, cond in (([20], F.col("ts") < HALF), ([20, 12], F.col("ts") >= HALF)):
+        b.where(cond).write.mode("append").parquet(src)
+        start = live.checkpoint_start(spark, marks[-1]) if marks else None
+        marks.append(scratch_path(spark, "again-mark"))
+        outs.append(scratch_path(spark, "again-out"))
+        _stream_to_table(live.live_rows(_source(spark, src, b), sizes, SPIKE_LIMIT, start), marks[-1], outs[-1])
+    first, second = (spark.read.schema(live.ROWS).parquet(o) for o in outs)
+    # The new size has no rows of the time before it was added; what it would have had is asked of the first run's blocks.
+    return _sized(first, [20, 12]).unionByName(_sized(second, [20, 12]))
+
+
+def _close_in_window():
+    """A loader, as a model file would have one: where the last close stands in its window, squared."""
+    return lambda batch: batch[:, -1, 3] ** 2
+
+
+PRICES = "least(open, high, low, close)", "greatest(open, high, low, close)"
+
+
+@query(f"""WITH RECURSIVE {SEEN}, m AS (SELECT symbol, ts, k, close, min({PRICES[0]}) OVER w AS lo, max({PRICES[1]}) OVER w AS hi
+FROM seen WHERE in_session WINDOW w AS (PARTITION BY symbol ORDER BY k ROWS BETWEEN {N - 1} PRECEDING AND CURRENT ROW))
+SELECT symbol, {ts('ts')}, CAST(least(k + 1, {N}) AS INT) AS bars,
+CASE WHEN k >= {N - 1} THEN round(power((close - lo) / CASE WHEN hi - lo < 1e-10 THEN 1.0 ELSE hi - lo END, 2) + 3e-8, 6) + 0.0 END AS score FROM m""")
+def x1_stream_batch_model(spark, sf):
+    """A batch model on windows of five columns, in the stream's foreachBatch path."""
+    form = [{**FORMS[2], "pattern": "own"}]
+    rows = _live_rows(spark, sf, [N], [F.col("ts") < HALF, F.col("ts") >= HALF])
+    scored = live.score_live(rows, form, {("own", N): _close_in_window})
+    return scored.select("symbol", text_ts().alias("ts"), F.col("depth").alias("bars"), *r("score"))
+
+
+LOW = [{**f, "threshold": 0.5, "max_exc": None if f["max_exc"] is None else 4.0, "min_touches": None if f["min_touches"] is None else 3}
+       for f in FORMS if not f["log_only"]]
+
+
+def _low_sql():
+    rows = ", ".join("(" + ", ".join("NULL" if f[c] is None else str(f[c]).upper() if isinstance(f[c], bool) else
+                                     f"'{f[c]}'" if isinstance(f[c], str) else str(f[c]) for c in
+                                     ("pattern", "threshold", "apex_gate", "quality_gate", "geometry", "log_only", "min_conv",
+                                      "max_conv", "min_touches", "max_exc")) + ")" for f in LOW)
+    names = "pattern, threshold, apex_gate, quality_gate, geometry, log_only, min_conv, max_conv, min_touches, max_exc"
+    return decided_sql(base=LIVE_IDX).replace(formations_sql(), f"forms AS (SELECT * FROM (VALUES {rows}) f({names}))")
+
+
+def _stored(spark, sf, forms):
+    """The three live tables after two catch-up runs, the last batch of which is written once more as a retry would."""
+    b = _flagged(spark, sf)
+    src, out, mark = (scratch_path(spark, n) for n in ("days-in", "days-out", "days-mark"))
+    write = live.store_live(f"{out}/bars", f"{out}/scores", f"{out}/signals", forms)
+    last = {}
+
+    def remembered(batch, batch_id):
+        last.update(rows=scratch_path(spark, "retry"), id=batch_id)
+        batch.write.parquet(last["rows"])
+        write(batch, batch_id)
+
+    for cond in (F.col("ts") < HALF, F.col("ts") >= HALF):
+        b.where(cond).write.mode("append").parquet(src)
+        monitor.run_available(live.live_rows(_source(spark, src, b), [N], SPIKE_LIMIT), remembered, mark)
+    write(spark.read.schema(live.ROWS).parquet(last["rows"]), last["id"])
+    return out
+
+
+STATS = {"proj_move_usd": "CASE WHEN pattern = 'wedge' THEN round(close * greatest(1.034 - 0.146 * mid_travel, 0.0) / 100, 4) END",
+         "slope_upper": "round(b_upper, 6) + 0.0", "slope_lower": "round(b_lower, 6) + 0.0",
+         "apex_min": f"coalesce(round_even(x_cross - {FIT - 1}, 0), 0.0) + 0.0",
+         "apex_price": "coalesce(round(a_upper + b_upper * x_cross, 4), 0.0) + 0.0",
+         "mid_travel": "round(mid_travel, 4) + 0.0", "convergence": "round(convergence, 4) + 0.0",
+         "touch_up": "CAST(touch_up AS DOUBLE)", "touch_lo": "CAST(touch_lo AS DOUBLE)", "max_excursion": "round(max_excursion, 4) + 0.0"}
+
+
+@query(f"""WITH RECURSIVE {_low_sql()} SELECT symbol, {ts('date_end', 'ts')}, pattern, {N} AS window,
+{', '.join(f'{e} AS {n}' for n, e in STATS.items())} FROM dec WHERE signal = 1""")
+def s8_live_tables(spark, sf):
+    """The signals that a live run has stored by day, with all ten statistics."""
+    signals = days.read_days(spark, f"{_stored(spark, sf, LOW)}/signals", SIGNALS)
+    return signals.select("symbol", text_ts().alias("ts"), "pattern", "window", *STAT_COLS)
+
+
+@query(f"""WITH RECURSIVE {decided_sql(base=LIVE_IDX)}, cells AS (SELECT i.symbol, i.ts, i.bar_idx, f.pattern FROM idx i CROSS JOIN forms f)
+SELECT c.symbol, {ts('c.ts', 'ts')}, c.pattern, {N} AS window, CAST(least(c.bar_idx + 1, {N}) AS INT) AS bars, round(d.score + 3e-8, 6) + 0.0 AS score, coalesce(d.signal, 0) AS signal
+FROM cells c LEFT JOIN dec d ON d.symbol = c.symbol AND d.end_idx = c.bar_idx AND d.pattern = c.pattern""")
+def k10_live_scores_by_day(spark, sf):
+    """The scores table of a live run kept by day, a retried batch included."""
+    scores = days.read_days(spark, f"{_stored(spark, sf, FORMS)}/scores", SCORES)
+    return scores.select("symbol", text_ts().alias("ts"), "pattern", "window", "bars", *r("score"), "signal")
+
+
+# --- bars out of order -----------------------------------------------------------------------
+
+DELAY, SLOT, SPREAD = 6 * 3600, 72, 5  # seconds held back; hours a file; hours that a bar may come after its turn
+KEY = "md5(concat(symbol, ':', strftime(ts, '%Y-%m-%d %H')))"
+TOO_LATE = f"substr({KEY}, 1, 2) = '00' AND ts < TIMESTAMP '{HALF}'"
+ORDERLY = SEEN.replace("FROM bars)", f"FROM bars WHERE NOT ({TOO_LATE}))", 1)
+
+
+def _disordered(spark, sf):
+    """Bars delivered up to SPREAD hours after their turn, some of them in the last file of all; rows of the stream."""
+    b = _flagged(spark, sf)
+    key = F.md5(F.concat("symbol", F.lit(":"), F.date_format("ts", "yyyy-MM-dd HH")))
+    hour = F.floor(F.unix_timestamp("ts") / 3600)
+    late = (F.substring(key, 1, 2) == "00") & (F.col("ts") < HALF)
+    turn = F.floor((hour + F.conv(F.substring(key, 3, 2), 16, 10).cast("long") % SPREAD) / SLOT)
+    b = b.withColumn("_file", F.when(late, F.lit(1 << 40)).otherwise(turn))
+    # A symbol of its own ends the event clock's day: what is still held back comes out.
+    end = b.agg(F.max("ts").alias("ts")).selectExpr("'~' AS symbol", "ts + INTERVAL 2 DAYS AS ts", *[f"1D AS {c}" for c in FEATURE_COLS],
+                                                    "false AS in_session", f"{(1 << 40) + 1}L AS _file")
+    b = b.unionByName(end.select(*b.columns))
+    src, out, mark = (scratch_path(spark, n) for n in ("late-in", "late-out", "late-mark"))
+    for (k,) in sorted(b.select("_file").distinct().collect()):  # one file a turn, in order: the feed being played
+        b.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(src)
+    stream = monitor.bar_stream(spark, src, b.drop("_file").schema, files_per_batch=1)
+    _stream_to_table(live.live_rows(stream, [N], SPIKE_LIMIT, delay=DELAY, forget=400 * 86400), mark, out)
+    return spark.read.schema(live.ROWS).parquet(out)
+
+
+@query(_sized_sql([N], ORDERLY))
+def t8_reordered_bars(spark, sf):
+    """Windows of bars that came out of order are those of the bars in order; what came too late is in none."""
+    return _sized(_disordered(spark, sf), [N])
+
+
+@query(f"WITH {bars_sql()} SELECT symbol, {ts('ts')}, close FROM bars WHERE {TOO_LATE}")
+def t8_too_late_bars(spark, sf):
+    """Bars that came after their release are given out for the bars table only."""
+    return _disordered(spark, sf).where("kind = 'late'").select("symbol", text_ts().alias("ts"), "close")

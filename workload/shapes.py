@@ -264,9 +264,8 @@ def g7_fit_accuracy(spark, sf):
 @query(f"""WITH {windows_sql()}, o AS (SELECT symbol, start_idx, regr_slope(high, pos) AS slope_high, regr_slope(low, pos) AS slope_low FROM wpts GROUP BY ALL)
 SELECT symbol, start_idx, {rs('slope_high', 'slope_low')} FROM o""")
 def g8_simple_slopes(spark, sf):
-    ix = indexed(spark, sf)
-    rows = win.gather(indexing.window_starts(ix, N), ix, ["high", "low"])
-    return geometry.simple_slopes(rows, ["symbol", "start_idx"]).select("symbol", "start_idx", *r("slope_high", "slope_low"))
+    """Slopes of all windows from prefix moments."""
+    return geometry.rolling_slopes(indexed(spark, sf), N, chunk=CHUNK).select("symbol", "start_idx", *r("slope_high", "slope_low"))
 
 
 # --- gates --------------------------------------------------------------------
@@ -303,9 +302,7 @@ def p16_decide_executed(spark, sf):
 
 
 def _negative_rows(spark, sf, rule):
-    ix = indexed(spark, sf)
-    rows = win.gather(indexing.window_starts(ix, N, 10), ix, ["high", "low", "close"])
-    return corpus.confirmed_negative(rows, N, rule).select("symbol", "start_idx", "negative", *r("slope_high", "rel_min"))
+    return corpus.confirmed_negative(indexed(spark, sf), N, 10, rule, CHUNK).select("symbol", "start_idx", "negative", *r("slope_high", "rel_min"))
 
 
 @query(f"WITH {negatives_sql()} SELECT symbol, start_idx, negative, {rs('slope_high', 'rel_min')} FROM neg")

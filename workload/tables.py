@@ -10,10 +10,11 @@ from tapeforge.operators.forward import forward_lookup
 from tapeforge.operators.gates import per_formation
 from tapeforge.operators.windows import gather
 from tapeforge.plans import corpus, jobs, serving
-from tapeforge.schemas import CORPUS, FEATURE_COLS, KEY_BARS, SCORES
+from tapeforge.schemas import CORPUS, FEATURE_COLS, KEY_BARS, KEY_SCORES, SCORES
 from tapeforge.session import scratch_path
 from tapeforge.sources import bars as bar_sources
 from tapeforge.sources import corpus as corpus_sources
+from tapeforge.sources import days
 from tapeforge.sources import tables as stored
 from workload.base import (FORMS, HORIZONS, N, SEED, THRESHOLD, _lit, bars, bars_sql, decided_sql, events,
                            events_sql, forward_sql, idx_sql, indexed, manifest, manifest_sql, query, r, rs,
@@ -361,6 +362,33 @@ def o1_newest_rows(spark, sf):
         "symbol", text_ts().alias("ts"), "pattern", *r("score"))
 
 
+def _by_day(spark, df, keys, name):
+    """A table kept by day, as a stream leaves it."""
+    path = scratch_path(spark, name)
+    days.merge_days(df, path, keys, 0)
+    return path
+
+
+@query(f"""WITH {SCORED} SELECT symbol, {ts('ts')}, pattern, {rs('score')} FROM (
+SELECT * FROM sc WHERE pattern = 'wedge' ORDER BY ts DESC, symbol LIMIT 200)""")
+def o1_newest_rows_by_day(spark, sf):
+    """The newest rows of one pattern from as few days as hold them."""
+    s = scores_table(spark, sf)
+    path = _by_day(spark, s, KEY_SCORES, "scores-by-day")
+    return days.newest_rows(spark, path, s.schema, 200, F.col("pattern") == "wedge").select(
+        "symbol", text_ts().alias("ts"), "pattern", *r("score"))
+
+
+@query(f"""WITH {SCORED} SELECT symbol, pattern, CAST("window" AS INT) AS "window", {ts('ts')}, {rs('score')}, signal FROM sc
+QUALIFY row_number() OVER (PARTITION BY symbol, pattern, "window" ORDER BY ts DESC) = 1""")
+def j5_latest_scores_by_day(spark, sf):
+    """The newest score of every known (symbol, pattern, window), days walked back only as far as one is missing."""
+    s = scores_table(spark, sf)
+    path = _by_day(spark, s, KEY_SCORES, "latest-by-day")
+    last = days.latest_by(spark, path, s.schema, s.select("symbol", "pattern", "window"))
+    return last.select("symbol", "pattern", "window", text_ts().alias("ts"), *r("score"), "signal")
+
+
 @query(f"WITH {bars_sql()} {BAR_ROWS} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")
 def o2_latest_bar(spark, sf):
     return bar_rows(serving.latest_bar(bars(spark, sf)))
