@@ -12,14 +12,20 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_PIECES = 500_000  # memory bound of a worker's tables, some 100 MB; they are emptied when full
+CACHE_WORDS, CACHE_PIECES = 400_000, 100_000  # entries of a worker's tables, some 100 MB, from which they are emptied
+SLICE, SLICE_CHARS = 256, 4_000_000  # texts and characters that are encoded together
 
 # White space other than the plain space and line feed, and what only Python counts as such.
 _RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RARE_BYTES = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 # A word of Latin letters and the marks after it: two cuts of the tokenizer, known without asking it.
-_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_SIMPLE = re.compile(f"({_LETTERS})([.,;:!?]*)")
+_PLAIN = f"^(?P<word>{_LETTERS})(?P<marks>[.,;:!?]*)$"
 
 
 def encoder(path: str, leading_space: bool) -> "Encoder":
@@ -36,11 +42,21 @@ def encoder(path: str, leading_space: bool) -> "Encoder":
     return loaded[path, leading_space]
 
 
-def pieces(text: str) -> list[str]:
-    """Cut at single spaces that stand between two other characters; other white space stays inside."""
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE.search(text):
-        return _LONE_SPACE.split(text)
-    return text.split(" ")
+def cuts_at_each_space(text: str) -> bool:
+    """Whether every space stands alone between two other characters, and there is no white space but it and line feeds."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+        return False
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _RARE.search(text) is None
+    return len(raw.translate(None, _RARE_BYTES)) == len(raw)
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin and are wide as said, end to end."""
+    upto = np.cumsum(width)
+    return values[np.repeat(begin - (upto - width), width) + np.arange(upto[-1] if len(upto) else 0)]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -82,38 +98,33 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str, spaced: bool) -> bytes:
-        """Ids of a word of Latin letters; words are kept as well, since each comes with several marks."""
-        key = word if self.leading_space else word.lower()
+        """Ids of a word of Latin letters, lower-cased if the vocabulary is; words are kept, since each comes with several marks."""
         known = self.spaced if spaced else self.bare
-        ids = known.get(key)
+        ids = known.get(word)
         if ids is None:
-            own = key if key.isascii() else key.translate(self.letters)
-            ids = known[key] = self._cut(self.letters[32] + own if spaced else own)
+            own = word if word.isascii() else word.translate(self.letters)
+            ids = known[word] = self._cut(self.letters[32] + own if spaced else own)
         return ids
 
+    def _mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self._cut(marks) if marks else b""
+        return self.marks[marks]
+
     def _plain(self, part: str, spaced: bool) -> bytes | None:
-        """A plain word with its marks; None for anything else."""
+        """Ids of a plain word with its marks; None for anything else."""
         if (m := _SIMPLE.fullmatch(part)) is None:
             return None
-        word, marks = m.groups()
-        if not marks:
-            return self._word(word, spaced)
-        if marks not in self.marks:
-            self.marks[marks] = self._cut(marks)
-        return self._word(word, spaced) + self.marks[marks]
+        return self._word(m[1] if self.leading_space else m[1].lower(), spaced) + self._mark(m[2])
 
     def _learn(self, cache: dict[str, bytes], missing: list[str], prefix: str) -> None:
-        """Encode pieces; those that aren't plain words in one call, kept apart by the special token."""
-        rest, spaced = [], bool(prefix)
+        """Encode pieces: plain words by themselves, the others many in one call, kept apart by the special token."""
+        spaced = bool(prefix)
         for p in missing:
-            ids = self._plain(p, spaced)
-            if ids is None and "\n" in p:
-                parts = [self._plain(part, spaced and not i) for i, part in enumerate(p.split("\n"))]
-                ids = None if None in parts else self.line_feed.join(parts)
-            if ids is None:
-                rest.append(p)
-            else:
-                cache[p] = ids
+            parts = [self._plain(part, spaced and not i) for i, part in enumerate(p.split("\n"))]
+            if None not in parts:
+                cache[p] = self.line_feed.join(parts)
+        rest = [p for p in missing if p not in cache]
         plain = [p for p in rest if "<|" not in p]
         for i in range(0, len(plain), 2000):
             some = plain[i:i + 2000]
@@ -130,22 +141,89 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        tables = {id(t): t for t in (self.inner, self.first, self.spaced, self.bare)}.values()
-        if sum(map(len, tables)) > CACHE_PIECES:
-            for t in tables:
-                t.clear()
-        return [self._encode(t) if t else b"" for t in texts]
-
-    def _encode(self, text: str) -> bytes:
-        cut, head = pieces(text), b""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):  # slices bounded by rows and, but for one long text alone, by characters
+            to, size = at, 0
+            while to < len(texts) and to - at < SLICE and (to == at or size < SLICE_CHARS):
+                size += len(texts[to] or "")
+                to += 1
+            out += self._encode(texts[at:to])
+            at = to
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """A slice at a time: its texts are cut and numbered by their distinct pieces, and those by their distinct words;
+        each word is looked up or encoded once, and the ids are gathered by these numbers."""
+        if sum(map(len, (self.spaced, self.bare))) > CACHE_WORDS:
+            self.spaced.clear()
+            self.bare.clear()
+        if sum(map(len, {id(t): t for t in (self.inner, self.first)}.values())) > CACHE_PIECES:
+            self.inner.clear()
+            self.first.clear()
+        even = [i for i, t in enumerate(texts) if t and cuts_at_each_space(t)]
+        out = [b"" if not t else None for t in texts]
+        if even:
+            strings = pa.array([texts[i] for i in even], pa.large_string())
+            if not self.leading_space:
+                strings = pc.replace_substring(strings, "\n", " ")  # white space is dropped, whichever it is
+            lists = pc.split_pattern(strings, " ")
+            numbered = lists.flatten().dictionary_encode()
+            number, bounds = numbered.indices.to_numpy(), lists.offsets.to_numpy()
+            used, heads = np.ones(len(numbered.dictionary), bool), [b""] * len(even)
+            if self.leading_space:  # a text's first piece has no space before it
+                some = numbered.dictionary.take(pa.array(number[bounds[:-1]])).to_numpy(zero_copy_only=False).tolist()
+                self._known(self.first, set(some), "")
+                heads = [self.first[p] for p in some]
+                rest = np.ones(len(number), bool)
+                rest[bounds[:-1]] = False
+                used[:] = False
+                used[number[rest]] = True
+            flat, width = self._pieces(numbered.dictionary, used)
+            n = width[number]
+            if self.leading_space:
+                n[bounds[:-1]] = 0
+            gathered = _gather(flat, (np.cumsum(width) - width)[number], n)
+            ends = np.r_[0, np.cumsum(n)][bounds].tolist()
+            for k, i in enumerate(even):
+                out[i] = heads[k] + gathered[ends[k]:ends[k + 1]].tobytes()
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                out[i] = self._uneven(t)
+        return out
+
+    def _pieces(self, distinct: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces end to end, how many each has); pieces that aren't ``used`` have none."""
+        found = pc.extract_regex(distinct, _PLAIN)
+        plain = found.is_valid().to_numpy(zero_copy_only=False) & used
+        word, marks = (pc.struct_field(found, k).filter(pa.array(plain)) for k in ("word", "marks"))
+        word, marks = (word if self.leading_space else pc.utf8_lower(word)).dictionary_encode(), marks.dictionary_encode()
+        other = distinct.filter(pa.array(used & ~plain)).to_numpy(zero_copy_only=False).tolist()
+        prefix = " " if self.leading_space else ""
+        self._known(self.inner, other, prefix)
+        pool = [self._word(w, self.leading_space) for w in word.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        at_marks = len(pool)
+        pool += [self._mark(m) for m in marks.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        at_other = len(pool)
+        pool += [self.inner[p] for p in other]
+        pool.append(b"")
+        size = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+        first, second = np.full(len(distinct), len(pool) - 1), np.full(len(distinct), len(pool) - 1)
+        first[plain], second[plain] = word.indices.to_numpy(), marks.indices.to_numpy() + at_marks
+        first[used & ~plain] = at_other + np.arange(len(other))
+        parts = np.stack([first, second], axis=1).reshape(-1)
+        flat = _gather(np.frombuffer(b"".join(pool), "<u4"), (np.cumsum(size) - size)[parts], size[parts])
+        return flat, size[first] + size[second]
+
+    def _known(self, cache: dict[str, bytes], wanted: list[str] | set[str], prefix: str) -> None:
+        self._learn(cache, [p for p in wanted if p not in cache], prefix)
+
+    def _uneven(self, text: str) -> bytes:
+        """A text with white space other than single spaces and line feeds between words."""
+        cut, head = _LONE_SPACE.split(text), b""
         if self.leading_space:
-            first, known = cut.pop(0), self.first
-            if first not in known:
-                self._learn(known, [first], "")
-            head = known[first]
-        found = list(map(self.inner.get, cut))
-        if None in found:
-            self._learn(self.inner, list({p for p, f in zip(cut, found) if f is None}),
-                        " " if self.leading_space else "")
-            found = map(self.inner.__getitem__, cut)
-        return head + b"".join(found)
+            first = cut.pop(0)
+            self._known(self.first, {first}, "")
+            head = self.first[first]
+        self._known(self.inner, set(cut), " " if self.leading_space else "")
+        return head + b"".join(map(self.inner.__getitem__, cut))
