@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -26,7 +29,8 @@ from tapeforge.session import cut_lineage
 
 CAPACITY = 4096
 SHARD = 4000                     # pieces that are evolved together, on average
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 3
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
+FEW = 8                          # items of a bin up to which pairs are swapped
 LOOSE = 0.97                     # bins filled less are dissolved and their pieces packed again
 Bins = list[list[int]]
 
@@ -80,14 +84,91 @@ def best_fit(bins: Bins, items: list[int], size: list[int], capacity: int) -> Bi
     return bins
 
 
+def lower_bound(size: list[int], capacity: int) -> int:
+    """Fewer bins can't hold the items (Martello and Toth): for each small size k, items that exclude each other by
+    needing over half a bin or all but k of one, and the room that those leave."""
+    s = np.sort(np.array(size, np.int64))
+    total = np.r_[0, np.cumsum(s)]
+    half = np.searchsorted(s, capacity / 2, "right")  # from here on larger than half a bin
+    k = np.unique(np.r_[0, s[:half]])
+    alone = np.searchsorted(s, capacity - k, "right")  # from here on no item of size k fits beside them
+    alone = np.maximum(alone, half)
+    small = np.searchsorted(s, k, "left")
+    middle = total[alone] - total[half]
+    spare = (alone - half) * capacity - middle
+    more = np.maximum(0, -(-(total[half] - total[np.minimum(small, half)] - spare) // capacity))
+    return int(max((len(s) - alone + (alone - half) + more).max(), -(-total[-1] // capacity))) if len(s) else 0
+
+
 def fitness(bins: Bins, size: list[int], capacity: int) -> tuple[int, float]:
     """Smaller is better: the number of bins, then how unevenly they are filled (full ones first)."""
     return len(bins), -sum((sum(map(size.__getitem__, b)) / capacity) ** 2 for b in bins)
 
 
+def improve(bins: Bins, loose: list[int], size: list[int], capacity: int) -> list[int]:
+    """Swap one or two items of a bin with room for one or two loose ones that fill it better; the loose items that are left.
+
+    A loose item as large as a pair that it replaces leaves smaller items behind, which are easier to place. Pairs are
+    taken out of bins of a few items only, where they matter.
+    """
+    by_size: dict[int, list[int]] = {}
+    for i in loose:
+        by_size.setdefault(size[i], []).append(i)
+    sizes = sorted(by_size)
+
+    def give(i: int) -> None:
+        if size[i] not in by_size:
+            insort(sizes, size[i])
+        by_size.setdefault(size[i], []).append(i)
+
+    def take(s: int) -> int:
+        i = by_size[s].pop()
+        if not by_size[s]:
+            del by_size[s]
+            del sizes[bisect_left(sizes, s)]
+        return i
+
+    for held in bins:
+        room = capacity - sum(map(size.__getitem__, held))
+        if not room:
+            continue
+        if not sizes:
+            break
+        best: tuple | None = None  # (gain, out, in)
+        for out in [(i,) for i in held] + (list(combinations(held, 2)) if len(held) <= FEW else []):
+            gone = sum(map(size.__getitem__, out))
+            most = gone + room
+            k = bisect_right(sizes, most) - 1
+            if k >= 0 and sizes[k] > gone and (best is None or sizes[k] - gone > best[0]):
+                best = (sizes[k] - gone, out, (sizes[k],))
+            lo, hi = 0, len(sizes) - 1  # two loose items, from both ends
+            while len(held) <= FEW and lo <= hi and (best is None or best[0] < room):
+                pair = sizes[lo] + sizes[hi]
+                if pair > most:
+                    hi -= 1
+                    continue
+                if pair > gone and (lo < hi or len(by_size[sizes[lo]]) > 1) and (best is None or pair - gone > best[0]):
+                    best = (pair - gone, out, (sizes[lo], sizes[hi]))
+                lo += 1
+            if best and best[0] == room:
+                break
+        if best:
+            _, out, sizes_in = best
+            held[:] = [i for i in held if i not in out] + [take(s) for s in sizes_in]
+            for i in out:
+                give(i)
+    return [i for s in reversed(sizes) for i in sorted(by_size[s])]
+
+
+def _placed(bins: Bins, loose: list[int], size: list[int], capacity: int) -> Bins:
+    loose = improve(bins, loose, size, capacity)
+    return best_fit(bins, sorted(loose, key=lambda i: (-size[i], i)), size, capacity)
+
+
 def crossover(into: Bins, source: Bins, size: list[int], capacity: int, rnd: random.Random) -> Bins:
-    """Whole bins of ``source``, the better filled the likelier, go into a copy of ``into``."""
-    fill = sorted(source, key=lambda b: -sum(map(size.__getitem__, b)))
+    """Whole bins of ``source``, the better filled the likelier, go into a copy of ``into``; the bins that now hold a
+    document twice are taken out, and their other documents are placed anew."""
+    fill = sorted(source, key=lambda b: (-sum(map(size.__getitem__, b)), len(b)))
     chosen = [b for b in fill[:max(1, len(fill) // 2)] if rnd.random() < 0.5]
     taken = {i for b in chosen for i in b}
     kept, displaced = [list(b) for b in chosen], []
@@ -96,35 +177,41 @@ def crossover(into: Bins, source: Bins, size: list[int], capacity: int, rnd: ran
             kept.append(list(b))
         else:
             displaced += [i for i in b if i not in taken]
-    displaced.sort(key=lambda i: (-size[i], i))
-    return best_fit(kept, displaced, size, capacity)
+    return _placed(kept, displaced, size, capacity)
 
 
 def mutate(bins: Bins, size: list[int], capacity: int, rnd: random.Random) -> Bins:
-    """Dissolve the emptiest bins and a few others, and best-fit their items."""
+    """Dissolve the emptiest bins and a few others, and place their items anew."""
     order = sorted(range(len(bins)), key=lambda b: sum(map(size.__getitem__, bins[b])))
     gone = set(order[:max(1, len(bins) // 50)]) | {b for b in order if rnd.random() < 0.02}
     kept = [list(b) for k, b in enumerate(bins) if k not in gone]
-    loose = sorted((i for k in gone for i in bins[k]), key=lambda i: (-size[i], i))
-    return best_fit(kept, loose, size, capacity)
+    return _placed(kept, [i for k in sorted(gone) for i in bins[k]], size, capacity)
+
 
+def evolve(population: list[Bins], size: list[int], capacity: int, seed: int, generations: int = GENERATIONS) -> list[Bins]:
+    """An epoch of an island, best individual first. It ends early only where the best can't be bettered.
 
-def evolve(population: list[Bins], size: list[int], capacity: int, seed: int) -> list[Bins]:
-    """An epoch of an island, best individual first."""
+    An island starts from documents in random orders placed by best fit, and one by falling size."""
     rnd = random.Random(seed)
     order = sorted(range(len(size)), key=lambda i: (-size[i], i))
-    bound = -(-sum(size) // capacity)
+    bound = lower_bound(size, capacity)
     while len(population) < POPULATION:
-        noise = 0.0 if not population else 0.15  # the first is best fit by falling size
+        noise = 0.0 if not population else 0.3  # the first is best fit by falling size
         some = sorted(order, key=lambda i: -size[i] * (1 + noise * rnd.random())) if noise else order
         population.append(best_fit([], some, size, capacity))
+        if len(population[0]) <= bound:
+            break
     ranked = sorted(population, key=lambda p: fitness(p, size, capacity))
-    for _ in range(GENERATIONS):
+    for _ in range(generations):
         if len(ranked[0]) <= bound:
             break  # as few as there can be
-        a, b = rnd.sample(range(len(ranked)), 2)
-        child = mutate(crossover(ranked[a], ranked[b], size, capacity, rnd), size, capacity, rnd)
-        ranked = sorted([*ranked, child], key=lambda p: fitness(p, size, capacity))[:POPULATION]
+        a, b = sorted(rnd.sample(range(len(ranked)), 2))
+        children = [crossover(ranked[x], ranked[y], size, capacity, rnd) for x, y in ((a, b), (b, a))]
+        children.append(mutate(ranked[0], size, capacity, rnd))
+        unlike = {fitness(p, size, capacity): p for p in [*ranked, *children]}  # equally good ones crowd an island
+        ranked = [unlike[f] for f in sorted(unlike)][:POPULATION]
+        while len(ranked) < 2:
+            ranked.append(mutate(ranked[0], size, capacity, rnd))
     return ranked
 
 
@@ -202,12 +289,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
     ``parts`` has the columns of ``pieces``; lengths are at most ``capacity``. Ties and
     repeated rows are interchangeable. An empty table gives an empty result.
     """
-    left, out, level = cut_lineage(parts), None, 0
+    # Rows are numbered as they are written, so that repeated rows are dealt like any others.
+    left, out, level = cut_lineage(parts.withColumn("_row", F.monotonically_increasing_id())), None, 0
     n = left.count()
     while n or out is None:
         shards = max(1, -(-n // shard))
         # the number in the hash deals the pieces anew at every level
-        dealt = left.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece", "ids_crc32"), F.lit(shards)))
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), "_row"), F.lit(shards)))
         full = F.col("length") == capacity
         packed = cut_lineage(_pack_shards(dealt.where(~full), shards, capacity))
         good = (packed.groupBy("shard", "bin").agg(F.sum("length").alias("_fill"))
@@ -225,6 +313,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
         if again:
             left = cut_lineage(loose.drop("shard", "bin"))
         n, level = again, level + 1
-    before = (Window.partitionBy("sequence_id").orderBy("doc_id", "piece", "ids_crc32")
+    before = (Window.partitionBy("sequence_id").orderBy("doc_id", "piece", "ids_crc32", "_row")
               .rowsBetween(Window.unboundedPreceding, -1))  # a sequence has at most `capacity` rows
-    return out.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return out.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("_row")

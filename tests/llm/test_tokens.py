@@ -77,6 +77,54 @@ def test_packing_places_every_piece(docs_of):
     assert packing.pack(packing.pieces(docs_of([]), public_tokenizers.path("word_bpe_49k.json"), 1)).count() == 0
 
 
+def exact_triples(n, seed):
+    """Three items a bin that fill it to the last place: best fit by falling size wastes several bins."""
+    rnd, size = random.Random(seed), []
+    for _ in range(n):
+        a = rnd.randint(380, 490)
+        b = rnd.randint(250, (1000 - a) // 2)
+        size += [a, b, 1000 - a - b]
+    rnd.shuffle(size)
+    return size
+
+
+@pytest.mark.parametrize("n, seed", [(20, 0), (20, 1), (40, 2)])
+def test_islands_need_fewer_bins_than_best_fit(n, seed):
+    size = exact_triples(n, seed)
+    falling = len(packing.best_fit([], sorted(range(len(size)), key=lambda i: -size[i]), size, 1000))
+    islands = [packing.evolve([], size, 1000, s) for s in range(packing.ISLANDS)]
+    for epoch in range(1, packing.EPOCHS):
+        elite = [i[0] for i in islands]
+        islands = [packing.evolve([*i[:packing.POPULATION - 1], g], size, 1000, 10 * epoch + s) for s, (i, g) in enumerate(zip(islands, elite[::-1]))]
+    best = min(len(i[0]) for i in islands)
+    assert n <= best < falling and packing.lower_bound(size, 1000) == n
+
+
+def test_islands_decide_the_table(spark):
+    """The same through the job: triples as pieces need fewer sequences than best fit by falling size."""
+    size = exact_triples(40, 3)
+    parts = spark.createDataFrame([(i, 0, 0, s, 7) for i, s in enumerate(size)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(parts, capacity=1000).select("sequence_id").distinct().count()
+    assert 40 <= got < len(packing.best_fit([], sorted(range(len(size)), key=lambda i: -size[i]), size, 1000))
+
+
+def test_lower_bound_is_never_beaten():
+    rnd = random.Random(5)
+    for _ in range(200):
+        cap = rnd.randint(5, 30)
+        size = [rnd.randint(1, cap) for _ in range(rnd.randint(0, 9))]
+        fewest = min((len(packing.best_fit([], rnd.sample(range(len(size)), len(size)), size, cap)) for _ in range(60)), default=0)
+        assert -(-sum(size) // cap) <= packing.lower_bound(size, cap) <= fewest
+    assert packing.lower_bound([51] * 7, 100) == 7
+
+
+def test_repeated_rows_are_spread_over_shards(spark):
+    parts = spark.range(600).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "30L AS length", "5L AS ids_crc32")
+    got = packing.pack(parts, capacity=100, shard=50)
+    assert got.count() == 600 and got.groupBy("sequence_id").count().agg({"count": "max"}).first()[0] == 3
+    assert got.selectExpr("(sequence_id >> 20) & 1048575 AS shard").distinct().count() > 6
+
+
 def test_genetic_steps_keep_every_item():
     rnd = random.Random(3)
     size = [rnd.randint(1, 60) for _ in range(400)]
