@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
-from tapeforge.operators.windows import moving_std, over_chunks, sliding_extremes, touched_chunks
+from tapeforge.operators.windows import chunk_for, moving_std, over_chunks, sliding_extremes, touched_chunks
 
 NO_VOLATILITY = 1e-9
 
@@ -170,6 +170,17 @@ def trailing_volatility(indexed: DataFrame, lookback: int, chunk: int | None = N
     return over_chunks(indexed, steps, back=lookback, chunk=chunk)
 
 
+def volatility_at(events: DataFrame, indexed: DataFrame, lookback: int, chunk: int | None = None) -> DataFrame:
+    """(symbol, end_idx, sigma): ``trailing_volatility`` at the bars of sparse events; only chunks that a look-back touches are read."""
+    chunk = chunk or chunk_for(lookback)
+    ends = events.select("symbol", "end_idx").distinct()
+    reach = ends.withColumn("_from", F.greatest(F.col("end_idx") - lookback - 1, F.lit(0).cast("long")))
+    near = indexed.select("symbol", "bar_idx", "close", F.expr(f"bar_idx div {chunk}").alias("chunk"))
+    near = near.join(touched_chunks(reach, chunk, "_from", "end_idx"), ["symbol", "chunk"], "left_semi").drop("chunk")
+    sigma = trailing_volatility(near, lookback, chunk).select("symbol", F.col("bar_idx").alias("end_idx"), "sigma")
+    return ends.join(sigma, ["symbol", "end_idx"])
+
+
 def strict_volatility(indexed: DataFrame, lookback: int, chunk: int | None = None) -> DataFrame:
     """``sigma_strict``: sample deviation of fractional returns, null until ``lookback`` returns exist."""
 

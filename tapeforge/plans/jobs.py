@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapeforge.operators.forward import (NO_VOLATILITY, forward_lookup, forward_returns, strict_volatility,
-                                         trailing_volatility)
+                                         trailing_volatility, volatility_at)
 from tapeforge.operators.gates import categorise, decide, direction_split, per_formation, signal_stats
 from tapeforge.operators.geometry import envelope_windows, with_geometry
 from tapeforge.operators.indexing import session_gate, with_bar_index
@@ -72,24 +72,41 @@ def filtered_events(events: DataFrame, indexed: DataFrame, length: int, fit_bars
     return categorise(placed.join(measured, ["symbol", "start_idx", "end_idx"]), **limits)
 
 
-def grouped_outcomes(groups: DataFrame, indexed: DataFrame, horizons: list[int], lookback: int) -> DataFrame:
-    """Long (group, horizon, ret, z) of (symbol, end_idx, group) rows."""
-    sig = trailing_volatility(indexed, lookback).select("symbol", F.col("bar_idx").alias("end_idx"), "sigma")
-    long = forward_lookup(groups, indexed, horizons).join(sig, ["symbol", "end_idx"])
+def _with_z(long: DataFrame) -> DataFrame:
     z = F.try_divide("ret", F.col("sigma") * F.sqrt(F.col("horizon").cast("double")))
     return long.withColumn("z", F.when(F.col("sigma") > NO_VOLATILITY, z))
 
 
+def grouped_outcomes(groups: DataFrame, indexed: DataFrame, horizons: list[int], lookback: int) -> DataFrame:
+    """Long (group, horizon, ret, z) of sparse (symbol, end_idx, group) rows; volatility is computed near them only."""
+    long = forward_lookup(groups, indexed, horizons)
+    return _with_z(long.join(volatility_at(groups, indexed, lookback), ["symbol", "end_idx"]))
+
+
+def every_outcome(indexed: DataFrame, length: int, horizons: list[int], lookback: int, group: str) -> DataFrame:
+    """``grouped_outcomes`` of every eligible bar, dense: looks ahead and volatility inside chunks, no join by position."""
+    d = forward_returns(trailing_volatility(indexed, lookback), horizons)
+    d = d.where((F.col("bar_idx") >= length) & (F.col("bar_idx") < F.col("n_bars") - max(horizons) - 1))
+    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"ret_{h}").alias("ret")) for h in horizons])
+    return _with_z(d.select("symbol", F.col("bar_idx").alias("end_idx"), F.lit(group).alias("group"), F.col("close").alias("entry_price"),
+                            "sigma", F.explode(rows).alias("_o")).select("*", "_o.*").drop("_o"))
+
+
 def filter_study(events: DataFrame, indexed: DataFrame, length: int, fit_bars: int | None, horizons: list[int],
                  lookback: int, seed: int = 0, chunk: int | None = None, worst: int = 12, review: int = 8,
                  baseline_size: Column | int | None = None) -> dict[str, DataFrame]:
     """Which events survive the quality filter and what followed, against every eligible bar or random ones."""
     indexed = cut_lineage(indexed)  # every part below reads a few of its columns
     ev = cut_lineage(filtered_events(events, indexed, length, fit_bars, chunk))
-    base = random_baseline(indexed, length, max(horizons), seed, baseline_size).withColumn("group", F.lit("RANDOM"))
     tagged = ev.select("symbol", "end_idx", F.col("category").alias("group"))
     split = direction_split(ev).select("symbol", "end_idx", F.concat(F.lit("CLEAN "), "direction").alias("group"))
-    out = cut_lineage(grouped_outcomes(tagged.unionByName(split).unionByName(base), indexed, horizons, lookback))
+    if baseline_size is None:
+        base = every_outcome(indexed, length, horizons, lookback, "RANDOM")
+    else:
+        sample = cut_lineage(random_baseline(indexed, length, max(horizons), seed, baseline_size))
+        base = grouped_outcomes(sample.withColumn("group", F.lit("RANDOM")), indexed, horizons, lookback)
+    found = grouped_outcomes(cut_lineage(tagged.unionByName(split)), indexed, horizons, lookback)
+    out = cut_lineage(found.unionByName(base.select(*found.columns)))
     focus = horizons[len(horizons) // 2]
     # The returns of the events are in the long table already.
     moved = out.where("group = 'CLEAN'").groupBy("symbol", "end_idx").agg(
@@ -135,25 +152,27 @@ def slope_returns(events: DataFrame, indexed: DataFrame, horizons: list[int], le
             "histograms": studies.self_scaled_histograms(long, "random", 54)}
 
 
-def abs_outcomes(indexed: DataFrame, horizons: list[int], vol_window: int) -> DataFrame:
-    """Long (symbol, bar_idx, horizon, abs_ret, abs_z) for every bar with a forward price."""
-    d = forward_returns(strict_volatility(indexed, vol_window), horizons)
+def abs_outcomes(wide: DataFrame, horizons: list[int], keep: list[str] | None = None) -> DataFrame:
+    """Long (symbol, bar_idx, keep, horizon, abs_ret, abs_z) of bars with returns and ``sigma_strict``, where there is a forward price."""
     rows = F.array(*[F.struct(F.lit(h).alias("horizon"), F.abs(f"ret_{h}").alias("abs_ret"),
                               F.try_divide(F.abs(f"ret_{h}"), F.col("sigma_strict") * (h ** 0.5) * 100).alias("abs_z"))
                      for h in horizons])
-    return d.select("symbol", "bar_idx", F.explode(rows).alias("_o")).select(
-        "symbol", "bar_idx", "_o.*").where("abs_ret is not null")
+    keys = ["symbol", "bar_idx", *(keep or [])]
+    return wide.select(*keys, F.explode(rows).alias("_o")).select(*keys, "_o.*").where("abs_ret is not null")
 
 
 def volatility_control(events: DataFrame, indexed: DataFrame, horizons: list[int], vol_window: int = 390,
                        stride: int = 10) -> dict[str, DataFrame]:
-    """Dud rates and slope quintiles after dividing moves by what volatility implies."""
+    """Dud rates and slope quintiles after dividing moves by what volatility implies.
+
+    The frames run over the bars once; what is wanted of them is picked before it is unpivoted.
+    """
     events = cut_lineage(events.select("symbol", "end_idx", "mid_travel"))
-    indexed = cut_lineage(indexed)
-    every = abs_outcomes(indexed, horizons, vol_window)
-    base = cut_lineage(strided_baseline(every, vol_window, stride))
-    hits = cut_lineage(every.join(
-        events.select("symbol", F.col("end_idx").alias("bar_idx"), "mid_travel"), ["symbol", "bar_idx"]))
+    wide = forward_returns(strict_volatility(indexed, vol_window), horizons)
+    wide = cut_lineage(wide.select("symbol", "bar_idx", "sigma_strict", *[f"ret_{h}" for h in horizons]))
+    base = cut_lineage(abs_outcomes(strided_baseline(wide, vol_window, stride), horizons))
+    at = wide.join(events.select("symbol", F.col("end_idx").alias("bar_idx"), "mid_travel"), ["symbol", "bar_idx"])
+    hits = cut_lineage(abs_outcomes(at, horizons, ["mid_travel"]))
     return {"duds": studies.dud_rates(hits, base), "quintiles": studies.quintile_means(hits, events),
             "correlation": hits.where("abs_z is not null").groupBy("horizon").agg(
                 F.corr("mid_travel", "abs_z").alias("r_travel_z"))}
