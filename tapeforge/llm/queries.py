@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeforge.llm import (conversations, decontaminate, line_dedup, online_packing, packing, pii, quality, simhash,
-                           spelling, token_files, toxicity, url_filter, warc)
+from tapeforge.llm import (conversations, decontaminate, line_dedup, online_packing, oracles, packing, pii, quality,
+                           simhash, spelling, token_files, toxicity, url_filter, warc)
 from tapeforge.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,7 +105,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query()
+@query(oracles.OP11)
 def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Faults and cheapest repair of every conversation, after damage."""
     rows = table(spark, sf, "conversations")
@@ -122,3 +122,31 @@ def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
 def op13_online_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every piece of every document with its place."""
     return online_packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+# --- the columns of the queries above that SQL can state, for comparison ---------------------
+
+@query(oracles.BASE_PII)
+def base_pii_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return op1_pii(spark, sf).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+@query(oracles.BASE_URL)
+def base_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return op2_url_filter(spark, sf).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+@query(oracles.BASE_QUALITY)
+def base_quality_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return op5_quality_rules(spark, sf).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+@query(oracles.BASE_WARC)
+def base_warc_records(spark: SparkSession, sf: str) -> DataFrame:
+    return op8_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("double"))
+
+
+@query(oracles.OP12)
+def base_spelling_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """All of op12, its one column of whole numbers with nulls as a double, which both engines hand over alike."""
+    return op12_spelling_variants(spark, sf).withColumn("form_n", F.col("form_n").cast("double"))
