@@ -20,6 +20,14 @@ def schema_of(columns: str) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES[t]()) for n, t in (c.split() for c in columns.split(","))])
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it (Spark's names ignore case)."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, rows):

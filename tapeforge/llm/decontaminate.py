@@ -6,19 +6,21 @@ words is marked, then the next longest, down to the seed length. The share of th
 item's words that lie in tiles is its coverage, whatever the order of the passages.
 
 Items are handled in blocks of a bounded number of words. A block is collected and
-broadcast, the documents pass by it once, and no document is ever shuffled.
+broadcast as plain arrays, and the documents pass by it once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tapeforge.llm.common import filter_rows, map_rows
+from tapeforge.llm.common import map_rows, unused
+from tapeforge.session import cut_lineage
 
 SEED_WORDS = 5
 COVERAGE = 0.5
@@ -109,44 +111,61 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED_WORDS) -> list[tu
 
 
 class Block:
-    """Some test items, with the seeds that lead to them. Items shorter than a seed have none and never match."""
-
-    def __init__(self, rows: list[tuple[int | None, str | None]], least: int):
-        self.least = least
-        self.names = [r[0] for r in rows]
-        self.vocabulary: dict[bytes, int] = {}
-        self.items = []
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, text) in enumerate(rows):
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int64)
-            self.items.append(ids)
-            for q, h in enumerate(Rolling(ids).windows(least).tolist()):
-                seeds[h].append((k, q))
-        self.seeds = dict(seeds)
-        self.hashes = np.array(sorted(seeds), np.uint64)
+    """Some test items, with the seeds that lead to them. An item under ``least`` words is one seed of its own width.
+
+    ``raw`` is what travels: the vocabulary as one string and sorted arrays, nothing that needs this package.
+    """
+
+    def __init__(self, raw: dict):
+        self.least, self.names = raw["least"], raw["names"]
+        self.vocabulary = {w: k for k, w in enumerate(raw["words"].split(b" "), 1)} if raw["words"] else {}
+        self.items = np.split(raw["ids"], raw["ends"][:-1])
+        self.seeds = raw["seeds"]  # width: (hashes in order, item and position of each)
+        self.shortest = min(self.seeds, default=0)
+
+    @staticmethod
+    def pack(rows: list[tuple[int | None, str | None]], least: int) -> dict:
+        vocabulary: dict[bytes, int] = {}
+        items = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)], np.int64) for _, text in rows]
+        found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        for k, ids in enumerate(items):
+            if len(ids):
+                width = min(least, len(ids))
+                found[width].append((Rolling(ids).windows(width), k))
+        seeds = {}
+        for width, parts in found.items():
+            hashes = np.concatenate([h for h, _ in parts])
+            item = np.repeat([k for _, k in parts], [len(h) for h, _ in parts]).astype(np.int32)
+            at = np.concatenate([np.arange(len(h), dtype=np.int32) for h, _ in parts])
+            order = np.lexsort((at, item, hashes))
+            seeds[width] = (hashes[order], item[order], at[order])
+        return {"least": least, "names": [r[0] for r in rows], "words": b" ".join(vocabulary), "seeds": seeds,
+                "ids": np.concatenate([np.empty(0, np.int64), *items]), "ends": np.cumsum([len(i) for i in items])}
 
     def match(self, text: str | None, coverage: float) -> list[tuple[int, float, list[tuple[int, int, int]]]]:
         """(item, coverage, tiles) of the items that the text covers by the given share at least."""
         w = words(text)
-        if len(w) < self.least or not len(self.hashes):
+        if not self.shortest or len(w) < self.shortest:
             return []
         ids = np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.int64, len(w))
-        known = _free(ids == 0, self.least)
-        at = np.flatnonzero(known)
-        if not len(at):
-            return []
-        hashes = Rolling(ids).windows(self.least)[at]
-        hits = _among(hashes, self.hashes)
+        rolling, unknown = None, ids == 0
         reach: dict[int, set[int]] = defaultdict(set)
-        for h in np.unique(hashes[hits]).tolist():
-            for k, q in self.seeds[h]:
-                reach[k].update(range(q, q + self.least))
+        for width, (hashes, item, position) in self.seeds.items():
+            at = np.flatnonzero(_free(unknown, width)) if len(ids) >= width else ()
+            if not len(at):
+                continue
+            rolling = rolling or Rolling(ids)
+            mine = np.unique(rolling.windows(width)[at])
+            begin, end = (np.searchsorted(hashes, mine, side) for side in ("left", "right"))
+            for x, y in zip(begin[begin < end].tolist(), end[begin < end].tolist()):
+                for k, q in zip(item[x:y].tolist(), position[x:y].tolist()):
+                    reach[k].update(range(q, q + width))
         out = []
         for k in sorted(reach):
             item = self.items[k]
             if len(reach[k]) < coverage * len(item):
                 continue  # tiles lie within the seeds, so they can't cover more
-            found = tiles(ids, item, self.least)
+            found = tiles(ids, item, min(self.least, len(item)))
             share = sum(t[2] for t in found) / len(item)
             if share >= coverage:
                 out.append((k, share, found))
@@ -168,39 +187,50 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
         yield out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = SEED_WORDS) -> DataFrame:
-    """(doc_id, item_id, coverage, tiles) for each test item that a document covers by ``coverage`` at least.
-
-    ``tiles`` lists doc word:item word:length in the order of marking. Null and empty
-    texts match nothing; items with fewer than ``least`` words have no seed and match
-    nothing; repeated documents or items give a row each; other columns are ignored.
-    """
-    schema = "doc_id long, item_id long, coverage double, tiles string"
+def _by_block(docs: DataFrame, benchmark: DataFrame, schema: str, least: int, rows_of) -> DataFrame:
+    """Rows of ``schema`` for (doc_id, text) and each block of items in turn. A block's rows are written before the next is
+    broadcast, so one block is held at a time, however large the benchmark."""
     out = None
     for rows in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Block(rows, least))
+        shared = docs.sparkSession.sparkContext.broadcast(Block.pack(rows, least))
+        held: list[Block] = []
 
-        def run(b, shared=shared):
-            block, found = shared.value, [[], [], [], []]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, share, marked in block.match(t, coverage):
-                    for c, v in zip(found, (i, block.names[k], share, ",".join("%d:%d:%d" % m for m in marked))):
-                        c.append(v)
-            return found
+        def run(b, shared=shared, held=held):
+            if not held:
+                held.append(Block(shared.value))
+            found = [rows_of(held[0], *r) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            return list(zip(*(r for some in found for r in some))) or [[] for _ in schema.split(",")]
 
-        part = map_rows(docs.select("doc_id", "text"), schema, run)
+        part = cut_lineage(map_rows(docs.select("doc_id", "text"), schema, run))
+        shared.destroy()
         out = part if out is None else out.unionAll(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = SEED_WORDS) -> DataFrame:
+    """(doc_id, item_id, coverage, tiles) for each test item that a document covers by ``coverage`` at least.
+
+    ``tiles`` lists doc word:item word:length in the order of marking. Null and empty
+    texts match nothing; an item with fewer than ``least`` words matches where all of it stands
+    word for word, one without words nowhere; repeated documents or items give a row each; other columns are ignored.
+    """
+    def rows_of(block, doc_id, text):
+        return [(doc_id, block.names[k], share, ",".join("%d:%d:%d" % m for m in marked))
+                for k, share, marked in block.match(text, coverage)]
+
+    return _by_block(docs, benchmark, "doc_id long, item_id long, coverage double, tiles string", least, rows_of)
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
                         least: int = SEED_WORDS) -> DataFrame:
-    """The rows of ``docs`` that cover no test item by ``coverage``, with all their columns."""
-    for rows in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Block(rows, least))
+    """The rows of ``docs`` that cover no test item by ``coverage``, with all their columns.
 
-        def keep(b, shared=shared):
-            return [not shared.value.match(t, coverage) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+    Whether a row goes depends on its text alone, so the digests of texts that match are written, and the rows meet
+    them in an anti-join; the digests are broadcast only if the written table is small.
+    """
+    def rows_of(block, _, text):
+        return [(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest(),)] if block.match(text, coverage) else []
 
-        docs = filter_rows(docs, keep)
-    return docs
+    name = unused("_digest", docs.columns)
+    gone = cut_lineage(_by_block(docs, benchmark, "digest string", least, rows_of).distinct().withColumnRenamed("digest", name))
+    return docs.withColumn(name, F.md5(F.encode("text", "UTF-8"))).join(gone, name, "left_anti").select(*docs.columns)
