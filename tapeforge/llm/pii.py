@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapeforge.llm.common import unused
 from tapeforge.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -41,7 +42,8 @@ STRICT = {
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++"
              r"(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\))[0-9]{1,3}+){3}(?![0-9])",
+    "ip": r"(?<![0-9])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\))[0-9]{1,3}+){3}(?![0-9])"
+          r"|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])",
 }
 HINT = r"[0-9@]| dot |[\(\[](?:at|dot)[\)\]]"
@@ -50,7 +52,7 @@ HINT = r"[0-9@]| dot |[\(\[](?:at|dot)[\)\]]"
 SUFFIXES = "com org net edu gov info biz io de fr es uk it nl eu us ca au jp cn in br ch at be pl se no"
 CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
-RESERVED = r"^(?:0|10|127|2[2-5][4-9])\."
+RESERVED = r"^(?:0\.|10\.|127\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.|22[4-9]\.|2[345][0-9]\.)"
 CUES = {
     "email": r"(?i)\b(?:mail|email|e-mail|contact|write to|from|cc)\b",
     "ip": r"(?i)\b(?:ip|address|host|server|login|client)\b",
@@ -117,11 +119,12 @@ def _tests(kind: str, s: Column) -> tuple[Column, Column, Column]:
     """(fits the contract, passes the structural test, is known to the gazetteer) of a candidate."""
     if kind == "email":
         last = F.lower(F.regexp_extract(s, r"([A-Za-z0-9-]+)$", 1))
-        known = last.isin(*SUFFIXES.split())
-        return F.lit(True), known, known
+        labels = ~s.rlike(r"\.\.|@[.-]|-\.|\.-") & last.rlike("[A-Za-z]")
+        return F.lit(True), labels, last.isin(*SUFFIXES.split())
     if kind == "ip":
-        fits = _octets_fit(s)
-        return fits, fits, ~s.rlike(RESERVED)
+        plain = F.regexp_replace(s, r"[\[\]()]", "")
+        fits = F.when(s.contains(":"), F.lit(True)).otherwise(_octets_fit(s))
+        return fits, fits, ~plain.rlike(RESERVED)
     digits = _digits(s)
     if kind == "card":
         luhn = F.call_function("luhn_check", digits)
@@ -145,7 +148,9 @@ def _kind(text: Column, kind: str) -> Column:
             return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
                             (F.lit(strict) & base).alias("base"), check.alias("fits"),
                             F.lit(1 if strict else 0).alias("strict"), sign(check).alias("check"),
-                            sign(known).alias("gazetteer"), context.alias("context"), apart.alias("apart"))
+                            sign(known).alias("gazetteer"), context.alias("context"), apart.alias("apart"),
+                            F.least(F.floor((x["end"] - x["start"]) / 6), F.lit(4)).cast("int").alias("size"),
+                            F.least(F.length(F.regexp_replace(x["s"], "[A-Za-z0-9]", "")), F.lit(5)).alias("marks"))
 
         return F.transform(found, one)
 
@@ -160,7 +165,9 @@ def _kind(text: Column, kind: str) -> Column:
 
 
 CANDIDATE = ("array<struct<kind:string,start:int,end:int,base:boolean,fits:boolean,strict:int,check:int,"
-             "gazetteer:int,context:int,apart:boolean>>")
+             "gazetteer:int,context:int,apart:boolean,size:int,marks:int>>")
+SCALE = {"apart": 1, "size": 4, "marks": 5}
+SHAPES = ("apart", "size", "marks")  # what the classifier sees of a span and no labeler votes on
 
 
 def candidates(text: str = "text") -> Column:
@@ -174,7 +181,7 @@ def candidates(text: str = "text") -> Column:
 
 @dataclass
 class SpanModel:
-    """Per kind: intercept and a weight for each vote, then for standing apart from letters and digits."""
+    """Per kind: intercept and a weight for each vote, then for the shape: standing apart, length and separators."""
 
     weights: dict[str, list[float]]
     reliability: dict[str, dict[str, float]]  # estimated accuracy of each voter that did vote
@@ -185,14 +192,18 @@ class SpanModel:
             z = F.lit(w[0])
             for name, v in zip(VOTERS, w[1:]):
                 z = z + F.lit(v) * x[name]
-            z = z + F.lit(w[-1]) * x["apart"].cast("int")
+            for name, v in zip(SHAPES, w[1 + len(VOTERS):]):
+                z = z + F.lit(v / SCALE[name]) * x[name].cast("int")
             out = F.when(x["kind"] == kind, 1 / (1 + F.exp(-z))).otherwise(out)
         return out
 
 
 def _em(counts: dict[tuple[int, ...], float], rounds: int = 50) -> tuple[dict[tuple[int, ...], float], dict[str, float]]:
     """Probability of each vote pattern to be personal data, and the voters' accuracies."""
-    post = {v: min(max(0.5 + 0.2 * sum(v), 0.05), 0.95) for v in counts}
+    # Voters that say the same on every pattern are one witness, and count once between them.
+    columns = [tuple(v[k] for v in counts) for k in range(len(VOTERS))]
+    say = [1 / columns.count(c) for c in columns]
+    post = {v: min(max(0.5 + 0.25 * sum(s * x for s, x in zip(say, v)), 0.05), 0.95) for v in counts}
     accuracy = {}
     for _ in range(rounds):
         weight = [sum(n * (p if y else 1 - p) for (v, n), p in zip(counts.items(), post.values())) for y in (0, 1)]
@@ -209,7 +220,7 @@ def _em(counts: dict[tuple[int, ...], float], rounds: int = 50) -> tuple[dict[tu
             accuracy[VOTERS[k]] = right / (right + wrong)
         for v in counts:
             odds = math.log(prior / (1 - prior)) + sum(
-                math.log(table[k][1][v[k]] / table[k][0][v[k]]) for k in range(len(VOTERS)))
+                say[k] * math.log(table[k][1][v[k]] / table[k][0][v[k]]) for k in range(len(VOTERS)))
             post[v] = 1 / (1 + math.exp(-max(min(odds, 30), -30)))
     return post, accuracy
 
@@ -230,19 +241,20 @@ def _logistic(rows: list[tuple[list[float], float, float]], rounds: int = 400, r
 
 
 def learn(found: DataFrame) -> SpanModel:
-    """Fit on a table with a ``candidates`` column. Counts are by kind, votes and one shape feature."""
+    """Fit on a table with a ``candidates`` column. Counts are by kind, votes and shape."""
     x = found.select(F.explode("candidates").alias("x"))
-    rows = x.groupBy(*[F.col(f"x.{c}").alias(c) for c in ("kind", *VOTERS, "apart")]).count().collect()  # 648 at most
+    # Votes and shapes have few values each, so this is some thousand rows at most, whatever the corpus.
+    rows = x.groupBy(*[F.col(f"x.{c}").alias(c) for c in ("kind", *VOTERS, *SHAPES)]).count().collect()
     model = SpanModel({}, {})
     for kind in KINDS:
         counts: dict[tuple[int, ...], float] = defaultdict(float)
-        own = sorted((tuple(r[v] for v in VOTERS), r["apart"], r["count"]) for r in rows if r["kind"] == kind)
+        own = sorted((tuple(r[v] for v in VOTERS), tuple(int(r[f]) / SCALE[f] for f in SHAPES), r["count"]) for r in rows if r["kind"] == kind)
         for v, _, n in own:
             counts[v] += n
         if not own:
             continue
         post, model.reliability[kind] = _em(counts)
-        model.weights[kind] = _logistic([([1.0, *map(float, v), float(apart)], post[v], n) for v, apart, n in own])
+        model.weights[kind] = _logistic([([1.0, *map(float, v), *shape], post[v], n) for v, shape, n in own])
     return model
 
 
@@ -282,6 +294,7 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets, e.g. [EMAIL]; ``n_chars``, if
     present, is brought up to date. Of overlapping spans the first names the whole stretch. Null stays null."""
+    held_in, all_in, cut_in = (unused(n, docs.columns) for n in ("_found", "_all", "_cut"))
     model = learn(docs.select(candidates().alias("candidates")))
     kind_of = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("held"))
 
@@ -293,10 +306,10 @@ def redact(docs: DataFrame) -> DataFrame:
         held = F.when(x["start"] < acc["upto"], longer).otherwise(more)
         return F.struct(F.greatest(acc["upto"], x["end"]).alias("upto"), held.alias("held"))
 
-    by_start = F.array_sort(F.transform(F.col("_all"), lambda x: F.struct(x["start"], x["end"], x["kind"])))
+    by_start = F.array_sort(F.transform(F.col(all_in), lambda x: F.struct(x["start"], x["end"], x["kind"])))
     merged = F.aggregate(by_start, kind_of, merge, lambda acc: acc["held"])
-    out = docs.select("*", candidates().alias("_found"))
-    out = out.withColumn("_all", spans(model, "_found")).withColumn("_cut", merged)
+    out = docs.select("*", candidates().alias(held_in))
+    out = out.withColumn(all_in, spans(model, held_in)).withColumn(cut_in, merged)
 
     def kept(cut: Column) -> Column:
         before = F.transform(cut, lambda x, i: F.concat(
@@ -306,9 +319,9 @@ def redact(docs: DataFrame) -> DataFrame:
         rest = F.substring(F.col("text"), F.element_at(cut, -1)["end"] + 1, F.length("text"))
         return F.concat(F.array_join(before, ""), rest)
 
-    text = F.when(F.size("_cut") > 0, kept(F.col("_cut"))).otherwise(F.col("text"))
+    text = F.when(F.size(cut_in) > 0, kept(F.col(cut_in))).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_cut") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(
+        out = out.withColumn("n_chars", F.when(F.size(cut_in) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(
             docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
