@@ -17,24 +17,35 @@ from pyspark.sql import DataFrame
 from tapeforge.llm.common import map_rows, slices
 
 SYMBOLS = "#*$%&|<>"  # fixed value of the counts
-# Phrases that mark a line as boilerplate or as navigation.
+# Phrases, in four languages, that mark a line as boilerplate or as navigation.
 BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy",
                "uses cookies", "accept cookies", "lorem ipsum", "enable javascript", "click here to",
-               "subscribe to our newsletter", "powered by", "licensed under", "released under the")
+               "subscribe to our newsletter", "powered by", "licensed under", "released under the",
+               "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "cookies akzeptieren",
+               "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "accepter les cookies",
+               "todos los derechos reservados", "términos y condiciones", "política de privacidad", "aviso legal", "aceptar cookies")
 NAVIGATION = re.compile(r"(?i)^\W*(?:home|menu|next|previous|back|search|log ?in|sign ?up|share|tweet|print|skip to content|"
-                        r"read more|contact us|about us|sitemap|top)\W*$")
+                        r"read more|contact us|about us|sitemap|top|"
+                        r"startseite|menü|weiter|zurück|suche|anmelden|registrieren|teilen|drucken|kontakt|impressum|"
+                        r"accueil|suivant|précédent|rechercher|connexion|s'inscrire|partager|imprimer|contactez-nous|"
+                        r"inicio|siguiente|anterior|buscar|iniciar sesión|registrarse|compartir|imprimir|contacto)\W*$")
 SEPARATORS = re.compile(r"\s[|»›>·•]\s")
+LINK = re.compile(r"(?:https?://|www\.)\S+")
+WORD_CHARACTERS = re.compile(r"\w")
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the verdict; lines shorter than ``long_line`` words aren't asked for punctuation or symbols."""
+    """Limits of the verdict; all but the two on repeated words are asked of lines of every length."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_line_symbols: float = 0.10   # symbols per character of a line
+    max_line_marks: float = 0.40     # characters other than letters and digits among those that aren't blank
     max_separators: int = 3          # separators in a line before it counts as navigation
-    long_line: int = 5
+    max_line_links: float = 0.3      # share of a line's characters that belong to links
+    stutter_words: int = 10          # words of a line from which one word may not be
+    max_stutter: float = 0.5         # more than this share of them
     max_lost: float = 0.5            # share of the words that may go with failing lines
 
 
@@ -62,7 +73,11 @@ def repeated_words(words: list[bytes], k: int = 3) -> int:
 
 
 def failing_rule(line: str, seen: bool, rules: Rules) -> str | None:
-    """The first rule that a line with words fails: duplicate, boilerplate, navigation or punctuation."""
+    """The first rule that a line with words fails: duplicate, boilerplate, navigation, punctuation or stutter.
+
+    But for the phrases the rules hold in any language: repeated lines, links and separators, the share of symbols
+    and of all marks, and one word said over and over.
+    """
     if seen:
         return "duplicate"
     low = line.lower()
@@ -70,9 +85,16 @@ def failing_rule(line: str, seen: bool, rules: Rules) -> str | None:
         return "boilerplate"
     if NAVIGATION.match(line) or len(SEPARATORS.findall(line)) > rules.max_separators:
         return "navigation"
-    symbols = sum(map(line.count, SYMBOLS))
-    if symbols > rules.max_line_symbols * len(line) and len(line.split()) >= rules.long_line:
+    if ("://" in line or "www." in line) and sum(map(len, LINK.findall(line))) > rules.max_line_links * len(line):
+        return "navigation"
+    if sum(map(line.count, SYMBOLS)) > rules.max_line_symbols * len(line):
+        return "punctuation"
+    words = line.split()
+    filled = sum(map(len, words))
+    if filled - len(WORD_CHARACTERS.findall(line)) > rules.max_line_marks * filled:
         return "punctuation"
+    if len(words) >= rules.stutter_words and max(Counter(words).values()) > rules.max_stutter * len(words):
+        return "stutter"
     return None
 
 
