@@ -6,18 +6,20 @@ by the toxic dictionary against the ordinary one are its gain. A document is jud
 by how many of its windows gain more than each of a few thresholds; a logistic
 calibration on labelled documents turns these counts into a score.
 
+Both dictionaries begin with the same words, the most frequent of both classes, so that what ordinary language saves
+cancels out; the rest of each is what significantly more documents of its class hold.
 Windows are followed by a primer that both dictionaries hold, so a frame always has a
 match and is never stored raw; the gain is then what the dictionaries' own segments save.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import zstandard
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tapeforge.llm.common import filter_rows, map_rows
@@ -26,11 +28,10 @@ from tapeforge.llm.common import filter_rows, map_rows
 FIT_DOCS = 2500        # labelled documents per class, the first in a hash order
 WINDOW, OVERLAP = 40, 14
 THRESHOLDS = (2, 3, 4, 5, 6)
-MIN_SHARE, MIN_DOCS = 0.03, 4   # of the class's documents that must hold a segment
-WORD_SHARE = 0.004              # and a whole word that begins with one
-DICTIONARY = 4096               # bytes of a dictionary, the most frequent segments
-LIFT, DOC_LIFT = 6.0, 2.5       # how much oftener than in the other class, by occurrences and by documents
-ORDINARY_WORDS = 20             # most frequent words of five letters or more that make the ordinary dictionary
+MIN_DOCS = 4           # documents of the class that must hold a segment, whatever the class's size
+SIGNIFICANT = 6.0      # standard errors between the classes' shares of documents that hold it
+LIFT = 4.0             # how much larger the share is in the class
+DICTIONARY = 16384     # bytes of a dictionary, half of them for words frequent in both classes
 PRIMER = b"<<0123456789|9876543210|abcdefghij|ABCDEFGHIJ>>"
 
 
@@ -40,7 +41,8 @@ def normalised(text: str | None) -> bytes:
 
 
 def _prefixes(word: bytes) -> list[bytes]:
-    return [word[:k] for k in range(4, min(len(word), 8) + 1)] + [word + b" "]
+    """Word beginnings, and a short word with its end, which is needed for a match of some length."""
+    return [word[:k] for k in range(4, min(len(word), 8) + 1)] + ([word + b" "] if len(word) < 7 else [])
 
 
 class _Side:
@@ -80,27 +82,51 @@ class _Side:
         return {p: len(d) for p, d in held.items()}
 
 
-def _train(own: _Side, other: _Side) -> dict[bytes, int]:
-    """Segments typical of one class, with how often they occur: word beginnings, as short as they are still
-    typical, or as long as most of their occurrences allow, and the words of some frequency that begin so, which give the longer matches."""
-    least = max(MIN_DOCS, MIN_SHARE * own.docs)
-    often = {p for p, n in own.times.items() if n >= least
-             and n / own.words >= LIFT * (other.times.get(p, 0) + 1) / max(other.words, 1)}
+def _typical(own: _Side, other: _Side) -> list[bytes]:
+    """Word beginnings that significantly more documents of one class hold, most significant first; as short as they are
+    still typical, or as long as most of their occurrences allow."""
+    often = {p for p, n in own.times.items() if n >= MIN_DOCS }
     here, there = own.documents(often), other.documents(often)
-    typical = {p for p, n in here.items()
-               if n >= least and n / own.docs >= DOC_LIFT * (there.get(p, 0) + 0.5) / max(other.docs, 1)}
-    starts = {p for p in typical if not any(p[:k] in typical for k in range(4, len(p)))}
-    out = {}
-    for p in starts:
+
+    def z(a: int, b: int) -> float:
+        pooled = (a + b) / (own.docs + other.docs)
+        return (a / own.docs - b / other.docs) / ((pooled * (1 - pooled) + 1e-9) * (1 / own.docs + 1 / other.docs)) ** 0.5
+
+    score = {}
+    for p, a in here.items():
+        b = there.get(p, 0)
+        if a >= MIN_DOCS and a / own.docs >= LIFT * (b + 0.5) / other.docs and (v := z(a, b)) >= SIGNIFICANT:
+            score[p] = v
+    out: dict[bytes, float] = {}
+    for p, v in score.items():
+        if not p.endswith(b" ") and any(p[:k] in score for k in range(4, len(p))):
+            continue
         n = own.times[p]
-        while more := [e for e in typical if len(e) == len(p) + 1 and e.startswith(p) and own.times[e] >= 0.8 * n]:
+        while more := [e for e in score if len(e) == len(p) + 1 and e.startswith(p) and own.times[e] >= 0.8 * n]:
             p = max(more, key=lambda e: (own.times[e], e))
-        out[b" " + p] = n
-    few = max(MIN_DOCS, WORD_SHARE * own.docs)
-    for w, i in own.ids.items():
-        if own.count[i] >= few and any(w[:k] in starts for k in range(4, len(w) + 1)) or w + b" " in starts:
-            out[b" " + w + b" "] = int(own.count[i])
-    return out
+        out[b" " + p] = v
+    return sorted(out, key=lambda s: (-out[s], s))
+
+
+def _fill(segments: list[bytes], size: int) -> bytes:
+    """Whole segments, first ones first, as long as they fit; the first comes last, nearest to what is compressed."""
+    taken, used = [], 0
+    for s in segments:
+        if used + len(s) <= size:
+            taken.append(s)
+            used += len(s)
+    return b"".join(reversed(taken))
+
+
+def _dictionaries(sides: list[_Side], size: int) -> list[bytes]:
+    """The ordinary and the toxic dictionary, by the same procedure: the words most frequent in both classes, so that what both
+    save cancels out, and behind them the beginnings typical of the one class against the other."""
+    if not (sides[0].docs and sides[1].docs):
+        return [b"", b""]
+    shares = [{w: side.count[i] / side.words for w, i in side.ids.items()} for side in sides]
+    common = sorted(((-min(v, shares[1].get(w, 0)), w) for w, v in shares[0].items() if len(w) >= 4))
+    background = _fill([b" " + w + b" " for v, w in common[:size // 16] if v], size // 2)
+    return [background + _fill(_typical(sides[k], sides[1 - k]), size - len(background)) for k in (0, 1)]
 
 
 @dataclass
@@ -116,7 +142,7 @@ class ToxicityModel:
     def _compressors(self):
         if not hasattr(self, "_pair"):
             shape = zstandard.ZstdCompressionParameters(
-                strategy=zstandard.STRATEGY_FAST, min_match=6, window_log=14, hash_log=13, chain_log=10, search_log=3,
+                strategy=zstandard.STRATEGY_LAZY2, min_match=5, window_log=17, hash_log=15, chain_log=14, search_log=5,
                 write_content_size=False, write_checksum=False, write_dict_id=False,
                 format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             self._pair = [zstandard.ZstdCompressor(compression_params=shape, dict_data=zstandard.ZstdCompressionDict(
@@ -158,7 +184,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 5.0) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str | None], labels: list[int], share: float | None = None) -> ToxicityModel:
+def fit(texts: list[str | None], labels: list[int], share: float | None = None, dictionary: int = DICTIONARY) -> ToxicityModel:
     """Dictionaries from two of three texts, calibration on the third, which they haven't seen.
 
     ``share`` is that of label 1 among all labelled documents, if it differs from the sample's: the calibration is
@@ -169,12 +195,7 @@ def fit(texts: list[str | None], labels: list[int], share: float | None = None)
     rest = [i for i in range(len(texts)) if not i % 3]
     sides = [[normalised(texts[i]) for i in train if labels[i] == c] for c in (0, 1)]
     sides = [_Side(side) for side in sides]
-    toxic = _train(sides[1], sides[0]) if sides[1].docs else {}
-    content = b"".join(s for s, _ in sorted(toxic.items(), key=lambda s: (s[1], s[0])))[-DICTIONARY:]
-    common = sorted(((w, int(sides[0].count[i])) for w, i in sides[0].ids.items() if len(w) >= 5), key=lambda c: (-c[1], c[0]))
-    ordinary = b"".join(b" " + w + b" " for w, _ in reversed(common[:ORDINARY_WORDS]))
-    if not content:
-        ordinary = b""
+    ordinary, content = _dictionaries(sides, dictionary)
     size = 3 + 2 * len(THRESHOLDS)
     model = ToxicityModel(ordinary, content, np.zeros(size), np.ones(size), np.zeros(size + 1))
     odds = lambda p: np.log(np.clip(p, 1e-3, 1 - 1e-3) / (1 - np.clip(p, 1e-3, 1 - 1e-3)))
@@ -193,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Toxic
     """Fit on labelled documents: at most ``fit_docs`` per class, the first by a hash of doc_id.
 
     ``labels`` has (doc_id, toxic). Null labels and null doc_ids are ignored, and so are
-    documents whose labels contradict each other.
+    documents whose labels contradict each other. Of rows that repeat a doc_id one text is used, that with the least hash.
     """
     known = (labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id")
              .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most"))
@@ -201,7 +222,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Toxic
     order = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(fit_docs).unionAll(
         known.where("toxic = 0").orderBy(order, "doc_id").limit(fit_docs))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
+    named = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = named.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id, r.text or ""))
     return fit([r.text for r in rows], [r.toxic for r in rows], share)
 
@@ -211,11 +233,11 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     Texts of any length are scored whole, window by window. Repeated rows each get a row; other columns are ignored.
     """
-    packed = pickle.dumps(model)
+    packed = cloudpickle.dumps(model)
     holder: dict[str, ToxicityModel] = {}
 
     def run(b):
-        m = holder.get("m") or holder.setdefault("m", pickle.loads(packed))
+        m = holder.get("m") or holder.setdefault("m", cloudpickle.loads(packed))
         return [b.column(0), m.scores(b.column(1).to_pylist())]
 
     return map_rows(docs.select("doc_id", "text"), "doc_id long, score double", run)
@@ -223,11 +245,11 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def reject(docs: DataFrame, model: ToxicityModel, threshold: float) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    packed = pickle.dumps(model)
+    packed = cloudpickle.dumps(model)
     holder: dict[str, ToxicityModel] = {}
 
     def keep(b):
-        m = holder.get("m") or holder.setdefault("m", pickle.loads(packed))
+        m = holder.get("m") or holder.setdefault("m", cloudpickle.loads(packed))
         return (m.scores(b.column(b.schema.get_field_index("text")).to_pylist()) < threshold).tolist()
 
     return filter_rows(docs, keep)
