@@ -30,7 +30,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct()
     edges, before = cut_lineage(edges), None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        # Two 64-bit sums over all edges (by exclusive or): two rounds that differ don't look alike.
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(7), "v", "u"))).first()
         if now == before or now[0] == 0:
             break
         before, edges = now, _star(edges)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapeforge.llm.common import map_rows
+from tapeforge.llm.common import map_rows, unused
 from tapeforge.llm.components import components
 from tapeforge.session import cut_lineage
 
@@ -176,7 +176,7 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links) for every row of ``docs``.
+    """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
     Words are what stands between ASCII white space, A-Z lower-cased; shingles are three
     words, repeats included. A null or empty text, or one without words, has fingerprint
@@ -217,15 +217,15 @@ def keep_first(docs: DataFrame, slim: DataFrame, distinct: DataFrame, key: str,
     """The rows of ``docs`` that rank first in their group: ``slim`` (doc_id, h) lists the rows, ``distinct`` (``key``, rank)
     what was grouped, ``roots`` (node, root) the groups."""
     roots = roots.withColumnRenamed("node", "root_of")
+    keys = [unused(k, docs.columns) for k in ("_id", "_null", "_h")]
     stays = (distinct.join(roots, distinct[key] == roots.root_of, "left")
              .groupBy(F.coalesce("root", key).alias("root")).agg(F.min("rank").alias("rank"))
-             .select(F.coalesce("rank.doc_id", F.lit(0)).alias("_id"), F.col("rank.last").alias("_null"),
-                     F.col("rank.h").alias("_h")))
+             .select(F.coalesce("rank.doc_id", F.lit(0)).alias(keys[0]), F.col("rank.last").alias(keys[1]),
+                     F.col("rank.h").alias(keys[2])))
     stays = cut_lineage(stays)
-    keys = ["_id", "_null", "_h"]
     text_hash = F.xxhash64(text)
-    marked = docs.select("*", F.coalesce(doc_id, F.lit(0)).cast("long").alias("_id"),
-                         F.col(doc_id).isNull().alias("_null"), text_hash.alias("_h"))
+    marked = docs.select("*", F.coalesce(doc_id, F.lit(0)).cast("long").alias(keys[0]),
+                         F.col(doc_id).isNull().alias(keys[1]), text_hash.alias(keys[2]))
     kept = marked.join(stays, keys, "left_semi")
     again = (slim.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     if not again.isEmpty():

@@ -127,8 +127,8 @@ def brute_shingles(text):
     return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
-@pytest.mark.parametrize("tile", [300, near_copies.TILE])
-def test_stage_keeps_one_of_edited_copies(docs_of, tile):
+@pytest.mark.parametrize("limits", [{}, {"tile_sets": 3, "tile_shingles": 900, "bucket": 8}])
+def test_stage_keeps_one_of_edited_copies(docs_of, limits):
     rnd = random.Random(8)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = [" ".join(rnd.choices(vocabulary, k=rnd.randint(3, 300))) for _ in range(30)] + [None, "", " \n"]
@@ -154,13 +154,64 @@ def test_stage_keeps_one_of_edited_copies(docs_of, tile):
     for i, (d, _) in enumerate(rows):
         groups.setdefault(find(i), []).append((d is None, d))
     assert edited > 50
-    kept = near_copies.keep_one(docs_of(rows), tile=tile)
+    kept = near_copies.keep_one(docs_of(rows), **limits)
     assert kept.columns == ["doc_id", "text", "lang", "start", "digest"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(min(g)[1]) for g in groups.values())
 
 
 def test_stage_keeps_one_of_nothing(docs_of):
     assert near_copies.keep_one(docs_of([])).count() == 0
+    assert near_copies.keep_one(docs_of([None, "", " "])).count() == 1
+
+
+def test_stage_keeps_clashing_columns(spark):
+    rows = [(1, "a b c", "x", 1.5, [1]), (2, "a b c", "y", 2.5, None), (3, None, None, None, [2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _null double, _h array<int>")
+    by_bits = simhash.keep_one(docs)
+    assert by_bits.columns == docs.columns and by_bits.count() == 2
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id != 2)
+
+
+@pytest.mark.parametrize("radius", [0, 2, 7, 8, 20, 31])
+def test_carry_save_counters_find_every_close_pair(radius):
+    fps = near_fingerprints(60, 9)
+    rnd = random.Random(radius)
+    far = [int(f) ^ sum(1 << b for b in rnd.sample(range(64), k)) for f in fps[:40].tolist() for k in (radius, radius + 1)]
+    fps = np.array([*fps.tolist(), *far], np.uint64)
+    for run in (np.zeros(len(fps), int), np.sort(np.arange(len(fps)) % 9)):
+        i, j = near_copies.close_pairs(fps, run, radius)
+        want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps))
+                if run[a] == run[b] and (int(fps[a]) ^ int(fps[b])).bit_count() <= radius}
+        assert set(zip(i.tolist(), j.tolist())) == want and len(want) == len(i)
+
+
+def test_large_groups_are_linked_like_small_ones(spark):
+    """One group of several clusters, in tiles of four sets: what all pairs connect is connected, and nothing else."""
+    rnd = random.Random(10)
+    sets = []
+    for c in range(6):
+        base = [rnd.getrandbits(63) for _ in range(40)]
+        for k in range(15):
+            sets.append(np.unique(np.array(base[:40 - k // 2] + [rnd.getrandbits(63) for _ in range(k % 5)], np.uint64)))
+    i, j = near_copies.similar(sets)
+    parent = list(range(len(sets)))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in zip(i.tolist(), j.tolist()):
+        parent[find(a)] = find(b)
+    want = {}
+    for k in range(len(sets)):
+        want.setdefault(find(k), set()).add(k)
+    rows = spark.createDataFrame([(k, len(s), bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, n long, shingles binary")
+    groups = rows.selectExpr("node div 1000 as grp", "node")
+    found = near_copies.links(groups, rows, tile_sets=4)
+    got = {}
+    for r in components.components(found, "u", "v").collect():
+        got.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(w) for w in want.values() if len(w) > 1)
 
 
 @pytest.mark.parametrize("joint", ["\n", ". "])
